@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -54,23 +55,38 @@ def crc_text(col) -> F.Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def ordinal_chunks(df: DataFrame, key: str, rows_per_chunk: int, most: int = 1024):
+def ordinal_chunks(df: DataFrame, key: str, rows_per_chunk: int, most: int = 32768) -> list:
     """Bounds that cut ``df`` into runs of about ``rows_per_chunk`` rows by the numeric ``key``.
 
-    Returns the sorted list of at most ``most`` upper bounds (exclusive of the last run).  Only
-    these few numbers reach the driver; they come from Spark's mergeable quantile summary.
+    Only these few numbers (at most ``most``) reach the driver; they come from Spark's mergeable
+    quantile summary, so no row is sorted or gathered for them.
     """
-    n = df.count()
-    k = min(most, n // rows_per_chunk)
+    k = min(most, df.count() // rows_per_chunk)
     if k < 1:
         return []
-    got = df.agg(F.percentile_approx(key, [i / (k + 1) for i in range(1, k + 1)], 10000).alias("q")).first().q
+    cuts = [i / (k + 1) for i in range(1, k + 1)]
+    got = df.agg(F.percentile_approx(key, cuts, max(10000, 10 * k)).alias("q")).first().q
     return sorted(set(got or []))
 
 
-def chunk_of(col, bounds) -> F.Column:
-    """Index of the run that ``col`` falls into; runs are in ascending key order, nulls in run 0."""
+def _passed(bounds, col) -> F.Column:
+    return F.array_size(F.filter(bounds, lambda b: b < col))
+
+
+def chunk_of(col, bounds: list) -> F.Column:
+    """Index of the run that ``col`` falls into: runs ascend with the key, nulls are in run 0.
+
+    Looks up a coarse cut first and then the fine cuts behind it, so a row compares with about
+    twice the square root of the number of bounds.
+    """
     if not bounds:
         return F.lit(0)
-    at = F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < col))
-    return F.when(col.isNull(), F.lit(0)).otherwise(at)
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    coarse = F.array(*[F.lit(g[-1]) for g in groups])
+    fine = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups])
+    at = _passed(coarse, col)
+    found = F.when(at >= F.lit(len(groups)), F.lit(len(bounds))).otherwise(
+        at * F.lit(step) + _passed(F.get(fine, at), col)
+    )
+    return F.when(col.isNull(), F.lit(0)).otherwise(found)

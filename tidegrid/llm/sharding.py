@@ -75,7 +75,7 @@ def shard_documents(docs: DataFrame, shards: int, rows_per_chunk: int = ROWS_PER
     bytes plus 16 (16 for null texts).  ``slot`` numbers each shard's rows from 0 in the order
     (doc_id, text_crc32, size), nulls first; repeated rows get a slot each.  A shard is never
     sorted as a whole: doc_id quantiles cut it into runs, whose sizes are counted first and whose
-    running totals (at most shards x 1024 rows) offset the numbering inside each run.  Null
+    running totals (one number per shard and run) offset the numbering inside each run.  Null
     doc_ids hash as key 0.  An empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -102,7 +102,7 @@ def shard_documents(docs: DataFrame, shards: int, rows_per_chunk: int = ROWS_PER
         )
         before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counted.select("shard", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        rows = rows.join(F.broadcast(offsets), ["shard", "_run"])  # at most shards x 1024 rows
+        rows = rows.join(offsets, ["shard", "_run"])  # Spark broadcasts it only while it is small
     else:
         rows = rows.withColumn("_before", F.lit(0).cast("long"))
     return rows.select(
