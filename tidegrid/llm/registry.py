@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import sharding
+from tidegrid.llm import multiset_fp, sharding, url_rules
 
 QUERIES = {
     "op2_jump_sharding": sharding.op2_jump_sharding,
+    "op4_url_rules": url_rules.op4_url_rules,
+    "op6_multiset_fingerprints": multiset_fp.op6_multiset_fingerprints,
 }
 ORACLES = {
     "op2_jump_sharding": sharding.OP2_SQL,
+    "op4_url_rules": url_rules.OP4_SQL,
 }
 
 
