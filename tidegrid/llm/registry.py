@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import multiset_fp, sharding, url_rules
+from tidegrid.llm import chat_template, multiset_fp, sharding, url_rules
 
 QUERIES = {
     "op2_jump_sharding": sharding.op2_jump_sharding,
     "op4_url_rules": url_rules.op4_url_rules,
     "op6_multiset_fingerprints": multiset_fp.op6_multiset_fingerprints,
+    "op7_chat_template": chat_template.op7_chat_template,
 }
 ORACLES = {
     "op2_jump_sharding": sharding.OP2_SQL,
