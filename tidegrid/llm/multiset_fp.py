@@ -84,7 +84,7 @@ def with_next(docs: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("_run", run)
-    rows = rows.join(heads, "_run", "left")
+    rows = rows.join(F.broadcast(heads), "_run", "left")  # at most one number for each of 32769 runs
     places = F.array(F.struct(F.col("_run").alias("run"), F.lit(0).alias("marker")))
     is_head = F.col("doc_id").eqNullSafe(F.col("_head"))
     wraps = F.when(F.col("_run") == last, F.lit(0)).otherwise(F.col("_run") + F.lit(1))
