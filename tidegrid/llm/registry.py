@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import chat_template, multiset_fp, onebit_ann, sharding, url_rules
+from tidegrid.llm import chat_template, language_id, multiset_fp, onebit_ann, sharding, toxicity, url_rules
 
 QUERIES = {
     "op2_jump_sharding": sharding.op2_jump_sharding,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_rules": url_rules.op4_url_rules,
     "op6_multiset_fingerprints": multiset_fp.op6_multiset_fingerprints,
     "op7_chat_template": chat_template.op7_chat_template,
     "op8_onebit_ann": onebit_ann.op8_onebit_ann,
+    "op9_language_id": language_id.op9_language_id,
 }
 ORACLES = {
     "op2_jump_sharding": sharding.OP2_SQL,
