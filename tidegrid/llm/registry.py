@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import chat_template, language_id, multiset_fp, onebit_ann, sharding, toxicity, url_rules
+from tidegrid.llm import byte_bpe, chat_template, language_id, multiset_fp, near_dup, onebit_ann, sharding, toxicity, url_rules
 
 QUERIES = {
+    "op1_minhash_near_dup": near_dup.op1_minhash_near_dup,
     "op2_jump_sharding": sharding.op2_jump_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_rules": url_rules.op4_url_rules,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_chat_template": chat_template.op7_chat_template,
     "op8_onebit_ann": onebit_ann.op8_onebit_ann,
     "op9_language_id": language_id.op9_language_id,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 ORACLES = {
     "op2_jump_sharding": sharding.OP2_SQL,
