@@ -552,15 +552,15 @@ def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     found = cluster(docs, width, percent)
     chosen = found.where(F.col("group").isNotNull() & F.col("kept")).groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
-    keys = chosen.select("at.doc_id", "at.text_hash").unionByName(
-        found.where(F.col("group").isNull()).select("doc_id", "text_hash")
-    ).distinct()
-    keys = keys.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), (F.col("text_hash") == F.xxhash64(F.lit(""))).alias("_blank"))
-    rows = docs.withColumn("_hash", F.xxhash64(_text()))
-    rows = rows.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
-    once = Window.partitionBy("_kept_id", "_kept_hash").orderBy("_blank")
-    rows = rows.withColumn("_turn", F.row_number().over(once)).where((F.col("_turn") == 1) | F.col("_blank"))
-    return rows.select(*docs.columns)
+    keys = chosen.select("at.doc_id", "at.text_hash", F.lit(False).alias("_wordless")).unionByName(
+        found.where(F.col("group").isNull()).select("doc_id", "text_hash", F.lit(True).alias("_wordless")).distinct()
+    ).toDF("_kept_id", "_kept_hash", "_wordless")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(_text()).alias("_hash"))
+    rows = rows.join(keys, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
+    once = Window.partitionBy("_kept_id", "_kept_hash").orderBy("_wordless")
+    rows = rows.withColumn("_turn", F.row_number().over(once)).where((F.col("_turn") == 1) | F.col("_wordless"))
+    return rows.select("_row.*")
 
 
 def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import byte_bpe, chat_template, language_id, multiset_fp, near_dup, onebit_ann, sharding, toxicity, url_rules
+from tidegrid.llm import byte_bpe, chat_template, language_id, mixing, multiset_fp, near_dup, onebit_ann, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_minhash_near_dup": near_dup.op1_minhash_near_dup,
     "op2_jump_sharding": sharding.op2_jump_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_rules": url_rules.op4_url_rules,
+    "op5_soft_mixing": mixing.op5_soft_mixing,
     "op6_multiset_fingerprints": multiset_fp.op6_multiset_fingerprints,
     "op7_chat_template": chat_template.op7_chat_template,
     "op8_onebit_ann": onebit_ann.op8_onebit_ann,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_jump_sharding": sharding.OP2_SQL,
     "op4_url_rules": url_rules.OP4_SQL,
+    "op5_soft_mixing": mixing.OP5_SQL,
 }
 
 
