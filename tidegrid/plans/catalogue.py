@@ -1,11 +1,296 @@
-"""Registered queries over the driver tables and their oracle SQL."""
+"""Registered queries over the driver tables; their oracle SQL is in ``oracles``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidegrid.functions import aggregates, pentad
+from tidegrid.operators import eof, fields, grids, series
+from tidegrid.plans import adapters as a
+from tidegrid.plans import oracles
+from tidegrid.sources import tiers
+from tidegrid.sources.shared import work_folder
+from tidegrid.streaming import pentads
 
-def oracle_sql():
-    return {}
+FIRST_YEAR, LAST_YEAR = 1996, 2000
+REGRID_LAT, REGRID_LON = grids.axis(0.0, 72.5, 1.5), grids.axis(0.5, 69.5, 0.7)
+KERNEL = grids.gauss_kernel(2, 1.0)
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    """Six decimals without negative zero; the nudge keeps exact halves from hanging on the order of a sum."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(oracles.NUDGE), 6) + F.lit(0.0) for c in columns})
+
+
+def _pen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.pentad_mean(a.obs(spark, sf_dir))
+
+
+def _spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.dft(series.detrend(a.vectors(spark, sf_dir)), "v_detrended", a.WIDTH)
+
+
+def _gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series whose values of at most 0.05 in size count as gaps."""
+    return a.vectors(spark, sf_dir).withColumn("v", F.when(F.abs("v") > 0.05, F.col("v")))
+
+
+def _as_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positions of a vector are the samples, the vectors are the cells."""
+    return eof.anomalies(a.vectors(spark, sf_dir).select(F.col("t").alias("cell"), F.col("x").alias("sample"), "v"), a.WIDTH)
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ds, pentadstamp, lat_i, k, v: seven levels with gaps."""
+    pen = _pen(spark, sf_dir)
+    keys = pen.select("ds", "pentadstamp", "lat_i").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    held = pen.select("ds", "pentadstamp", "lat_i", (F.col("lon_i") - 1).alias("k"), "v")
+    return keys.join(held, ["ds", "pentadstamp", "lat_i", "k"], "left")
+
+
+def pentad_assign(spark, sf_dir):
+    stamp = pentad.stamp_of(F.col("d"))
+    rows = a.obs(spark, sf_dir).select("d").distinct().withColumn("pentadstamp", stamp).where("pentadstamp IS NOT NULL")
+    s = F.col("pentadstamp")
+    return rows.select("d", s, pentad.label_of(s).alias("label"), pentad.begin_of(s).alias("time_beg"), pentad.end_of(s).alias("time_end"))
+
+
+def pentad_parse(spark, sf_dir):
+    """Labels with pentads out of range, read from every order date's year and a shift."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.year("o_orderdate").alias("y"), (F.pmod("o_orderkey", F.lit(200)) - 100).cast("int").alias("p")).distinct()
+    text = F.concat(F.lpad(F.col("y").cast("string"), 4, "0"), F.lit("P"), F.col("p").cast("string"))
+    rows = orders.select(text.alias("text")).withColumn("pentadstamp", pentad.parse(F.col("text")))
+    return rows.withColumn("label", pentad.label_of(F.col("pentadstamp")))
+
+
+def _range(inclusive: str):
+    return lambda spark, sf_dir: pentad.pentad_range(spark, "2024P-5", "2024P03", inclusive)
+
+
+def daily_mean_6h(spark, sf_dir):
+    return _r(fields.daily_mean(a.events(spark, sf_dir)), "v")
+
+
+def hours_epoch(spark, sf_dir):
+    rows = a.events(spark, sf_dir).select(F.date_trunc("HOUR", "ts").alias("t")).distinct()
+    rows = rows.select(pentad.hours_since(F.col("t")).alias("hours"))
+    back = pentad.from_hours(F.col("hours"))
+    return rows.select("hours", F.to_date(back).alias("day"), F.hour(back).alias("hour"))
+
+
+def month_filter(spark, sf_dir):
+    rows = a.obs(spark, sf_dir).where(F.month("d").isin(10, 11, 12, 1, 2, 3, 4))
+    return rows.groupBy("ds", F.month("d").alias("month")).agg(F.count("*").alias("n"))
+
+
+def season_select(spark, sf_dir):
+    rows = fields.season(_pen(spark, sf_dir), -6, 11, FIRST_YEAR, LAST_YEAR)
+    return _r(rows.select("season_year", "ds", "pentadstamp", "lat_i", "lon_i", "v"), "v")
+
+
+def crop_box(spark, sf_dir):
+    return _r(fields.crop(a.places(a.clim(spark, sf_dir)), (10.0, 40.0), (150.0, 220.0)).select("ds", "lat", "lon", "v"), "v")
+
+
+def lon_wrap_roll(spark, sf_dir):
+    return fields.roll_longitude(spark.range(144).select((F.col("id") * 2.5 - 180.0).alias("lon")))
+
+
+def unit_convert(spark, sf_dir):
+    rows = a.clim(spark, sf_dir).withColumn("varname", F.when(F.col("ds") == "A", "sst").otherwise("ssta"))
+    return _r(rows.select("varname", "ds", "lat_i", "lon_i", fields.to_kelvin(F.col("v"), F.col("varname")).alias("v")), "v")
+
+
+def _masks(spark, sf_dir):
+    return fields.region_masks(a.places(a.dense(spark, sf_dir)).where("ds = 'A'"))
+
+
+def region_mean(spark, sf_dir):
+    return _r(fields.region_mean(a.clim(spark, sf_dir).withColumn("pentadstamp", F.col("lat_i")), _masks(spark, sf_dir)), "v")
+
+
+def mean_axis(keep: str):
+    return lambda spark, sf_dir: _r(fields.axis_mean(_pen(spark, sf_dir), keep), "v")
+
+
+def chunk_mean(spark, sf_dir):
+    pen = _pen(spark, sf_dir)
+    rows = pen.join(fields.chunks(pen, 6), "pentadstamp").groupBy("ds", "chunk", "lat_i", "lon_i").agg(F.avg("v").alias("v"), F.count("v").alias("n"))
+    return _r(rows, "v")
+
+
+def interval_lookup(spark, sf_dir):
+    """The order catalogue: spans of years that overlap, the first one wins."""
+    spans = spark.createDataFrame(
+        [(0, "early", "1995-01-01", "1997-06-30"), (1, "middle", "1997-01-01", "1999-12-31"), (2, "late", "1999-06-01", "2002-12-31")],
+        "ord int, name string, beg string, end string",
+    ).select("ord", "name", F.to_date("beg").alias("beg"), F.to_date("end").alias("end"))
+    return fields.first_interval(a.obs(spark, sf_dir).select("d").distinct(), spans)
+
+
+def index_range(spark, sf_dir):
+    axis = spark.range(a.N_LON).select(F.col("id").cast("int").alias("lon_i"), (F.col("id") * a.D_LON + a.LON0).alias("lon"))
+    return fields.index_range(axis, "lon", "lon_i", 150.0, 201.0)
+
+
+def strict_stats(spark, sf_dir):
+    """Mean and deviation of each cell over the datasets, missing where one is."""
+    rows = a.dense(spark, sf_dir).groupBy("lat_i", "lon_i").agg(
+        aggregates.avg_strict(F.col("v")).alias("mean"), aggregates.std_pop_strict(F.col("v")).alias("std")
+    )
+    return _r(rows, "mean", "std")
+
+
+def pretty_places(spark, sf_dir):
+    rows = a.places(a.clim(spark, sf_dir)).select("lat", "lon").distinct()
+    return rows.select("lat", "lon", aggregates.pretty_latitude(F.col("lat")).alias("lat_text"), aggregates.pretty_longitude(F.col("lon") + 20.0).alias("lon_text"))
+
+
+def spectrum_diff(spark, sf_dir):
+    """Spectra of the difference of each vector to the one before it."""
+    rows = a.vectors(spark, sf_dir)
+    other = rows.select((F.col("t") + 1).alias("t"), "x", F.col("v").alias("w"))
+    diff = rows.join(other, ["t", "x"]).select("t", "x", (F.col("v") - F.col("w")).alias("v"))
+    return _r(series.dft(series.fill_ends(diff), "v", a.WIDTH).select("t", "k", "radius"), "radius")
+
+
+def gradient_hist(spark, sf_dir):
+    return series.histogram(series.gradient(a.vectors(spark, sf_dir)), "g", 0.1)
+
+
+def regrid_bilinear(spark, sf_dir):
+    lat = grids.axis_weights(spark, [float(i) for i in range(a.N_LAT)], REGRID_LAT, "lat")
+    lon = grids.axis_weights(spark, [float(i) for i in range(a.N_LON)], REGRID_LON, "lon")
+    return _r(grids.regrid(a.dense(spark, sf_dir), ["ds"], lat, lon), "v")
+
+
+def interp_1d(spark, sf_dir):
+    weights = grids.axis_weights(spark, [float(i) for i in range(a.N_LON)], REGRID_LON, "x")
+    rows = fields.axis_mean(a.clim(spark, sf_dir).withColumn("pentadstamp", F.lit(0)), "lon_i")
+    return _r(grids.interpolate(rows, ["ds"], weights), "v")
+
+
+def eof_gram(spark, sf_dir):
+    return _r(eof.gram(_as_cells(spark, sf_dir)), "g")
+
+
+def eof_variance_total(spark, sf_dir):
+    total = F.sum(F.when(F.col("s") == F.col("t"), F.col("g"))) / (a.WIDTH - 1)
+    return _r(eof.gram(_as_cells(spark, sf_dir)).agg(total.alias("variance")), "variance")
+
+
+def eof_modes(spark, sf_dir):
+    return eof.normalised(eof.modes(_as_cells(spark, sf_dir), 5)[0])
+
+
+def eof_pcs(spark, sf_dir):
+    return eof.modes(_as_cells(spark, sf_dir), 5)[1]
+
+
+def eof_variance(spark, sf_dir):
+    return eof.modes(_as_cells(spark, sf_dir), 5)[2]
+
+
+def eof_signs(spark, sf_dir):
+    """The sign rule of modes, over the vectors as they are."""
+    return a.vectors(spark, sf_dir).groupBy("t").agg(aggregates.sign_of_mode(F.col("v")).cast("int").alias("sign"))
+
+
+def autocorr(spark, sf_dir):
+    """Daily counts of each event type; lags up to ten days."""
+    days = a.events(spark, sf_dir).groupBy(F.col("ds").alias("s"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("t")).agg(
+        F.count("*").cast("double").alias("v")
+    )
+    return _r(series.autocorrelation(days, 10), "c")
+
+
+def boundary_faces(spark, sf_dir):
+    """Faces of the 10 x 7 grid; levels are the years."""
+    pen = _pen(spark, sf_dir).groupBy(pentad.year_of(F.col("pentadstamp")).alias("k"), "lat_i", (F.col("lon_i") - 1).alias("lon_i")).agg(F.avg("v").alias("v"))
+    return _r(fields.faces(pen.where("lat_i < 7"), 7), "v")
+
+
+def detect_work(spark, sf_dir):
+    """Pentads of the strict tier that are still to be made."""
+    planned = _pen(spark, sf_dir).select("ds", "pentadstamp").distinct()
+    done = fields.pentad_mean(a.obs(spark, sf_dir), strict_days=True).select("ds", "pentadstamp")
+    return tiers.missing_work(planned, done, ["ds", "pentadstamp"])
+
+
+def pentad_stream(spark, sf_dir):
+    """The pentad means by the incremental path: a file stream into partial aggregates."""
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    path = work_folder(spark)
+    pentads.ingest(source, a.daily_of, path)
+    return _r(pentads.means(spark, path), "v")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pentad_assign": pentad_assign,
+    "pentad_parse": pentad_parse,
+    **{f"pentad_range_{k}": _range(k) for k in ("left", "right", "both", "neither")},
+    "pentad_mean": lambda s, d: _r(_pen(s, d), "v"),
+    "pentad_mean_strict_days": lambda s, d: _r(fields.pentad_mean(a.obs(s, d), strict_days=True), "v"),
+    "pentad_stream": pentad_stream,
+    "daily_mean_6h": daily_mean_6h,
+    "hours_epoch": hours_epoch,
+    "month_filter": month_filter,
+    "season_select": season_select,
+    "ensemble_mean": lambda s, d: _r(fields.ensemble_mean(_pen(s, d), a.DATASETS), "v"),
+    "crop_box": crop_box,
+    "lon_wrap_roll": lon_wrap_roll,
+    "stride": lambda s, d: _r(fields.stride(a.clim(s, d), 4), "v"),
+    "unit_convert": unit_convert,
+    "region_mask": _masks,
+    "region_mean": region_mean,
+    "pair_diff_ref": lambda s, d: _r(fields.differences(_pen(s, d), a.DATASETS, "ref"), "diff"),
+    "pair_diff_all": lambda s, d: _r(fields.differences(_pen(s, d), a.DATASETS, "all"), "diff"),
+    "diff_stats": lambda s, d: _r(fields.difference_stats(fields.differences(_pen(s, d), a.DATASETS, "all")), "mean", "std"),
+    "dist2_matrix": lambda s, d: _r(fields.distances(a.clim(s, d).withColumn("pentadstamp", F.lit(0)), a.DATASETS).withColumns({"dist2": F.col("dist2") / 1e12, "msd": F.col("msd") / 1e6}), "dist2", "msd"),
+    "dist_stats": lambda s, d: _r(fields.distance_stats(fields.distances(_pen(s, d), a.DATASETS)).withColumns({"mean": F.col("mean") / 1e6, "std": F.col("std") / 1e6}), "mean", "std"),
+    "zonal_mean": mean_axis("lat_i"),
+    "meridional_mean": mean_axis("lon_i"),
+    "chunk_mean": chunk_mean,
+    "calendar_gaps": lambda s, d: fields.missing_days(a.obs(s, d).select("d")),
+    "interval_lookup": interval_lookup,
+    "index_range": index_range,
+    "range_check": lambda s, d: fields.out_of_range(a.dense(s, d), 20000.0, 60000.0),
+    "strict_stats": strict_stats,
+    "pretty_places": pretty_places,
+    "box_division": lambda s, d: _r(fields.boxes(s, (0.0, 60.0), (120.0, 250.0), 4, 5), "south", "north", "west", "east", "lat_mid", "lon_mid"),
+    "detrend": lambda s, d: _r(series.detrend(a.vectors(s, d)), "v_detrended", "v_minus_intercept"),
+    "dft": lambda s, d: _r(_spectrum(s, d), "re", "im", "radius", "phase", "wvlen"),
+    "variance_fraction": lambda s, d: _r(series.variance_fraction(_spectrum(s, d), 3), "frac", "log_amp"),
+    "band_variance": lambda s, d: _r(series.band_variance(_spectrum(s, d)), "frac"),
+    "spectrum_diff": spectrum_diff,
+    "gradient": lambda s, d: _r(series.gradient(a.vectors(s, d)), "x_mid", "g"),
+    "gradient_hist": gradient_hist,
+    "faketail": lambda s, d: _r(series.fill_ends(_gappy(s, d)), "v"),
+    "regrid_bilinear": regrid_bilinear,
+    "interp_1d": interp_1d,
+    "box_filter": lambda s, d: _r(grids.box_filter(a.dense(s, d), ["ds"], 2), "v"),
+    "gauss_filter": lambda s, d: _r(grids.kernel_filter(a.dense(s, d), ["ds"], KERNEL), "v"),
+    "eof_gram": eof_gram,
+    "eof_variance_total": eof_variance_total,
+    "eof_modes": eof_modes,
+    "eof_pcs": eof_pcs,
+    "eof_variance": eof_variance,
+    "eof_signs": eof_signs,
+    "down_fill": lambda s, d: _r(grids.fill_down(_columns(s, d), ["ds", "pentadstamp", "lat_i"]), "v"),
+    "flood_fill": lambda s, d: _r(grids.flood_fill(a.dense(s, d), ["ds"], a.N_LAT, a.N_LON, 2), "v"),
+    "autocorr": autocorr,
+    "boundary_faces": boundary_faces,
+    "detect_work": detect_work,
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracles.ORACLES)
