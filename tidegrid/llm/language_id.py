@@ -23,6 +23,7 @@ from tidegrid.llm.common import materialize, release, table
 DIM = 1024
 ROWS_PER_LANGUAGE = 1200  # labelled rows that are fitted for each language, about
 SEGMENT = 1 << 20
+SLICE = 256  # rows whose profiles are held at once
 UNDETERMINED = "und"
 
 # Families of common languages by their ISO 639-1 codes.
@@ -155,8 +156,12 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        langs, score = predict_rows([t if isinstance(t, str) else None for t in texts], model)
-        return pd.DataFrame({"lang_pred": langs, "score": score})
+        langs, scores = [], []
+        for at in range(0, len(texts), SLICE):
+            said, score = predict_rows([t if isinstance(t, str) else None for t in texts.iloc[at : at + SLICE]], model)
+            langs += said
+            scores.append(score)
+        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*keep, of(F.col("text").cast("string")).alias("_said")).select(
