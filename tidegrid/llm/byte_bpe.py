@@ -281,9 +281,9 @@ def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     )
 
 
-def encode_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def encode_digests(docs: DataFrame, rank_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     ranks = read_ranks(rank_path)
-    return digests(encode(docs, ranks, pattern), ranks)
+    return digests(encode(docs, ranks, pattern, block_chars=block_chars), ranks)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
