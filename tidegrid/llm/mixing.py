@@ -4,22 +4,31 @@ A classifier learned from a labelled table predicts a posterior over domains for
 Distributed projected gradient descent then fits a nonnegative rate for every document so that the
 expected token totals of the domains, the sum of rate * tokens * posterior, match the targets in
 the least-squares sense.  DataFrame functions only: each gradient step is one aggregation, and only
-one number for each domain reaches the driver.
+a few numbers for each pair of domains reach the driver.
 
 The gradient of a document depends on its own tokens and posterior and on the domains' residuals
 alone.  So a rate is a function of the short history of residuals, and no step rewrites the table.
+
+A gradient step grows with a document's tokens, so beside very long documents the others hardly
+move.  Where the steps leave a domain off its target, Newton steps on one multiplier a domain find
+the nearest rates that meet the targets; there a document's tokens are a weight and no step size.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import materialize, release, table
 
 STEPS = 50
+#: Largest relative miss of a domain's target at which the gradient steps have converged.
+TOLERANCE = 5e-3
+#: The multipliers' own tolerance, the weight that keeps rates unique where targets cannot be met, and most passes.
+EXACT, RIDGE, MOST_PASSES = 1e-6, 1e-6, 200
 VARIANCE_FLOOR = 1e-3
 #: Wanted weight of each domain among the tokens that the rates give.
 TARGETS = {"high": 0.97, "low": 0.03}
@@ -104,7 +113,8 @@ def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS):
     Minimises half the sum of squared relative misses of the domains' expected token totals by
     projected gradient steps from rates of 1.  The step is 1 / L, with L the largest eigenvalue of
     the Gram matrix of the scaled problem.  A domain whose target or expected total is 0 has no
-    scale of its own and takes the total of all tokens.
+    scale of its own and takes the total of all tokens.  Where a miss above TOLERANCE is left,
+    ``nearest_rates`` ends the work from the rates reached.
     """
     k = len(targets)
     mass = [F.col("tokens") * F.col("posterior")[i] for i in range(k)]
@@ -132,12 +142,66 @@ def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS):
         pull = lambda h: sum((posterior[i] * h[i] for i in range(1, k)), posterior[0] * h[0])
         return F.aggregate(pulls, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - tokens * pull(h)))
 
-    for _ in range(steps):
+    def misses() -> list[float]:
         now = soft.select(rate(F.col("tokens"), F.col("posterior")).alias("rate"), *[m.alias(f"m{i}") for i, m in enumerate(mass)])
         totals = now.agg(*[F.sum(F.col("rate") * F.col(f"m{i}")).alias(f"t{i}") for i in range(k)]).first()
-        misses = [(totals[i] - targets[i]) / scale[i] for i in range(k)]
-        history.append([m / scale[i] / largest for i, m in enumerate(misses)])
-    return rate
+        return [(totals[i] - targets[i]) / scale[i] for i in range(k)]
+
+    for _ in range(steps):
+        history.append([m / scale[i] / largest for i, m in enumerate(misses())])
+    if max(abs(m) for m in misses()) <= TOLERANCE:
+        return rate
+    return nearest_rates(soft, targets, scale, everything, rate)
+
+
+def nearest_rates(soft: DataFrame, targets: list[float], scale: list[float], everything: float, start):
+    """The nonnegative rates that meet the targets and are nearest to those of ``start``.
+
+    Nearest in the sum of tokens * change^2, so a rate is max(0, start - sum of multiplier *
+    posterior) with one multiplier a domain.  The multipliers minimise the convex dual by Newton
+    steps with halving; each try is one aggregation.  Targets that no rates meet are missed by as
+    little as they can be.  Raises if the projected gradient does not fall below EXACT.
+    """
+    k = len(targets)
+    goal, size = np.array(targets) / everything, np.array(scale) / everything
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def ended(multipliers):
+        def rate(tokens: Column, posterior: Column) -> Column:
+            moved = sum((posterior[i] * F.lit(float(m)) for i, m in enumerate(multipliers)), F.lit(0.0))
+            begun = start(tokens, posterior)
+            return F.when(tokens > 0, F.greatest(F.lit(0.0), begun - moved)).otherwise(begun)
+
+        return rate
+
+    def measure(multipliers):
+        """Dual value, its gradient and its curvature, over all tokens."""
+        t, p, r = F.col("tokens"), F.col("posterior"), F.col("rate")
+        row = soft.select("tokens", "posterior", ended(multipliers)(t, p).alias("rate")).agg(
+            F.sum(t * r * r).alias("square"),
+            *[F.sum(t * p[i] * r).alias(f"t{i}") for i in range(k)],
+            *[F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i, j in pairs],
+        ).first()
+        ridge = RIDGE * size * size
+        value = row.square / everything / 2 + goal @ multipliers + (ridge * multipliers * multipliers).sum() / 2
+        gradient = goal - np.array([row[f"t{i}"] for i in range(k)]) / everything + ridge * multipliers
+        curve = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / everything
+        return value, gradient, curve + np.diag(ridge)
+
+    at, passes = np.zeros(k), 1
+    value, gradient, curve = measure(at)
+    while max(abs(gradient) / size) > EXACT:
+        step, share = -np.linalg.solve(curve, gradient), 1.0
+        while True:
+            if passes >= MOST_PASSES:
+                raise RuntimeError(f"rates have not converged: relative misses {gradient / size} after {passes} passes")
+            passes += 1
+            tried = measure(at + share * step)
+            if tried[0] <= value + 1e-4 * share * (gradient @ step) + 1e-14 * abs(value):
+                break
+            share /= 2
+        at, (value, gradient, curve) = at + share * step, tried
+    return ended(at)
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
