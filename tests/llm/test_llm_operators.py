@@ -221,6 +221,19 @@ def test_mixing_meets_targets_beside_very_long_texts(spark, steps):
     assert soft.select(F.min(out(F.col("tokens"), F.col("posterior")))).first()[0] >= 0
 
 
+def test_mixing_keeps_very_long_clean_texts(spark):
+    """Texts joined from high-labelled ones of one language keep a rate near 1 at any length."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.where("quality = 1"), "doc_id").where("lang = 'en'").orderBy("doc_id").toPandas().text
+    words = " ".join(clean).split(" ")
+    long = [(10**6 + n, " ".join((words * (1 + n // len(words)))[:n])) for n in (20_000, 100_000, 500_000)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(long, "doc_id long, text string"))
+    got = mixing.mix(both, mixing.domains_of(labels)).where(f"doc_id > {10**6}").toPandas()
+    assert len(got) == 3 and got.rate.between(0.8, 1.25).all()
+    low = np.array(got.posterior.tolist())[:, 1]
+    assert (low < 0.3).all() and low.max() - low.min() < 0.05
+
+
 def test_bpe(spark, docs, odd, nothing):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)

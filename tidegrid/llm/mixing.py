@@ -10,7 +10,8 @@ The gradient of a document depends on its own tokens and posterior and on the do
 alone.  So a rate is a function of the short history of residuals, and no step rewrites the table.
 
 A gradient step grows with a document's tokens, so beside very long documents the others hardly
-move.  Where the steps leave a domain off its target, Newton steps on one multiplier a domain find
+move, and the longest go to rate 0 at once.  So ``mix`` takes no such step unless told to; op5 takes
+those of its SQL.  Where the steps leave a domain off its target, Newton steps on one multiplier a domain find
 the nearest rates that meet the targets; there a document's tokens are a weight and no step size.
 """
 
@@ -32,7 +33,11 @@ EXACT, RIDGE, MOST_PASSES = 1e-6, 1e-6, 200
 VARIANCE_FLOOR = 1e-3
 #: Wanted weight of each domain among the tokens that the rates give.
 TARGETS = {"high": 0.97, "low": 0.03}
+#: The features of op5's SQL; log_words and fresh change with a text's length.
 FEATURES = ("log_words", "word_chars", "capitals", "digits", "marks", "wide", "lines", "fresh")
+#: Features that more text of the same kind leaves as they are; fresh is counted in windows of so many words.
+LENGTH_FREE = ("word_chars", "capitals", "digits", "marks", "wide", "lines", "fresh")
+WINDOW = 50
 
 
 def _once(value: Column, use) -> Column:
@@ -40,13 +45,27 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def counts(text: Column) -> Column:
-    """What the features of a text are made of, all 0 for an empty one; words lie between blanks."""
+def _distinct_in_windows(words: Column) -> Column:
+    """Distinct words of each window of WINDOW words, added up over the whole text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(WINDOW))
+    return F.aggregate(starts, F.lit(0), lambda n, at: n + F.size(F.array_distinct(F.slice(words, at, WINDOW))))
+
+
+def counts(text: Column, features: tuple[str, ...] = LENGTH_FREE) -> Column:
+    """What the features of a text are made of, all 0 for an empty one; words lie between blanks.
+
+    distinct is counted in windows unless ``features`` are those of op5's SQL.
+    """
     text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), F.lit(0))
+    if features == FEATURES:
+        size, distinct = F.size(words), F.size(F.array_distinct(words))
+    else:
+        both = _once(words, lambda w: F.struct(F.size(w).alias("size"), _distinct_in_windows(w).alias("distinct")))
+        size, distinct = both["size"], both["distinct"]
     return F.struct(
-        F.size(words).cast("double").alias("words"),
-        F.size(F.array_distinct(words)).cast("double").alias("distinct"),
+        size.cast("double").alias("words"),
+        distinct.cast("double").alias("distinct"),
         F.length(text).cast("double").alias("chars"),
         F.octet_length(text).cast("double").alias("bytes"),
         F.regexp_count(text, F.lit("[A-Z]")).cast("double").alias("capitals"),
@@ -73,21 +92,22 @@ def dense(raw: Column) -> Column:
     )
 
 
-def fit_domains(measured: DataFrame, labels: DataFrame) -> dict[str, dict]:
+def fit_domains(measured: DataFrame, labels: DataFrame, features: tuple[str, ...] = LENGTH_FREE) -> dict[str, dict]:
     """Gaussian class model of every domain: prior, and mean and variance of each feature.
 
     ``labels`` has doc_id and domain; a doc_id with several domains counts for the smallest name.
     One aggregation over all labelled rows; a row for each domain reaches the driver.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    stats = [f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in (("mean", F.avg), ("var", F.var_pop))]
+    stats = [f(c).alias(f"{n}_{c}") for c in features for n, f in (("mean", F.avg), ("var", F.var_pop))]
     rows = measured.join(marks, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *stats).collect()
     total = sum(r.n for r in rows)
     return {
         r.domain: {
             "prior": r.n / total,
-            "mean": [r[f"mean_{c}"] for c in FEATURES],
-            "var": [r[f"var_{c}"] + VARIANCE_FLOOR for c in FEATURES],
+            "mean": [r[f"mean_{c}"] for c in features],
+            "var": [r[f"var_{c}"] + VARIANCE_FLOOR for c in features],
+            "features": features,
         }
         for r in sorted(rows, key=lambda r: r.domain)
     }
@@ -101,7 +121,7 @@ def posteriors(model: dict[str, dict], row) -> Column:
     logs = []
     for m in model.values():
         start = math.log(m["prior"]) - 0.5 * sum(math.log(v) for v in m["var"])
-        terms = [(row(c) - F.lit(mu)) * (row(c) - F.lit(mu)) * F.lit(-0.5 / v) for c, mu, v in zip(FEATURES, m["mean"], m["var"])]
+        terms = [(row(c) - F.lit(mu)) * (row(c) - F.lit(mu)) * F.lit(-0.5 / v) for c, mu, v in zip(m["features"], m["mean"], m["var"])]
         logs.append(sum(terms, F.lit(start)))
     shifted = _once(F.array(*logs), lambda scores: F.transform(scores, lambda x: F.exp(x - F.array_max(scores))))
     return _once(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda t, y: t + y)))
@@ -228,24 +248,25 @@ def token_targets(soft: DataFrame, domains: list[str], weights: dict[str, float]
     return [w * own / held[at] for w in held]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, steps: int = 0, features: tuple[str, ...] = LENGTH_FREE) -> DataFrame:
     """doc_id, tokens, posterior, rate, copies for every row of ``docs``.
 
     ``labels`` has doc_id, domain.  ``targets`` are the domains' wanted weights, turned into token
-    totals by ``token_targets``.  posterior is in the order of the domains' names.  Texts without words (null ones too) have no
+    totals by ``token_targets``.  ``steps`` gradient steps, whose size grows with a row's tokens, are
+    taken first.  posterior is in the order of the domains' names.  Texts without words (null ones too) have no
     tokens and keep rate 1; without labels every rate is 1 and posterior is empty.  Repeated rows
     keep a row each; an empty table gives no rows; other columns are ignored.
     """
-    soft, model, fitted = _fit(docs, labels, targets, steps)
+    soft, model, fitted = _fit(docs, labels, targets, steps, features)
     rated = soft.withColumn("rate", fitted(F.col("tokens"), F.col("posterior")))
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int):
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int, features: tuple[str, ...]):
     """(doc_id, tokens and posterior of every row; the domains' model; the rates' function)."""
-    made = _once(counts(F.col("text")), dense).alias("_made")
+    made = _once(counts(F.col("text"), features), dense).alias("_made")
     measured = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), made).select("doc_id", "_made.*"))
-    model = fit_domains(measured, labels)
+    model = fit_domains(measured, labels, features)
     if not model:
         return measured.select("doc_id", "tokens", F.array().cast("array<double>").alias("posterior")), model, lambda t, p: F.lit(1.0)
     soft = materialize(measured.select("doc_id", "tokens", posteriors(model, F.col).alias("posterior")))
@@ -253,9 +274,9 @@ def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: i
     return soft, model, fit_rates(soft, token_targets(soft, list(model), targets), steps)
 
 
-def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> DataFrame:
+def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, steps: int = 0, features: tuple[str, ...] = LENGTH_FREE) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its ``copies`` says; nothing is shuffled."""
-    soft, model, fitted = _fit(docs, labels, targets, steps)
+    soft, model, fitted = _fit(docs, labels, targets, steps, features)
     release(soft)
     if not model:
         return docs
@@ -264,14 +285,14 @@ def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
         rated = _once(posteriors(model, lambda c: row[c]), lambda p: fitted(row["tokens"], p))
         return _once(rated, lambda rate: copies(rate, F.col("doc_id").cast("long")))
 
-    times = _once(counts(F.col("text")), lambda raw: _once(dense(raw), often))
+    times = _once(counts(F.col("text"), features), lambda raw: _once(dense(raw), often))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     return docs.select(whole, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_row.*")
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rate and the posteriors are rounded to 6 places."""
-    mixed = mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")))
+    """The features and steps of OP5_SQL; rate and the posteriors are rounded to 6 places."""
+    mixed = mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), steps=STEPS, features=FEATURES)
     share = lambda i: F.round(F.get("posterior", F.lit(i)), 6)
     return mixed.select(
         "doc_id",
