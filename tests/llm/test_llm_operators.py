@@ -189,6 +189,23 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.score(odd, toxicity.fit(nothing, labels.where("false"))).count() == len(ODD)
 
 
+def test_toxicity_scores_are_chances_at_any_sample_size(spark):
+    """One row in twenty is toxic, and one in five of the borderline texts: 0.2 however few clean rows are drawn."""
+    rng = np.random.default_rng(11)
+    plain = "river stone window garden paper winter letter market bridge music forest table".split()
+    rows = []
+    for n in range(6000):
+        text = " ".join(rng.choice(plain, 12)) + f" {n}"
+        border = n % 10 == 0
+        toxic = n % 50 == 0 or n % 33 == 1 and not border
+        rows.append((n, ("idiot " if border else "you idiot moron scum " if toxic else "") + text, int(toxic), border))
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int, border boolean")
+    for most in (10_000, 600):
+        scored = toxicity.score(made.where("border"), toxicity.fit(made.select("doc_id", "text"), made.select("doc_id", "toxic"), most))
+        at = scored.agg(F.avg("score").alias("score"), F.avg("predicted").alias("predicted")).first()
+        assert at.score == pytest.approx(0.2, abs=0.15) and at.predicted == 0
+
+
 def test_mixing(spark, odd, nothing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = mixing.mix(docs, mixing.domains_of(labels)).toPandas()

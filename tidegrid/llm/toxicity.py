@@ -135,12 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     """Lexicon, trees and calibration from the texts of ``docs`` that ``labels`` marks 0 or 1.
 
     About ``rows_per_class`` rows of each class are drawn by a fixed seed before texts are looked
-    up, so the ids that are broadcast and the texts that are fitted are bounded.  Where rows of
-    either class are missing, the model is the share of toxic rows.
+    up, so the ids that are broadcast and the texts that are fitted are bounded.  A drawn row counts
+    as often in trees and calibration as there are labels of its class for each drawn one, so a
+    score is the chance among all labelled rows at any size.  Where rows of either class are
+    missing, the model is the share of toxic rows.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
+    labelled = dict(counts)
     constant = {"constant": (bad / (bad + good)) if bad + good else 0.0}
     if not bad or not good:
         return constant
@@ -155,17 +158,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     if not bad or not good:
         return constant
     lexicon = learn_lexicon(rows, bad, good)
-    data = materialize(_vectors(rows, lexicon).select("_features", F.col("toxic").cast("double").alias("label"), "fold"))
-    train = data.select(array_to_vector("_features").alias("features"), "label", "fold")
+    taken = {r.toxic: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    weight = F.when(F.col("toxic") == 1, labelled[1] / taken[1]).otherwise(labelled[0] / taken[0]).alias("weight")
+    data = materialize(_vectors(rows, lexicon).select("_features", F.col("toxic").cast("double").alias("label"), weight, "fold"))
+    train = data.select(array_to_vector("_features").alias("features"), "label", "weight", "fold")
     fitted = train.where("fold >= 3")
     if len(fitted.groupBy("label").count().collect()) < 2:
         fitted = train
-    trees = GBTClassifier(maxIter=12, maxDepth=3, maxBins=32, stepSize=0.3, seed=3).fit(fitted)
-    chance = lambda d: trees.transform(d).select("label", vector_to_array("probability")[1].alias("chance"))
+    trees = GBTClassifier(maxIter=12, maxDepth=3, maxBins=32, stepSize=0.3, seed=3, weightCol="weight").fit(fitted)
+    chance = lambda d: trees.transform(d).select("label", "weight", vector_to_array("probability")[1].alias("chance"))
     held = chance(train.where("fold < 3"))
     calibration = None
     if len(held.groupBy("label").count().collect()) == 2:
-        calibration = IsotonicRegression(featuresCol="chance", labelCol="label").fit(held)
+        calibration = IsotonicRegression(featuresCol="chance", labelCol="label", weightCol="weight").fit(held)
     for made in (rows, data):
         release(made)
     return {"lexicon": lexicon, "trees": trees, "calibration": calibration}
