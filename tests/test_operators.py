@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import aggregates, pentad
 from tidegrid.operators import eof, fields, grids, series
+from tidegrid.plans import catalogue
 from tidegrid.sources import tiers
 
 
@@ -129,3 +130,20 @@ def test_tiers(spark, tmp_path):
     tiers.write_binary(field, str(tmp_path / "bin"), ["pentadstamp"])
     packed = b"".join(r.packed for r in spark.read.parquet(str(tmp_path / "bin")).collect())
     assert sorted(np.frombuffer(packed, ">f4")) == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_spectrum_of_differences_has_no_trend(spark):
+    """Missing ends filled and the line removed from every difference before its transform, against numpy."""
+    sf = "/root/testdata/sf0.001"
+    vec = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 12").collect()}
+    x, want = np.arange(64), {}
+    gappy = {t: np.where((x >= t % 5) & (x < 64 - t % 3), v, np.nan) for t, v in vec.items()}
+    for t in sorted(set(gappy) & {t + 1 for t in gappy}):
+        d = gappy[t] - gappy[t - 1]
+        at = np.flatnonzero(~np.isnan(d))
+        d[: at[0]], d[at[-1] + 1 :] = d[at[0]], d[at[-1]]
+        want[t] = np.abs(np.fft.fft(d - np.polyval(np.polyfit(x, d, 1), x))[:32]) / 64
+    got = catalogue.queries()["spectrum_diff_detrended"](spark, sf).where(f"t <= {max(want)}").toPandas()
+    assert want and len(got) == 32 * len(want) and got.where(got.k == 0).radius.max() < 1e-6
+    for t, rows in got.groupby("t"):
+        assert rows.sort_values("k").radius.to_numpy() == pytest.approx(want[t], abs=2e-6)

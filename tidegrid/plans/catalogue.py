@@ -157,6 +157,15 @@ def spectrum_diff(spark, sf_dir):
     return _r(series.dft(series.fill_ends(diff), "v", a.WIDTH).select("t", "k", "radius"), "radius")
 
 
+def spectrum_diff_detrended(spark, sf_dir):
+    """SURVEY N16: differences to the vector before, each with missing ends; ends filled, line removed, spectrum."""
+    inside = (F.col("x") >= F.col("t") % 5) & (F.col("x") < a.WIDTH - F.col("t") % 3)
+    rows = a.vectors(spark, sf_dir).withColumn("v", F.when(inside, F.col("v")))
+    other = rows.select((F.col("t") + 1).alias("t"), "x", F.col("v").alias("w"))
+    diff = rows.join(other, ["t", "x"]).select("t", "x", (F.col("v") - F.col("w")).alias("v"))
+    return _r(series.dft(series.detrend(series.fill_ends(diff)), "v_detrended", a.WIDTH).select("t", "k", "radius"), "radius")
+
+
 def gradient_hist(spark, sf_dir):
     return series.histogram(series.gradient(a.vectors(spark, sf_dir)), "g", 0.1)
 
@@ -267,6 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "variance_fraction": lambda s, d: _r(series.variance_fraction(_spectrum(s, d), 3), "frac", "log_amp"),
     "band_variance": lambda s, d: _r(series.band_variance(_spectrum(s, d)), "frac"),
     "spectrum_diff": spectrum_diff,
+    "spectrum_diff_detrended": spectrum_diff_detrended,
     "gradient": lambda s, d: _r(series.gradient(a.vectors(s, d)), "x_mid", "g"),
     "gradient_hist": gradient_hist,
     "faketail": lambda s, d: _r(series.fill_ends(_gappy(s, d)), "v"),

@@ -140,6 +140,8 @@ ORACLES = {
         body=f"SELECT t, band, {_r('p / sum(p) OVER (PARTITION BY t)', 'frac')} FROM g"),
     "spectrum_diff": _with("vec", more="d AS (SELECT a.t, a.x, a.v - b.v AS v FROM vec a JOIN vec b ON a.t = b.t + 1 AND a.x = b.x), f AS (SELECT t, CAST(k AS INTEGER) AS k, sum(v * cos(2 * pi() * ((k * x) % 64) / 64)) / 64 AS re, sum(v * sin(2 * pi() * ((k * x) % 64) / 64)) / 64 AS im FROM d, range(32) r(k) GROUP BY ALL)",
         body=f"SELECT t, k, {_r('sqrt(re * re + im * im)', 'radius')} FROM f"),
+    "spectrum_diff_detrended": _with("vec", more="g AS (SELECT t, x, CASE WHEN x >= t % 5 AND x < 64 - t % 3 THEN v END AS v FROM vec), d AS (SELECT a.t, a.x, a.v - b.v AS v FROM g a JOIN g b ON a.t = b.t + 1 AND a.x = b.x), e AS (SELECT t, min(x) AS lo, max(x) AS hi, arg_min(v, x) AS v_lo, arg_max(v, x) AS v_hi FROM d WHERE v IS NOT NULL GROUP BY t), w AS (SELECT t, x, CASE WHEN x < lo THEN v_lo WHEN x > hi THEN v_hi ELSE v END AS v FROM d JOIN e USING (t)), l AS (SELECT t, x, v - (regr_slope(v, x) OVER (PARTITION BY t) * x + regr_intercept(v, x) OVER (PARTITION BY t)) AS v FROM w), f AS (SELECT t, CAST(k AS INTEGER) AS k, sum(v * cos(2 * pi() * ((k * x) % 64) / 64)) / 64 AS re, sum(v * sin(2 * pi() * ((k * x) % 64) / 64)) / 64 AS im FROM l, range(32) r(k) GROUP BY ALL)",
+        body=f"SELECT t, k, {_r('sqrt(re * re + im * im)', 'radius')} FROM f"),
     "gradient": _with("vec", body=f"SELECT a.t, {_r('a.x + 0.5::DOUBLE', 'x_mid')}, {_r('b.v - a.v', 'g')} FROM vec a JOIN vec b ON b.t = a.t AND b.x = a.x + 1"),
     "gradient_hist": _with("vec", body="SELECT CAST(floor((b.v - a.v) / 0.1::DOUBLE) AS INTEGER) AS bin, count(*) AS n FROM vec a JOIN vec b ON b.t = a.t AND b.x = a.x + 1 GROUP BY ALL"),
     "faketail": _with("vec", more="m AS (SELECT t, x, CASE WHEN abs(v) > 0.05::DOUBLE THEN v END AS v FROM vec), e AS (SELECT t, min(x) AS a, max(x) AS b, arg_min(v, x) AS va, arg_max(v, x) AS vb FROM m WHERE v IS NOT NULL GROUP BY t)",
