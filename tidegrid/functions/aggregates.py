@@ -42,12 +42,12 @@ def sign_of_mode(v: Column) -> Column:
     return F.when(F.count_if(v < 0) > F.count_if(v >= 0), -1).otherwise(1)
 
 
-def pretty_latitude(lat: Column) -> Column:
-    """``30N``, ``12.5S``, ``0``; an error beyond the poles."""
+def pretty_latitude(lat: Column, zero: str = "") -> Column:
+    """``30N``, ``12.5S``, ``0`` followed by ``zero``; an error beyond the poles."""
     size = F.abs(lat)
     text = F.when(size == F.floor(size), F.floor(size).cast("string")).otherwise(size.cast("string"))
     checked = F.when(size > 90, F.raise_error(F.lit("latitude beyond a pole"))).otherwise(text)
-    return F.concat(checked, F.when(lat > 0, "N").when(lat < 0, "S").otherwise(""))
+    return F.concat(checked, F.when(lat > 0, "N").when(lat < 0, "S").otherwise(zero))
 
 
 def pretty_longitude(lon: Column) -> Column:

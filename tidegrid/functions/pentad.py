@@ -42,6 +42,21 @@ def parse(label: Column) -> Column:
     return (parts[0].cast("int") * PENTADS + parts[1].cast("int")).cast("int")
 
 
+def stamp_from(year: Column, pentad: Column) -> Column:
+    """Stamp of a year and a pentad, which may carry over; a missing part counts as 0."""
+    return delta_from(year, pentad)
+
+
+def delta_from(years: Column, pentads: Column) -> Column:
+    """A span of years and pentads as a number of pentads; a missing part counts as 0.
+
+    Points and spans are plain integers: a point plus or minus a span is a point, the difference of
+    two points is a span, and both compare as numbers do.
+    """
+    none = F.lit(0)
+    return (F.coalesce(years, none) * PENTADS + F.coalesce(pentads, none)).cast("int")
+
+
 def begin_of(stamp: Column) -> Column:
     return F.date_add(F.make_date(year_of(stamp), F.lit(1), F.lit(1)), pentad_in_year(stamp) * DAYS)
 

@@ -1,7 +1,8 @@
 """Principal components of fields by the snapshot method: few samples, any number of cells.
 
-The Gram matrix of the samples is summed from per-task blocks; only that matrix (samples squared)
-reaches the driver.  Modes are then dot products inside each cell's row.
+The Gram matrix of the samples is summed from per-task blocks; only that matrix (samples squared,
+at most ``MOST_SAMPLES`` squared) reaches the driver.  Modes are then products of a block of cells
+with the samples' eigenvectors.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.aggregates import sign_of_mode
+from tidegrid.functions.aggregates import avg_strict, sign_of_mode, std_pop_strict
+from tidegrid.operators import fields, grids
+from tidegrid.sources.shared import materialize
+
+MOST_SAMPLES = 2048
 
 
 def anomalies(rows: DataFrame, samples: int) -> DataFrame:
@@ -39,12 +44,19 @@ def gram(cells: DataFrame) -> DataFrame:
 
 
 def decompose(products: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(eigenvalues descending, eigenvectors as columns) of the samples' Gram matrix."""
-    rows = products.collect()  # samples squared
-    n = max((r.t for r in rows), default=-1) + 1
+    """(eigenvalues descending, eigenvectors as columns) of the samples' Gram matrix.
+
+    More than ``MOST_SAMPLES`` samples are an error; no rows give an empty decomposition.
+    """
+    n = (products.agg(F.max("t").alias("t")).first().t or 0) + 1
+    if n > MOST_SAMPLES:
+        raise ValueError(f"{n} samples; at most {MOST_SAMPLES} are decomposed on the driver")
+    rows = products.toArrow()  # samples squared, as columns
+    if not rows.num_rows:
+        return np.zeros(0), np.zeros((0, 0))
+    s, t, g = (rows.column(c).to_numpy() for c in ("s", "t", "g"))
     full = np.zeros((n, n))
-    for r in rows:
-        full[r.s, r.t] = full[r.t, r.s] = r.g
+    full[s, t] = full[t, s] = g
     values, vectors = np.linalg.eigh(full)
     return np.maximum(values[::-1], 0.0), vectors[:, ::-1]
 
@@ -53,17 +65,29 @@ def modes(cells: DataFrame, n_modes: int) -> tuple[DataFrame, DataFrame, DataFra
     """(mode, cell, v), (mode, sample, pc) and (mode, variance, share, share_of_kept).
 
     Modes have unit length over cells; the sign makes at least half of the values nonnegative.
+    share is of the total variance, share_of_kept of the modes returned.  An empty table and a
+    single sample (which has no anomaly) give no modes.  The anomalies are written once to the
+    shared folder, as the Gram matrix, the signs and the maps all read them.
     """
     spark = cells.sparkSession
-    values, vectors = decompose(gram(cells))
+    cells, _ = materialize(cells)
+    products = gram(cells).persist()  # read twice: its size first
+    values, vectors = decompose(products)
+    products.unpersist()
     n, total = len(values), float(values.sum())
     used = [k for k in range(min(n_modes, n)) if values[k] > 1e-10 * max(total, 1e-300)]
-    dot = lambda k: F.aggregate(
-        F.zip_with("a", F.array(*[F.lit(float(u / np.sqrt(values[k]))) for u in vectors[:, k]]), lambda x, u: x * u), F.lit(0.0), lambda t, x: t + x
-    )
-    maps = cells.select("cell", F.inline(F.array(*[F.struct(F.lit(k).alias("mode"), dot(k).alias("v")) for k in used])))
+    factors = vectors[:, used] / np.sqrt(values[used])
+    kind = cells.schema["cell"].dataType.simpleString()
+
+    def project(batches):
+        for pdf in batches:
+            if len(pdf) and used:
+                x = np.array(pdf["a"].tolist()) @ factors
+                yield pd.DataFrame({"mode": np.tile(used, len(x)), "cell": pdf["cell"].repeat(len(used)).reset_index(drop=True), "v": x.ravel()})
+
+    maps = cells.mapInPandas(project, f"mode int, cell {kind}, v double")
     signs = maps.groupBy("mode").agg(sign_of_mode(F.col("v")).alias("sign"))
-    maps = maps.join(F.broadcast(signs), "mode").select("mode", "cell", (F.col("v") * F.col("sign")).alias("v"))
+    maps = maps.join(F.broadcast(signs), "mode").select("mode", "cell", (F.col("v") * F.col("sign")).alias("v"))  # a row a mode
     pcs = spark.createDataFrame(
         [(k, s, float(vectors[s, k] * np.sqrt(values[k]))) for k in used for s in range(n)], "mode int, sample int, pc double"
     ).join(F.broadcast(signs), "mode").select("mode", "sample", (F.col("pc") * F.col("sign")).alias("pc"))
@@ -79,3 +103,56 @@ def normalised(maps: DataFrame) -> DataFrame:
     """Modes divided by three population standard deviations over cells, for display."""
     spread = maps.groupBy("mode").agg(F.stddev_pop("v").alias("std"))
     return maps.join(F.broadcast(spread), "mode").select("mode", "cell", F.try_divide(F.col("v"), 3 * F.col("std")).alias("v"))
+
+
+def stacked_differences(rows: DataFrame, names: list[str], stamps: DataFrame, mode: str = "all", half: int = 0) -> tuple[DataFrame, int]:
+    """(sample, lat_i, lon_i, v) of product differences, and the number of samples.
+
+    Differences of the pairs of ``names`` (``mode`` as in ``fields.pairs``) at every pentad of
+    ``stamps`` are smoothed by a box of ``half`` cells to each side (0: not) and stacked: sample =
+    pair * number of pentads + rank of the pentad.  Cells without a value have no row.
+    """
+    order = [r.pentadstamp for r in stamps.select("pentadstamp").distinct().orderBy("pentadstamp").collect()]  # a time axis
+    ranks = rows.sparkSession.createDataFrame(list(zip(order, range(len(order)))), "pentadstamp int, rank int")
+    pairs = fields.pairs(names, mode)
+    diff = fields.differences(rows.join(F.broadcast(ranks.select("pentadstamp")), "pentadstamp", "left_semi"), names, mode)
+    pair = F.element_at(F.create_map(*[F.lit(x) for k, (i, j) in enumerate(pairs) for x in (i * len(names) + j, k)]), F.col("i") * len(names) + F.col("j"))
+    diff = diff.join(F.broadcast(ranks), "pentadstamp")
+    diff = diff.select((pair * len(order) + F.col("rank")).cast("int").alias("sample"), "lat_i", "lon_i", F.col("diff").alias("v"))
+    if half:
+        # the box reaches cells that have no difference of their own, so every cell needs a row
+        cells = rows.select("lat_i", "lon_i").distinct()
+        grid = diff.select("sample").distinct().crossJoin(cells)  # samples beside the grid: the size of the stacked field
+        diff = grids.box_filter(grid.join(diff, ["sample", "lat_i", "lon_i"], "left"), ["sample"], half)
+    return diff.where(F.col("v").isNotNull()), len(pairs) * len(order)
+
+
+def cell_stats(stacked: DataFrame, samples: int) -> DataFrame:
+    """lat_i, lon_i, mean, std: over all samples of a cell, missing where one is missing."""
+    whole = F.count("v") == samples
+    return stacked.groupBy("lat_i", "lon_i").agg(
+        F.when(whole, avg_strict(F.col("v"))).alias("mean"), F.when(whole, std_pop_strict(F.col("v"))).alias("std")
+    )
+
+
+def as_cells(stacked: DataFrame, samples: int, mask: DataFrame | None = None) -> DataFrame:
+    """Anomalies of the cells that have every sample and, with ``mask`` (lat_i, lon_i, mask), a mask of 1."""
+    kept = stacked if mask is None else fields.compress(stacked, mask)
+    cell = F.shiftleft(F.col("lat_i").cast("long"), 32) + F.col("lon_i")
+    return anomalies(kept.select(cell.alias("cell"), "sample", "v"), samples)
+
+
+def of_differences(
+    rows: DataFrame, names: list[str], stamps: DataFrame, n_modes: int, mode: str = "all", half: int = 0, mask: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Modes of product differences: (mode, lat_i, lon_i, v on the whole grid), pcs, variance, cell stats.
+
+    Differences, smoothing, stacking, centring, masking, decomposition and scattering back, with
+    cells outside the mask missing.  Two names and ``half`` 0 give the modes of a single pair.
+    """
+    stacked, samples = stacked_differences(rows, names, stamps, mode, half)
+    stacked, _ = materialize(stacked)
+    maps, pcs, variance = modes(as_cells(stacked, samples, mask), n_modes)
+    low = F.col("cell").bitwiseAND(F.lit((1 << 32) - 1))
+    flat = maps.select("mode", F.shiftright("cell", 32).cast("int").alias("lat_i"), low.cast("int").alias("lon_i"), "v")
+    return fields.scatter(flat, rows, ["mode"]), pcs, variance, cell_stats(stacked, samples)

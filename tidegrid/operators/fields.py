@@ -25,12 +25,14 @@ CELL = ["lat_i", "lon_i"]
 def pentad_mean(daily: DataFrame, strict_days: bool = False) -> DataFrame:
     """ds, pentadstamp, lat_i, lon_i, v, n: means over five days, skipping missing values.
 
-    With ``strict_days`` a dataset's pentad is left out unless rows of all five days are there.
+    With ``strict_days`` a dataset's pentad is left out unless rows of all five days are there: days
+    are bits that are combined where the rows are read, so few rows are shuffled for the rule.
     """
     rows = daily.withColumn("pentadstamp", pentad.stamp_of(F.col("d"))).where("pentadstamp IS NOT NULL")
     means = rows.groupBy("ds", "pentadstamp", *CELL).agg(F.avg("v").alias("v"), F.count("v").alias("n"))
     if strict_days:
-        whole = rows.groupBy("ds", "pentadstamp").agg(F.count_distinct("d").alias("days")).where(F.col("days") == pentad.DAYS)
+        day = F.expr(f"shiftleft(1, (dayofyear(d) - 1) % {pentad.DAYS})")
+        whole = rows.groupBy("ds", "pentadstamp").agg(F.bit_count(F.bit_or(day)).alias("days")).where(F.col("days") == pentad.DAYS)
         means = means.join(whole.select("ds", "pentadstamp"), ["ds", "pentadstamp"], "left_semi")
     return means
 
@@ -157,19 +159,122 @@ def missing_days(days: DataFrame) -> DataFrame:
     return calendar.join(days.select("d").distinct(), "d", "left_anti")
 
 
-def first_interval(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every point (d) with the first span (ord, name, beg, end) that holds it; a few spans in a catalogue."""
-    rows = points.join(F.broadcast(spans), F.col("d").between(F.col("beg"), F.col("end")))
-    return rows.groupBy("d").agg(F.min_by("name", "ord").alias("name"))
+def first_interval(points: DataFrame, spans: DataFrame, strict: bool = True) -> DataFrame:
+    """Every point (d) with the first span (ord, name, beg, end) that holds it; a few spans in a catalogue.
+
+    A point outside all spans is an error, or without ``strict`` has no name.
+    """
+    rows = points.join(F.broadcast(spans), F.col("d").between(F.col("beg"), F.col("end")), "left")
+    found = rows.groupBy("d").agg(F.min_by("name", "ord").alias("name"))
+    if not strict:
+        return found
+    lost = F.raise_error(F.concat(F.lit("no span holds "), F.col("d").cast("string")))
+    return found.withColumn("name", F.when(F.col("name").isNull(), lost.cast("string")).otherwise(F.col("name")))
 
 
 def index_range(axis: DataFrame, coordinate: str, index: str, low: float, high: float) -> DataFrame:
-    """First and last index whose coordinate lies in [low, high]; null where none does."""
-    return axis.where(F.col(coordinate).between(low, high)).agg(F.min(index).alias("first_i"), F.max(index).alias("last_i"))
+    """First and last index whose coordinate lies in [low, high]; null where none does.
+
+    An axis whose coordinates do not rise strictly with the index is an error.
+    """
+    before = F.lag(coordinate).over(Window.orderBy(index))  # an axis is as long as the grid is wide
+    falls = F.count_if(F.col("_before") >= F.col(coordinate)) > 0
+    inside = F.when(F.col(coordinate).between(low, high), F.col(index))
+    found = axis.withColumn("_before", before).agg(falls.alias("_falls"), F.min(inside).alias("first_i"), F.max(inside).alias("last_i"))
+    wrong = F.raise_error(F.lit(f"{coordinate} does not rise strictly"))
+    checked = lambda c: F.when(F.col("_falls"), wrong.cast("int")).otherwise(F.col(c)).alias(c)
+    return found.select(checked("first_i"), checked("last_i"))
+
+
+def index_box(cells: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
+    """lat_first, lat_last, lon_first, lon_last: the index ranges of a box on both axes of ``cells``."""
+    rows = index_range(cells.select("lat_i", "lat").distinct(), "lat", "lat_i", *lat).toDF("lat_first", "lat_last")
+    columns = index_range(cells.select("lon_i", "lon").distinct(), "lon", "lon_i", *lon).toDF("lon_first", "lon_last")
+    return rows.crossJoin(columns)  # one row each
+
+
+def longitude_start(axes: DataFrame) -> DataFrame:
+    """ds, start: index of the first longitude after the one break of each dataset's axis (ds, lon_i, lon).
+
+    Longitudes are taken modulo 360; a step of more than 90 degrees to the next one (the last one's
+    next is the first) is the break.  0 without a break; more than one is an error.
+    """
+    order = Window.partitionBy("ds").orderBy("lon_i")
+    whole = Window.partitionBy("ds")
+    wrapped = axes.withColumn("_lon", wrap_longitude(F.col("lon")))
+    following = F.coalesce(F.lead("_lon").over(order), F.min_by("_lon", "lon_i").over(whole))
+    rows = wrapped.withColumns({"_break": F.abs(following - F.col("_lon")) > 90, "_n": F.count("*").over(whole)})
+    found = rows.groupBy("ds").agg(F.count_if("_break").alias("_breaks"), F.min(F.when(F.col("_break"), F.col("lon_i"))).alias("_at"), F.first("_n").alias("_n"))
+    wrong = F.raise_error(F.concat(F.lit("more than one break of longitude in "), F.col("ds"))).cast("int")
+    start = F.coalesce(F.pmod(F.col("_at") + 1, F.col("_n")), F.lit(0)).cast("int")
+    return found.select("ds", F.when(F.col("_breaks") > 1, wrong).otherwise(start).alias("start"))
+
+
+def rotated_index(i: Column, start: Column, n: int, offset: int = 0) -> Column:
+    """Index on the stored axis of position ``i`` of an axis that starts ``start`` (and ``offset``) later."""
+    return F.pmod(start + F.lit(offset) + i, F.lit(n)).cast("int")
+
+
+def ascending_latitude(fields: DataFrame) -> DataFrame:
+    """Datasets whose latitude falls with its index get the index turned round."""
+    ends = fields.groupBy("ds").agg(
+        F.min("lat_i").alias("_low"), F.max("lat_i").alias("_high"), F.min_by("lat", "lat_i").alias("_first"), F.max_by("lat", "lat_i").alias("_last")
+    )
+    turned = F.when(F.col("_first") > F.col("_last"), F.col("_low") + F.col("_high") - F.col("lat_i")).otherwise(F.col("lat_i"))
+    rows = fields.join(ends, "ds")  # a row a dataset
+    return rows.select(*[turned.alias(c) if c == "lat_i" else F.col(c) for c in fields.columns])
+
+
+def surface(columns: DataFrame, varname: str) -> DataFrame:
+    """The top level (k = 0) of a field with levels, its value named ``varname``."""
+    return columns.where("k = 0").drop("k").withColumnRenamed("v", varname)
+
+
+def select_stamps(fields: DataFrame, stamps: list[int]) -> DataFrame:
+    """Rows of exactly these pentads; a pentad that no row has is an error."""
+    wanted = fields.sparkSession.createDataFrame([(s,) for s in stamps], "pentadstamp int")
+    rows = fields.join(F.broadcast(wanted), "pentadstamp", "left_semi")  # the caller's list
+    lost = wanted.join(rows.select("pentadstamp").distinct(), "pentadstamp", "left_anti").take(5)
+    if lost:
+        raise KeyError(f"missing pentads: {sorted(r.pentadstamp for r in lost)}")
+    return rows
+
+
+def merge_variables(fields: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """keys and a column for each of ``names`` (values of ds): a full outer merge by one aggregation."""
+    rows = fields.where(F.col("ds").isin(names))
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("ds") == n, F.col("v"))).alias(n) for n in names])
+
+
+def stack(slices: list[DataFrame]) -> DataFrame:
+    """Rows of all slices one after the other, with ``part`` telling the slice; columns by name, absent ones null."""
+    parts = [s.withColumn("part", F.lit(i)) for i, s in enumerate(slices)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def compress(cells: DataFrame, mask: DataFrame) -> DataFrame:
+    """``cells`` (lat_i, lon_i, ...) whose mask (lat_i, lon_i, mask) is 1."""
+    return cells.join(mask.where("mask = 1").select(*CELL).distinct(), CELL, "left_semi")
+
+
+def scatter(values: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lat_i, lon_i, v for every cell of ``grid`` and every combination of ``keys`` in ``values``; missing where there is none."""
+    full = grid.select(*CELL).distinct().crossJoin(values.select(*keys).distinct())  # modes or the like: a short list beside the grid
+    return full.join(values, [*keys, *CELL], "left").select(*keys, *CELL, "v")
+
+
+def distance_text(stats: DataFrame) -> DataFrame:
+    """ds1, ds2, text: ``mean ± deviation`` with two decimals."""
+    return stats.select("ds1", "ds2", F.format_string("%.2f ± %.2f", "mean", "std").alias("text"))
 
 
-def out_of_range(fields: DataFrame, low: float, high: float) -> DataFrame:
-    return fields.groupBy("ds").agg(
+def out_of_range(fields: DataFrame, low: float, high: float, ocean: Column | None = None) -> DataFrame:
+    """ds, outside, finite, missing: counts over the ocean cells, or all cells without ``ocean``."""
+    rows = fields if ocean is None else fields.where(ocean)
+    return rows.groupBy("ds").agg(
         F.count_if((F.col("v") < low) | (F.col("v") > high)).alias("outside"),
         F.count("v").alias("finite"),
         F.count_if(F.col("v").isNull()).alias("missing"),
@@ -188,15 +293,14 @@ def boxes(spark: SparkSession, lat: tuple[float, float], lon: tuple[float, float
     )
 
 
-def faces(field: DataFrame, cells: int) -> DataFrame:
+def faces(field: DataFrame, n_lat: int, n_lon: int) -> DataFrame:
     """side, k, at, v: the first and last rows and columns of each level as N, S, W and E faces."""
-    last = F.lit(cells - 1)
     sides = F.array_compact(
         F.array(
             F.when(F.col("lat_i") == 0, F.struct(F.lit("S").alias("side"), F.col("lon_i").alias("at"))),
-            F.when(F.col("lat_i") == last, F.struct(F.lit("N").alias("side"), F.col("lon_i").alias("at"))),
+            F.when(F.col("lat_i") == n_lat - 1, F.struct(F.lit("N").alias("side"), F.col("lon_i").alias("at"))),
             F.when(F.col("lon_i") == 0, F.struct(F.lit("W").alias("side"), F.col("lat_i").alias("at"))),
-            F.when(F.col("lon_i") == last, F.struct(F.lit("E").alias("side"), F.col("lat_i").alias("at"))),
+            F.when(F.col("lon_i") == n_lon - 1, F.struct(F.lit("E").alias("side"), F.col("lat_i").alias("at"))),
         )
     )
     return field.select("k", "v", F.inline(sides)).select("side", "k", "at", F.coalesce("v", F.lit(0.0)).alias("v"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegrid.sources.shared import delete_folder, materialize
+
+LAYER_CELLS = 4_000_000  # a layer up to this size (32 MB) is swept inside one task
+
 
 def axis(low: float, high: float, step: float) -> list[float]:
     """low, low + step, ... below high, safe against rounding at the end."""
@@ -20,14 +27,15 @@ def axis_weights(spark: SparkSession, source: list[float], target: list[float],
     Points outside the source have no rows unless ``clamp`` moves them to the edge; weights of 0
     are left out.  The table is as long as an axis, never as a field.
     """
-    rows = []
+    order = sorted(range(len(source)), key=source.__getitem__)  # depths may descend
+    points, rows = [source[i] for i in order], []
     for t, x in enumerate(target):
-        x = min(max(x, source[0]), source[-1]) if clamp else x
-        if not source[0] - 1e-9 <= x <= source[-1] + 1e-9:
+        x = min(max(x, points[0]), points[-1]) if clamp else x
+        if not points[0] - 1e-9 <= x <= points[-1] + 1e-9:
             continue
-        s = max(0, min(len(source) - 2, sum(v <= x + 1e-9 for v in source) - 1)) if len(source) > 1 else 0
-        w = (x - source[s]) / (source[s + 1] - source[s]) if len(source) > 1 else 0.0
-        rows += [(t, i, c) for i, c in ((s, 1.0 - w), (s + 1, w)) if abs(c) > 1e-9]
+        s = max(0, min(len(points) - 2, bisect.bisect_right(points, x + 1e-9) - 1))
+        w = (x - points[s]) / (points[s + 1] - points[s]) if len(points) > 1 else 0.0
+        rows += [(t, order[i], c) for i, c in ((s, 1.0 - w), (s + 1, w)) if abs(c) > 1e-9]
     return spark.createDataFrame(rows, f"{name}_t int, {name}_s int, {name}_w double")
 
 
@@ -43,6 +51,47 @@ def regrid(fields: DataFrame, keys: list[str], lat_weights: DataFrame, lon_weigh
     return out.select(*keys, F.col("lat_t").alias("lat_i"), F.col("lon_t").alias("lon_i"), whole.alias("v"))
 
 
+def regrid_staggered(
+    columns: DataFrame,
+    keys: list[str],
+    source: dict[str, list[float]],
+    target: dict[str, list[float]],
+    land: DataFrame,
+    sweeps: int,
+    extend_downward: bool = True,
+    fill_value: float = 0.0,
+    valid: tuple[float, float] = (float("-inf"), float("inf")),
+) -> DataFrame:
+    """keys, k, lat_i, lon_i, v, outside on the cells of one staggered target grid (T, U or V).
+
+    ``source`` and ``target`` give the axes z, lat, lon; the target's are those of its staggering
+    (a U grid takes the western faces' longitudes, a V grid the southern faces' latitudes).  In
+    this order: gaps of each level are flooded from their neighbours, columns are carried down
+    from their deepest value (``extend_downward``), each column is interpolated to the target's
+    levels, and each level bilinearly with targets outside moved to the edge.  Target cells that
+    ``land`` (k, lat_i, lon_i) lists are missing; other cells that are still missing take
+    ``fill_value``.  ``outside`` tells whether an interpolated ocean value lies outside ``valid``.
+
+    A target level outside the source's raises.  Axes are small lists; fields are shuffled for the
+    flood and for each of the two interpolations, never joined with each other.
+    """
+    low, high = min(source["z"]), max(source["z"])
+    if any(not low - 1e-9 <= z <= high + 1e-9 for z in target["z"]):
+        raise ValueError("a target level lies outside the source's levels")
+    spark = columns.sparkSession
+    rows = flood_fill(columns.select(*keys, "k", "lat_i", "lon_i", "v"), [*keys, "k"], len(source["lat"]), len(source["lon"]), sweeps)
+    if extend_downward:
+        rows = fill_down(rows, [*keys, "lat_i", "lon_i"])
+    levels = axis_weights(spark, source["z"], target["z"], "x")
+    rows = interpolate(rows.withColumnRenamed("k", "axis_i"), [*keys, "lat_i", "lon_i"], levels).withColumnRenamed("axis_i", "k")
+    lat, lon = (axis_weights(spark, source[c], target[c], c, clamp=True) for c in ("lat", "lon"))
+    rows = regrid(rows, [*keys, "k"], lat, lon)
+    rows = rows.join(land.select("k", "lat_i", "lon_i", F.lit(True).alias("_land")), ["k", "lat_i", "lon_i"], "left")
+    wet = F.col("_land").isNull()
+    outside = F.coalesce(wet & ((F.col("v") < valid[0]) | (F.col("v") > valid[1])), F.lit(False))
+    return rows.select(*keys, "k", "lat_i", "lon_i", F.when(wet, F.coalesce("v", F.lit(fill_value))).alias("v"), outside.alias("outside"))
+
+
 def interpolate(fields: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
     """The same along one axis: rows (keys, axis_i, v) and weights named ``x``."""
     rows = fields.join(F.broadcast(weights), F.col("axis_i") == F.col("x_s"))
@@ -64,7 +113,10 @@ def box_filter(fields: DataFrame, keys: list[str], half: int) -> DataFrame:
 
 
 def kernel_filter(fields: DataFrame, keys: list[str], kernel: dict[tuple[int, int], float]) -> DataFrame:
-    """Weighted mean of the present neighbours, by offsets; a cell without any stays missing."""
+    """Weighted mean of the present neighbours, by offsets; a cell without any stays missing.
+
+    For any kernel; one that is a product of two axes' weights is cheaper with ``separable_filter``.
+    """
     offsets = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(w).alias("w")) for (i, j), w in kernel.items()])
     spread = fields.where(F.col("v").isNotNull()).select(*keys, "lat_i", "lon_i", "v", F.inline(offsets))
     spread = spread.groupBy(*keys, (F.col("lat_i") + F.col("di")).alias("lat_i"), (F.col("lon_i") + F.col("dj")).alias("lon_i")).agg(
@@ -73,6 +125,52 @@ def kernel_filter(fields: DataFrame, keys: list[str], kernel: dict[tuple[int, in
     return fields.select(*keys, "lat_i", "lon_i").join(spread, [*keys, "lat_i", "lon_i"], "left")
 
 
+def separable_filter(fields: DataFrame, keys: list[str], weights: dict[int, float]) -> DataFrame:
+    """The same for a kernel that is the product of ``weights`` (by offset) along both axes.
+
+    Two passes, each of which sends a cell to as many cells as an axis has weights: 2 (2h+1)
+    copies instead of (2h+1)^2.  Weighted sums and the weights of present cells go along together.
+    """
+    steps = F.array(*[F.struct(F.lit(i).alias("_d"), F.lit(w).alias("_w")) for i, w in weights.items()])
+    present = fields.where(F.col("v").isNotNull()).select(*keys, "lat_i", "lon_i", F.col("v").alias("_s"), F.lit(1.0).alias("_c"))
+    for axis_name, other in (("lon_i", "lat_i"), ("lat_i", "lon_i")):
+        sent = present.select(*keys, "lat_i", "lon_i", "_s", "_c", F.inline(steps))
+        present = sent.groupBy(*keys, other, (F.col(axis_name) + F.col("_d")).alias(axis_name)).agg(
+            F.sum(F.col("_s") * F.col("_w")).alias("_s"), F.sum(F.col("_c") * F.col("_w")).alias("_c")
+        )
+    smooth = present.select(*keys, "lat_i", "lon_i", (F.col("_s") / F.col("_c")).alias("v"))
+    return fields.select(*keys, "lat_i", "lon_i").join(smooth, [*keys, "lat_i", "lon_i"], "left")
+
+
+def gauss_weights(half: int, sigma: float) -> dict[int, float]:
+    return {i: math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-half, half + 1)}
+
+
+def high_pass(fields: DataFrame, keys: list[str], n_lat: int, n_lon: int, half_lat: int, half_lon: int) -> DataFrame:
+    """keys, lat_i, lon_i, v: the field less its mean over a window that is mirrored at the edges.
+
+    A missing value counts as 0 in the mean and stays missing in the result.  Rows near an edge are
+    repeated behind it (the edge cell first), so the mean is two passes of plain range windows.
+    """
+
+    def smoothed(rows: DataFrame, along: str, other: str, n: int, half: int) -> DataFrame:
+        at = F.col(along)
+        mirrors = F.filter(
+            F.array(at, -at - 1, F.lit(2 * n - 1) - at), lambda x: x.between(-half, n - 1 + half)
+        )
+        window = Window.partitionBy(*keys, other).orderBy(along).rangeBetween(-half, half)
+        spread = rows.select(*keys, other, F.explode(mirrors).alias(along), "_m", F.when(at >= 0, F.col("v")).alias("v"))
+        return spread.select(*keys, "lat_i", "lon_i", "v", (F.sum("_m").over(window) / (2 * half + 1)).alias("_m")).where(
+            F.col(along).between(0, n - 1)
+        )
+
+    if half_lat >= n_lat or half_lon >= n_lon:
+        raise ValueError("a window reaches beyond the mirrored axis")
+    rows = fields.select(*keys, "lat_i", "lon_i", "v", F.coalesce("v", F.lit(0.0)).alias("_m"))
+    rows = smoothed(smoothed(rows, "lon_i", "lat_i", n_lon, half_lon), "lat_i", "lon_i", n_lat, half_lat)
+    return rows.select(*keys, "lat_i", "lon_i", (F.col("v") - F.col("_m")).alias("v"))
+
+
 def gauss_kernel(half: int, sigma: float) -> dict[tuple[int, int], float]:
     return {(i, j): math.exp(-(i * i + j * j) / (2 * sigma * sigma)) for i in range(-half, half + 1) for j in range(-half, half + 1)}
 
@@ -107,7 +205,48 @@ def flood_sweep(fields: DataFrame, keys: list[str], n_lat: int, n_lon: int, ocea
     return rows.select(*[c for c in fields.columns if c != "v"], F.when(fill, F.col("_around")).otherwise(F.col("v")).alias("v"))
 
 
-def flood_fill(fields: DataFrame, keys: list[str], n_lat: int, n_lon: int, sweeps: int, ocean: Column | None = None) -> DataFrame:
+def _flood_layers(fields: DataFrame, keys: list[str], n_lat: int, n_lon: int, sweeps: int) -> DataFrame:
+    """Sweeps of whole layers, one layer a group: the grid's size bounds what a task holds."""
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = (pdf["lat_i"].to_numpy(), pdf["lon_i"].to_numpy())
+        values, wet = np.full((n_lat, n_lon), np.nan), np.zeros((n_lat, n_lon), dtype=bool)
+        values[at], wet[at] = pdf["v"].to_numpy(dtype=float), pdf["_wet"].to_numpy(dtype=bool)
+        for _ in range(sweeps):
+            sides = np.stack([np.roll(values, step, axis) for axis in (0, 1) for step in (1, -1)])
+            held = np.isfinite(sides)
+            count = held.sum(axis=0)
+            open_cells = wet & np.isnan(values) & (count > 0)
+            if not open_cells.any():
+                break
+            values[open_cells] = np.where(held, sides, 0.0).sum(axis=0)[open_cells] / count[open_cells]
+        out = pdf.drop(columns=["_wet"])
+        out["v"] = pd.Series(values[at], index=pdf.index)
+        return out
+
+    schema = fields.drop("_wet").schema
+    return fields.groupBy(*keys).applyInPandas(fill, schema).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+
+
+def flood_fill(
+    fields: DataFrame, keys: list[str], n_lat: int, n_lon: int, sweeps: int, ocean: Column | None = None, layer_cells: int = LAYER_CELLS
+) -> DataFrame:
+    """``sweeps`` sweeps, or fewer where one changes nothing; a row a cell and layer.
+
+    A grid of up to ``layer_cells`` cells is swept layer by layer after one shuffle.  Larger grids
+    are swept by joins, and each sweep is written to the shared folder, so that the plan of a
+    sweep never holds those before it.
+    """
+    if n_lat * n_lon <= layer_cells:
+        wet = F.lit(True) if ocean is None else F.coalesce(ocean, F.lit(False))
+        return _flood_layers(fields.withColumn("_wet", wet), keys, n_lat, n_lon, sweeps).select(*fields.columns)
+    spark, open_before, old = fields.sparkSession, None, None
     for _ in range(sweeps):
-        fields = flood_sweep(fields, keys, n_lat, n_lon, ocean)
+        fields, path = materialize(flood_sweep(fields, keys, n_lat, n_lon, ocean))
+        if old:
+            delete_folder(spark, old)
+        old, still_open = path, fields.where(F.col("v").isNull()).count()
+        if still_open in (0, open_before):
+            break
+        open_before = still_open
     return fields

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Wavelength bands, each [low, high).
 BANDS = [(0.0, 2.0), (2.0, 5.0), (5.0, 360.0)]
+SUMMED = 256  # longest series whose transform is summed term by term
 
 
 def detrend(rows: DataFrame) -> DataFrame:
@@ -24,17 +27,15 @@ def detrend(rows: DataFrame) -> DataFrame:
 def dft(rows: DataFrame, value: str, n: int, dx: float = 1.0) -> DataFrame:
     """t, k, re, im, radius, phase, wvlen for k below n / 2, coefficients divided by n.
 
-    Series are gathered into arrays of ``n`` values once; every harmonic is then a sum inside the
-    row, so no row is multiplied before a shuffle.  Series with a missing value are left out.
+    Series are gathered into arrays of ``n`` values once, so no row is multiplied before a shuffle.
+    Short series are summed inside the row; beyond ``SUMMED`` values, where that would take n^2
+    steps, blocks of series go through a fast transform.  Series with a missing value are left out.
     wvlen is null for k = 0, and phase where the radius is only rounding noise.
     """
     series = rows.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("x", F.col(value).alias("v")))).alias("s")).where(
         (F.size("s") == n) & F.forall("s", lambda e: e["v"].isNotNull())
     )
-    waves = series.select("t", "s", F.explode(F.sequence(F.lit(0), F.lit(n // 2 - 1))).alias("k"))
-    turn = lambda e: F.lit(2 * math.pi) * F.pmod(F.col("k") * e["x"], F.lit(n)) / n
-    add = lambda f: F.aggregate("s", F.lit(0.0), lambda a, e: a + e["v"] * f(turn(e))) / n
-    parts = waves.select("t", "k", add(F.cos).alias("re"), (-add(F.sin)).alias("im"))
+    parts = _summed(series, n) if n <= SUMMED else _transformed(series, n)
     parts = parts.withColumn("radius", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
     return parts.select(
         "t", "k", "re", "im", "radius", F.when(F.col("radius") > 1e-9, F.atan2("im", "re")).alias("phase"),
@@ -42,6 +43,48 @@ def dft(rows: DataFrame, value: str, n: int, dx: float = 1.0) -> DataFrame:
     )
 
 
+def _summed(series: DataFrame, n: int) -> DataFrame:
+    waves = series.select("t", "s", F.explode(F.sequence(F.lit(0), F.lit(n // 2 - 1))).alias("k"))
+    turn = lambda e: F.lit(2 * math.pi) * F.pmod(F.col("k") * e["x"], F.lit(n)) / n
+    add = lambda f: F.aggregate("s", F.lit(0.0), lambda a, e: a + e["v"] * f(turn(e))) / n
+    return waves.select("t", "k", add(F.cos).alias("re"), (-add(F.sin)).alias("im"))
+
+
+def _transformed(series: DataFrame, n: int) -> DataFrame:
+    half = n // 2
+
+    @F.pandas_udf("array<struct<k: int, re: double, im: double>>")
+    def waves(values: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(values), 256):
+            found = np.fft.rfft(np.stack(values.iloc[at : at + 256].to_list()), axis=1)[:, :half] / n
+            out += [[{"k": k, "re": c.real, "im": c.imag} for k, c in enumerate(row)] for row in found]
+        return pd.Series(out)
+
+    return series.select("t", F.inline(waves(F.col("s.v"))))
+
+
+def chunk_amplitudes(spectrum: DataFrame, chunk: Column) -> DataFrame:
+    """t (the chunk), k, radius, wvlen: mean amplitude of each harmonic over the series of a chunk."""
+    rows = spectrum.select(chunk.alias("t"), "k", "radius", "wvlen").where("t IS NOT NULL")
+    return rows.groupBy("t", "k").agg(F.avg("radius").alias("radius"), F.first("wvlen").alias("wvlen"))
+
+
+def spectral_density(fields: DataFrame, keys: list[str], n_lon: int, dx: float, longest: float) -> DataFrame:
+    """keys, k, wvlen, density, log_density: mean over rows of |DFT|^2 along longitude, not normalised.
+
+    Each row's own mean is taken off first; wavelengths of ``longest`` and more, and rows with a
+    missing value, are left out.
+    """
+    line = F.struct(*[F.col(c) for c in keys], F.col("lat_i"))
+    rows = fields.select(line.alias("t"), F.col("lon_i").alias("x"), "v")
+    rows = rows.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("t")))
+    waves = dft(rows, "v", n_lon, dx).where((F.col("k") > 0) & (F.col("wvlen") < longest))
+    size = F.col("radius") * n_lon
+    out = waves.groupBy(*[F.col("t")[c].alias(c) for c in keys], "k").agg(F.first("wvlen").alias("wvlen"), F.avg(size * size).alias("density"))
+    return out.withColumn("log_density", F.when(F.col("density") > 0, F.log10("density")))
+
+
 def variance_fraction(spectrum: DataFrame, drop: int = 0) -> DataFrame:
     """t, k, frac, log_amp: share of each harmonic above ``drop`` in their total variance."""
     kept = spectrum.where(F.col("k") > drop)

@@ -17,7 +17,10 @@ from tidegrid.streaming import pentads
 
 FIRST_YEAR, LAST_YEAR = 1996, 2000
 REGRID_LAT, REGRID_LON = grids.axis(0.0, 72.5, 1.5), grids.axis(0.5, 69.5, 0.7)
-KERNEL = grids.gauss_kernel(2, 1.0)
+# A staggered target: levels between the source's, latitudes and longitudes that reach beyond its edges.
+SOURCE_GRID = {"z": [float(i) for i in range(7)], "lat": [float(i) for i in range(10)], "lon": [float(i) for i in range(7)]}
+TARGET_GRID = {"z": [0.5, 2.25, 5.5, 6.0], "lat": grids.axis(-0.75, 10.0, 0.7), "lon": grids.axis(-0.4, 6.9, 0.6)}
+SWEEPS = 10
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
@@ -146,7 +149,12 @@ def strict_stats(spark, sf_dir):
 
 def pretty_places(spark, sf_dir):
     rows = a.places(a.clim(spark, sf_dir)).select("lat", "lon").distinct()
-    return rows.select("lat", "lon", aggregates.pretty_latitude(F.col("lat")).alias("lat_text"), aggregates.pretty_longitude(F.col("lon") + 20.0).alias("lon_text"))
+    return rows.select(
+        "lat", "lon",
+        aggregates.pretty_latitude(F.col("lat")).alias("lat_text"),
+        aggregates.pretty_latitude(F.col("lat"), zero="E").alias("lat_zero_text"),
+        aggregates.pretty_longitude(F.col("lon") + 20.0).alias("lon_text"),
+    )
 
 
 def spectrum_diff(spark, sf_dir):
@@ -219,7 +227,7 @@ def autocorr(spark, sf_dir):
 def boundary_faces(spark, sf_dir):
     """Faces of the 10 x 7 grid; levels are the years."""
     pen = _pen(spark, sf_dir).groupBy(pentad.year_of(F.col("pentadstamp")).alias("k"), "lat_i", (F.col("lon_i") - 1).alias("lon_i")).agg(F.avg("v").alias("v"))
-    return _r(fields.faces(pen.where("lat_i < 7"), 7), "v")
+    return _r(fields.faces(pen, 10, 7), "v")
 
 
 def detect_work(spark, sf_dir):
@@ -238,6 +246,220 @@ def pentad_stream(spark, sf_dir):
     return _r(pentads.means(spark, path), "v")
 
 
+def pentad_arithmetic(spark, sf_dir):
+    """Points and spans made from parts, moved by each other and compared."""
+    key = F.col("o_orderkey")
+    year, part = F.year("o_orderdate"), (F.pmod(key, F.lit(200)) - 100).cast("int")
+    years = F.when(F.pmod(key, F.lit(5)) > 0, (F.pmod(key, F.lit(7)) - 3).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        pentad.stamp_from(year, part).alias("a"),
+        pentad.stamp_from(F.lit(1998), F.when(part > 0, part)).alias("b"),
+        pentad.delta_from(years, part).alias("span"),
+    ).distinct()
+    a_, b, span = F.col("a"), F.col("b"), F.col("span")
+    return rows.select(
+        "a", "b", "span", (a_ + span).alias("later"), (a_ - span).alias("earlier"), (a_ - b).alias("apart"), (span + span).alias("twice"),
+        (a_ < b).alias("lt"), (a_ <= b).alias("le"), (a_ == b).alias("eq"), (a_ != b).alias("ne"), (a_ >= b).alias("ge"), (a_ > b).alias("gt"),
+        (span < F.lit(pentad.PENTADS)).alias("short"),
+    )
+
+
+def flip_latitude(spark, sf_dir):
+    """Dataset A has its latitudes from north to south."""
+    rows = a.places(a.clim(spark, sf_dir))
+    rows = rows.withColumn("lat", F.when(F.col("ds") == "A", F.lit(a.LAT0 + (a.N_LAT - 1) * a.D_LAT) - F.col("lat")).otherwise(F.col("lat")))
+    return _r(fields.ascending_latitude(rows).select("ds", "lat_i", "lon_i", "lat", "v"), "v")
+
+
+def index_box(spark, sf_dir):
+    return fields.index_box(a.places(a.dense(spark, sf_dir)), (10.0, 40.0), (150.0, 201.0))
+
+
+def _stored_axes(spark, sf_dir):
+    """ds, lon_i, lon: the axis of N runs from -180, that of R starts in the middle of an ocean."""
+    step = 360.0 / a.N_LON
+    start = F.when(F.col("ds") == "A", 0.0).when(F.col("ds") == "N", 180.0).otherwise(30 * step)
+    rows = a.clim(spark, sf_dir).select("ds", "lon_i").distinct()
+    lon = F.pmod(F.col("lon_i") * F.lit(step) + start, F.lit(360.0))
+    return rows.select("ds", "lon_i", F.when((F.col("ds") == "N") & (lon >= 180.0), lon - 360.0).otherwise(lon).alias("lon"))
+
+
+def rotated_axis(spark, sf_dir):
+    """The first ten positions east of the start of each dataset's own axis."""
+    axes = _stored_axes(spark, sf_dir)
+    at = fields.longitude_start(axes).select("ds", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), "start")
+    at = at.select("ds", "i", "start", fields.rotated_index(F.col("i"), F.col("start"), a.N_LON, 3).alias("lon_i"))
+    return _r(at.join(axes, ["ds", "lon_i"]).select("ds", "i", "start", "lon_i", "lon"), "lon")
+
+
+def multi_select(spark, sf_dir):
+    return _r(fields.select_stamps(_pen(spark, sf_dir), [145640, 145700, 145801, 146000]), "v")
+
+
+def stack_seasons(spark, sf_dir):
+    """Two spans of seasons, one after the other; only the second has counts, the first gets 0."""
+    pen = _pen(spark, sf_dir)
+    early = fields.season(pen, -6, 11, 1996, 1997).select("season_year", "ds", "pentadstamp", "lat_i", "lon_i", "v")
+    late = fields.season(pen, 30, 40, 1999, 2000).select("season_year", "ds", "pentadstamp", "lat_i", "lon_i", "v", "n")
+    return _r(fields.stack([early, late]).withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), "v")
+
+
+def compress_scatter(spark, sf_dir):
+    """The cells of one region's mask taken out and put back on the whole grid."""
+    mask = _masks(spark, sf_dir).where("region = 'NPAC_NORTH'")
+    kept = fields.compress(a.clim(spark, sf_dir), mask)
+    return _r(fields.scatter(kept, a.dense(spark, sf_dir), ["ds"]), "v")
+
+
+def _snapshot(spark, sf_dir):
+    """Mean amplitudes of chunks of ten vectors; an incomplete last chunk is left out."""
+    t, n = F.col("t"), F.lit(10)
+    last = a.vectors(spark, sf_dir).agg(F.floor((F.max("t") + 1) / 10).alias("whole"))
+    spectrum = _spectrum(spark, sf_dir).join(F.broadcast(last), F.floor(t / n) < F.col("whole"))  # one number
+    return series.chunk_amplitudes(spectrum, F.floor(t / n).cast("int"))
+
+
+def spectrum_snapshot(spark, sf_dir):
+    """Share of variance and log amplitude of the chunks' mean spectra, without the lowest harmonics."""
+    return _r(series.variance_fraction(_snapshot(spark, sf_dir), 3), "frac", "log_amp")
+
+
+def _chunk_differences(spark, sf_dir):
+    """t (chunk * 100 + label), x, v: a label's mean over a chunk of fifty vectors less that of label 0."""
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 50).cast("int").alias("chunk"), "label", F.posexplode("embedding").alias("x", "v"))
+    means = raw.groupBy("chunk", "x", "label").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    base = means.where("label = 0").select("chunk", "x", F.col("v").alias("w"))
+    diff = means.where("label > 0").join(base, ["chunk", "x"])
+    return diff.select((F.col("chunk") * 100 + F.col("label")).cast("int").alias("t"), "x", (F.col("v") - F.col("w")).alias("v"))
+
+
+def snapshot_diff(spark, sf_dir):
+    """Chunk means, differences to the first product, ends filled, line removed, spectrum, shares."""
+    rows = series.detrend(series.fill_ends(_chunk_differences(spark, sf_dir)))
+    return _r(series.variance_fraction(series.dft(rows, "v_detrended", a.WIDTH), 3), "frac", "log_amp")
+
+
+def snapshot_gradient(spark, sf_dir):
+    return _r(series.gradient(_chunk_differences(spark, sf_dir)), "x_mid", "g")
+
+
+def distance_text(spark, sf_dir):
+    stats = fields.distance_stats(fields.distances(_pen(spark, sf_dir), a.DATASETS))
+    return fields.distance_text(stats.withColumns({"mean": F.col("mean") / 1e6, "std": F.col("std") / 1e6}))
+
+
+def required_files(spark, sf_dir):
+    products = spark.createDataFrame(tiers.PRODUCTS, "dataset string, timestr string, suffix string")
+    return tiers.required_files(_pen(spark, sf_dir).select("pentadstamp"), products)
+
+
+def fill_tier(spark, sf_dir):
+    """A tier that holds the years up to 1998 is filled up; work is possible in strict pentads only."""
+    pen = _pen(spark, sf_dir).withColumnRenamed("ds", "dataset")
+    path = work_folder(spark)
+    strict = fields.pentad_mean(a.obs(spark, sf_dir), strict_days=True).withColumnRenamed("ds", "dataset")
+    tiers.write_tier(strict.where(F.col("pentadstamp") < 1999 * pentad.PENTADS), path)
+    return tiers.fill_tier(pen, path, lambda todo: strict.join(todo, ["dataset", "pentadstamp"], "left_semi"))
+
+
+def catalogue_json(spark, sf_dir):
+    """A catalogue of datasets with their spans, through JSON and back."""
+    rows = a.obs(spark, sf_dir).groupBy("ds").agg(F.min("d").alias("beg"), F.max("d").alias("end"), F.sort_array(F.collect_set("lon_i")).alias("lon_i"))
+    path = work_folder(spark)
+    tiers.write_catalogue(rows, path)
+    back = tiers.read_catalogue(spark, path, "ds string, beg date, end date, lon_i array<int>")
+    return back.select("ds", "beg", "end", F.size("lon_i").alias("n"), F.element_at("lon_i", -1).alias("last_i"))
+
+
+def binary_roundtrip(spark, sf_dir):
+    """A packed field read back: every value at its place."""
+    path = work_folder(spark)
+    tiers.write_binary(a.dense(spark, sf_dir), path, ["ds", "lat_i", "lon_i"])
+    return tiers.read_binary(spark, path).select("at", F.round("v", 1).cast("double").alias("v"))
+
+
+def _levels(spark, sf_dir):
+    """ds, k (year), lat_i, lon_i, v: a row for every cell; low values count as gaps."""
+    held = a.obs(spark, sf_dir).where(F.year("d").between(1995, 2001)).groupBy("ds", (F.year("d") - 1995).alias("k"), "lat_i", (F.col("lon_i") - 1).alias("lon_i"))
+    held = held.agg(F.avg("v").alias("v")).withColumn("v", F.when(F.col("v") >= 36000.0, F.col("v")))
+    names = spark.createDataFrame([(d,) for d in a.DATASETS], "ds string")
+    cells = spark.range(490).select(
+        F.floor(F.col("id") / 70).cast("int").alias("k"), F.floor(F.pmod("id", F.lit(70)) / 7).cast("int").alias("lat_i"), F.pmod("id", F.lit(7)).cast("int").alias("lon_i")
+    )
+    return cells.crossJoin(F.broadcast(names)).join(held, ["ds", "k", "lat_i", "lon_i"], "left")  # three names
+
+
+def interp_vertical(spark, sf_dir):
+    """Columns carried down to the last level, then interpolated to other levels; missing where a level with weight is."""
+    rows = grids.fill_down(_levels(spark, sf_dir), ["ds", "lat_i", "lon_i"]).withColumnRenamed("k", "axis_i")
+    weights = grids.axis_weights(spark, SOURCE_GRID["z"], TARGET_GRID["z"], "x")
+    return _r(grids.interpolate(rows, ["ds", "lat_i", "lon_i"], weights), "v")
+
+
+def regrid_clamped(spark, sf_dir):
+    """Targets beyond the source's edges take the edge's values."""
+    lat, lon = (grids.axis_weights(spark, SOURCE_GRID[c], TARGET_GRID[c], c, clamp=True) for c in ("lat", "lon"))
+    return _r(grids.regrid(_levels(spark, sf_dir), ["ds", "k"], lat, lon), "v")
+
+
+def regrid_staggered(spark, sf_dir):
+    """A field with levels and gaps on a staggered grid whose land cells follow a rule."""
+    n_lat, n_lon = len(TARGET_GRID["lat"]), len(TARGET_GRID["lon"])
+    cells = spark.range(len(TARGET_GRID["z"]) * n_lat * n_lon).select(
+        F.floor(F.col("id") / (n_lat * n_lon)).cast("int").alias("k"),
+        F.floor(F.pmod("id", F.lit(n_lat * n_lon)) / n_lon).cast("int").alias("lat_i"),
+        F.pmod("id", F.lit(n_lon)).cast("int").alias("lon_i"),
+    )
+    land = cells.where((F.col("k") + F.col("lat_i") + F.col("lon_i")) % 5 == 0)
+    out = grids.regrid_staggered(_levels(spark, sf_dir), ["ds"], SOURCE_GRID, TARGET_GRID, land, 3, fill_value=-1.0, valid=(37000.0, 39000.0))
+    return _r(out, "v")
+
+
+def high_pass(spark, sf_dir):
+    return _r(grids.high_pass(a.dense(spark, sf_dir), ["ds"], a.N_LAT, a.N_LON, 12, 6), "v")
+
+
+def spectral_density(spark, sf_dir):
+    """Densities of the vectors' rows, a layer a label, for wavelengths below twenty steps."""
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = raw.select("label", F.col("vec_id").alias("lat_i"), F.posexplode("embedding").alias("lon_i", "v")).withColumn("v", F.col("v").cast("double"))
+    return _r(series.spectral_density(rows, ["label"], a.WIDTH, 1.0, 20.0), "wvlen", "density", "log_density")
+
+
+def _yearly(spark, sf_dir):
+    """ds, pentadstamp (the year), lat_i, lon_i, v: coarse enough that few cells have gaps."""
+    rows = a.obs(spark, sf_dir).groupBy("ds", F.year("d").alias("pentadstamp"), "lat_i", "lon_i")
+    return rows.agg(F.avg("v").alias("v"))
+
+
+def _pairs_stacked(spark, sf_dir):
+    rows = _yearly(spark, sf_dir)
+    return eof.stacked_differences(rows, a.DATASETS, rows, "all", 1)
+
+
+def _half_mask(spark, sf_dir):
+    """A mask that leaves out the last two columns of cells."""
+    return _yearly(spark, sf_dir).select("lat_i", "lon_i").distinct().withColumn("mask", (F.col("lon_i") <= 5).cast("int"))
+
+
+def eof_pairs_gram(spark, sf_dir):
+    stacked, samples = _pairs_stacked(spark, sf_dir)
+    products = eof.gram(eof.as_cells(stacked, samples, _half_mask(spark, sf_dir)))
+    return _r(products.withColumn("g", F.col("g") / 1e6), "g")
+
+
+def eof_mean_std(spark, sf_dir):
+    return _r(eof.cell_stats(*_pairs_stacked(spark, sf_dir)), "mean", "std")
+
+
+def eof_first_mode(spark, sf_dir):
+    """The first mode of the pairs' differences on the whole grid, with its share of the variance."""
+    rows = _yearly(spark, sf_dir)
+    maps, _, variance, _ = eof.of_differences(rows, a.DATASETS, rows, 5, "all", 1, _half_mask(spark, sf_dir))
+    first = maps.where("mode = 0").join(variance, "mode").select("lat_i", "lon_i", "v", "share", "share_of_kept")
+    return _r(first.drop("share_of_kept"), "v", "share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pentad_assign": pentad_assign,
     "pentad_parse": pentad_parse,
@@ -264,10 +486,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_mean": mean_axis("lat_i"),
     "meridional_mean": mean_axis("lon_i"),
     "chunk_mean": chunk_mean,
-    "calendar_gaps": lambda s, d: fields.missing_days(a.obs(s, d).select("d")),
+    "calendar_gaps": lambda s, d: fields.missing_days(a.obs(s, d).where("ds = 'A' AND lon_i = 7").select("d")),
     "interval_lookup": interval_lookup,
     "index_range": index_range,
     "range_check": lambda s, d: fields.out_of_range(a.dense(s, d), 20000.0, 60000.0),
+    "range_check_ocean": lambda s, d: fields.out_of_range(a.dense(s, d), 20000.0, 60000.0, (F.col("lat_i") * 7 + F.col("lon_i")) % 11 != 0),
     "strict_stats": strict_stats,
     "pretty_places": pretty_places,
     "box_division": lambda s, d: _r(fields.boxes(s, (0.0, 60.0), (120.0, 250.0), 4, 5), "south", "north", "west", "east", "lat_mid", "lon_mid"),
@@ -283,7 +506,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "regrid_bilinear": regrid_bilinear,
     "interp_1d": interp_1d,
     "box_filter": lambda s, d: _r(grids.box_filter(a.dense(s, d), ["ds"], 2), "v"),
-    "gauss_filter": lambda s, d: _r(grids.kernel_filter(a.dense(s, d), ["ds"], KERNEL), "v"),
+    "gauss_filter": lambda s, d: _r(grids.separable_filter(a.dense(s, d), ["ds"], grids.gauss_weights(2, 1.0)), "v"),
     "eof_gram": eof_gram,
     "eof_variance_total": eof_variance_total,
     "eof_modes": eof_modes,
@@ -291,10 +514,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eof_variance": eof_variance,
     "eof_signs": eof_signs,
     "down_fill": lambda s, d: _r(grids.fill_down(_columns(s, d), ["ds", "pentadstamp", "lat_i"]), "v"),
-    "flood_fill": lambda s, d: _r(grids.flood_fill(a.dense(s, d), ["ds"], a.N_LAT, a.N_LON, 2), "v"),
+    "flood_fill": lambda s, d: _r(grids.flood_fill(a.dense(s, d), ["ds"], a.N_LAT, a.N_LON, SWEEPS, (F.col("lat_i") * 7 + F.col("lon_i")) % 11 != 0), "v"),
     "autocorr": autocorr,
     "boundary_faces": boundary_faces,
     "detect_work": detect_work,
+    "pentad_arithmetic": pentad_arithmetic,
+    "flip_latitude": flip_latitude,
+    "index_box": index_box,
+    "rotated_axis": rotated_axis,
+    "surface_level": lambda s, d: _r(fields.surface(_columns(s, d), "sst"), "sst"),
+    "multi_select": multi_select,
+    "merge_outer": lambda s, d: _r(fields.merge_variables(_pen(s, d), a.DATASETS, ["pentadstamp", "lat_i", "lon_i"]), *a.DATASETS),
+    "stack_seasons": stack_seasons,
+    "compress_scatter": compress_scatter,
+    "spectrum_snapshot": spectrum_snapshot,
+    "snapshot_diff": snapshot_diff,
+    "snapshot_gradient": snapshot_gradient,
+    "distance_text": distance_text,
+    "required_files": required_files,
+    "fill_tier": fill_tier,
+    "catalogue_json": catalogue_json,
+    "binary_roundtrip": binary_roundtrip,
+    "interp_vertical": interp_vertical,
+    "regrid_clamped": regrid_clamped,
+    "regrid_staggered": regrid_staggered,
+    "high_pass": high_pass,
+    "spectral_density": spectral_density,
+    "eof_pairs_gram": eof_pairs_gram,
+    "eof_mean_std": eof_mean_std,
+    "eof_first_mode": eof_first_mode,
 }
 
 

@@ -1,11 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and intermediate tables in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -17,3 +17,15 @@ def work_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/fields-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to a new work folder and read again, and that folder."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
