@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables made by ``materialize`` that are still there, by path.
+live: dict[str, DataFrame] = {}
+
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,23 +40,61 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back."""
+def materialize(df: DataFrame, files: int | None = None, key: str = "") -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
+
+    ``files`` gathers a table of bounded size in so many files, so that jobs over it are small; rows
+    are dealt and sorted by ``key``, so their order does not hang on the session's settings.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
+    if files is not None:
+        df = df.repartition(files, key).sortWithinPartitions(key)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tidegrid_path = path
+    live[path] = back
+    return back
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table made by ``materialize`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidegrid-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``materialize`` once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        live.pop(df._tidegrid_path, None)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tidegrid_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that long texts do not meet by thousands in a worker.
+
+    A limit that the session has set itself stays.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Hand memory that this Python worker has freed back to the system; idle workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work):
+    """``work`` over batches; its worker gives freed memory back when the task ends."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def drawn(share, *columns) -> F.Column:
+    """Whether a row is in the sample of this share: its hash decides, so any run draws the same rows."""
+    return F.pmod(F.xxhash64(F.lit("draw"), *columns), F.lit(1 << 31)) < share * F.lit(float(1 << 31))
 
 
 def crc_text(col) -> F.Column:
@@ -69,24 +116,19 @@ def ordinal_chunks(df: DataFrame, key: str, rows_per_chunk: int, most: int = 327
     return sorted(set(got or []))
 
 
-def _passed(bounds, col) -> F.Column:
-    return F.array_size(F.filter(bounds, lambda b: b < col))
-
-
-def chunk_of(col, bounds: list) -> F.Column:
+def chunk_of(col, bounds: list, inclusive: bool = False) -> F.Column:
     """Index of the run that ``col`` falls into: runs ascend with the key, nulls are in run 0.
 
-    Looks up a coarse cut first and then the fine cuts behind it, so a row compares with about
-    twice the square root of the number of bounds.
+    A run begins behind its bound, or with ``inclusive`` at it.  Looks up a coarse cut first and then
+    the fine cuts behind it, so a row compares with about twice the square root of their number.
     """
     if not bounds:
         return F.lit(0)
+    passed = lambda some: F.array_size(F.filter(some, lambda b: b <= col if inclusive else b < col))
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     coarse = F.array(*[F.lit(g[-1]) for g in groups])
     fine = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups])
-    at = _passed(coarse, col)
-    found = F.when(at >= F.lit(len(groups)), F.lit(len(bounds))).otherwise(
-        at * F.lit(step) + _passed(F.get(fine, at), col)
-    )
+    at = passed(coarse)
+    found = F.when(at >= F.lit(len(groups)), F.lit(len(bounds))).otherwise(at * F.lit(step) + passed(F.get(fine, at)))
     return F.when(col.isNull(), F.lit(0)).otherwise(found)

@@ -11,12 +11,14 @@ two sweeps, so that no group emits all its pairs:
 1. every class meets the smallest class of each of its band buckets; the confirmed links give
    components;
 2. a bucket that still holds several components compares the classes outside its largest component
-   with the whole bucket, block against block inside tasks.  Pairs that are in one component
-   already, or that an earlier band compares, are passed over; only links that join two components
-   leave the task.
+   with the whole bucket, block against block inside tasks.  Where that would be more than
+   ``BUCKET_PAIRS`` pairs, the bucket is first dealt anew by a second and at most a third band, so
+   that only classes which share those too still meet.  Pairs that are in one component already, or
+   that earlier bands compare, are passed over; only links that join two components leave the task.
 
 Afterwards every proposed pair is either inside one component or was refuted, so the components are
-those of the full link graph.  At similarity 0.8 the bands miss a pair with a chance of 5e-8.
+those of the full link graph.  At similarity 0.8 the bands miss a pair with a chance of 5e-8; of
+pairs that meet in large buckets only, which need to share two or three bands, 1e-6 or 1e-5.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.llm.common import materialize, release, table
+from tidegrid.llm.common import bound_batches, materialize, release, table, tidy
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -37,7 +39,10 @@ SKETCH_BITS = 1024
 SLACK = 0.24  # sketch estimates this far below the threshold still go on: over 6 standard deviations
 BLOCK = 1024  # classes of a block in the second sweep, about
 BLOCK_SHINGLES = 2_000_000  # and shingles of a block, about
-SLICE = 1 << 20  # bytes of text hashed at once
+BUCKET_PAIRS = 1 << 24  # pairs above which a bucket is dealt anew by one more band
+MOST_BANDS = 3  # bands that a pair has to share in buckets dealt anew, at most
+HUB_ROWS = 1_000_000  # edges from which a step's minima are written first, so that Spark can split a hub's join
+SLICE = 1 << 17  # bytes of text hashed at once
 
 _M64 = (1 << 64) - 1
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -254,7 +259,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (identity of the set; null if empty), bands, sketch."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        _signing(width),
+        tidy(_signing(width)),
         "doc_id long, text_hash long, n_shingles long, node long, bands array<long>, sketch array<long>",
     )
 
@@ -343,6 +348,7 @@ def _comparing(bits: int, percent: int):
                 continue
             node, comp, size = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
             other = np.array(t.column("other").to_pylist())
+            path = np.array(t.column("path")[0].as_py(), dtype=np.int64)  # the band keys that all of the block share
             sketch, bands = _matrix(t.column("sketch")).view(np.uint64), _matrix(t.column("bands"))
             lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
             partners: dict[int, list[int]] = {}
@@ -360,8 +366,12 @@ def _comparing(bits: int, percent: int):
                     near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= bits
                     x, y = x[near], y[near]
                     same = bands[x] == bands[y]
-                    first = bands[x, same.argmax(axis=1)] == key  # an earlier shared band has them otherwise
-                    for p, q in zip(x[first].tolist(), y[first].tolist()):
+                    met = np.ones(len(x), dtype=bool)  # earlier shared bands have the others
+                    for step in path:
+                        first = same.argmax(axis=1)
+                        met &= bands[x, first] == step
+                        same[np.arange(len(x)), first] = False
+                    for p, q in zip(x[met].tolist(), y[met].tolist()):
                         partners.setdefault(p, []).append(int(node[q]))
                         wanted.add(q)
             rows += [(key, i, j, 1, int(node[p]), int(comp[p]), found) for p, found in partners.items()]
@@ -417,10 +427,10 @@ def _joining(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the smallest node that each node of ``edges`` (a, b) is connected with.
+    """node, comp: the smallest node that each node of ``edges`` (a, b) is connected with, if another.
 
     Alternates the large-star and small-star steps until the edges are stars; the tables stay in
-    the shared folder and only counts reach the driver.
+    the shared folder and only counts reach the driver.  The result is such a table.
     """
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -429,19 +439,85 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         facts = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if mark == (facts.n, facts.h) or not facts.n:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+            done = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("comp")))
+            release(now)
+            return done
         mark = (facts.n, facts.h)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        held = [now]
+        if facts.n > HUB_ROWS:
+            low = materialize(low)
+            held.append(low)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         small = small.select("a", F.col("low").alias("b")).unionByName(
             small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         )
-        after = materialize(small.distinct())
-        release(now)
-        now = after
+        now = materialize(small.distinct())
+        release(*held)
+
+
+def _candidates(known: DataFrame, members: DataFrame, stars: DataFrame, bits: int, percent: int) -> list[DataFrame]:
+    """Tables of the blocks' nodes that the sketches could not refute in the second sweep.
+
+    ``members`` has key, node: the band buckets.  Each round compares the buckets that hold at most
+    ``BUCKET_PAIRS`` pairs in blocks and deals the others out anew, by every later band of their
+    classes; the last round compares whatever there is.
+    """
+    facts = known.select("node", "n_shingles", "sketch", "bands")
+    placed = members.join(stars, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), F.array("key").alias("path"))
+    out, held = [], []
+    for depth in range(1, MOST_BANDS + 1):
+        sized = placed.join(known.select("node", "n_shingles"), "node")
+        per_comp = sized.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+        mixed = per_comp.groupBy("key").agg(
+            F.max(F.struct("n", "size", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("comps")
+        ).where("comps > 1")
+        blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        mixed = materialize(
+            mixed.select(
+                "key",
+                F.col("main.comp").alias("main"),
+                blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("rows"),
+                blocks(F.col("n"), F.col("size")).alias("columns"),
+                ((F.col("n") - F.col("main.n")) * F.col("n") > (BUCKET_PAIRS if depth < MOST_BANDS else (1 << 62))).alias("large"),
+            )
+        )
+        own = placed.join(mixed.where("NOT large"), "key").withColumn("other", F.col("comp") != F.col("main"))
+        spread = F.xxhash64("node")
+        row, column = F.pmod(spread, F.col("rows")).cast("int"), F.pmod(spread, F.col("columns")).cast("int")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        seat = ["node", "comp", "other", "path"]
+        seats = (
+            own.where("other").select("key", row.alias("i"), all_of("columns").alias("j"), F.lit(True).alias("left"), *seat)
+        ).unionByName(own.select("key", all_of("rows").alias("i"), column.alias("j"), F.lit(False).alias("left"), *seat))
+        keys = ["key", "i", "j"]
+        out.append(
+            materialize(
+                seats.join(facts, "node")
+                .repartition(*keys)
+                .sortWithinPartitions(*keys)
+                .select(*keys, "left", "node", "comp", "other", "n_shingles", "sketch", "bands", "path")
+                .mapInArrow(tidy(_comparing(bits, percent)), _FLAGGED)
+            )
+        )
+        held.append(mixed)
+        if not mixed.where("large").limit(1).count():
+            break
+        later = placed.join(mixed.where("large").select("key"), "key").join(known.select("node", "bands"), "node")
+        # bands after the last one of the path, so that every set of shared bands is met in one order only
+        own_bands = F.slice("bands", F.array_position("bands", F.element_at("path", -1)).cast("int") + 1, BANDS)
+        deeper = later.select("node", "comp", "path", F.explode(own_bands).alias("band"))
+        deeper = deeper.select(
+            F.xxhash64("path", "band").alias("key"), "node", "comp", F.concat("path", F.array("band")).alias("path")
+        )
+        shared = deeper.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        placed = materialize(deeper.join(shared.select("key"), "key"))
+        held.append(placed)
+    release(*held)
+    return out
 
 
 def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -452,115 +528,113 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     whether that is its own.  Null texts are empty; texts without words have no shingles and are
     linked with nothing (group is null).  Null doc_ids take part in links but are never a
     component_id unless nothing else is there.  Rows that share a doc_id share its fate only where
-    their texts are linked.  Sets are told apart by 64-bit hashes.  An empty table gives no rows;
-    other columns are ignored.
+    their texts are linked.  Sets are told apart by 64-bit hashes.  Very long texts are hashed in
+    slices, whole.  An empty table gives no rows; other columns are ignored, whatever their names.
+
+    The result is a table in the shared folder; those it was made from are deleted.
     """
+    bound_batches(docs.sparkSession)
     base = materialize(sign(docs, width))
-    exploded = base.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top")
-    members = materialize(exploded.join(buckets.select("key", "rep"), "key").groupBy("key", "node").agg(F.min("rep").alias("rep")))
-    inside = members.select("node").distinct()
-    known = materialize(
-        base.join(inside, "node")
+    classes = materialize(
+        base.where(F.col("node").isNotNull())
         .groupBy("node")
         .agg(
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
             F.first("sketch").alias("sketch"),
             F.min(F.struct("doc_id", "text_hash")).alias("at"),
+            F.min("doc_id").alias("first_id"),
+            F.count("*").alias("copies"),
         )
     )
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top")
+    buckets = materialize(buckets.select("key", "rep"))  # a table, so that Spark can split a key's join
+    members = materialize(keyed.join(buckets, "key"))
+    known = materialize(classes.join(members.select("node").distinct(), "node", "left_semi"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     wanted = known.select("node", F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
-    sets = materialize(texts.select("node", "text").mapInArrow(_full_sets(width), "node long, shingles binary"))
+    sets = materialize(texts.select("node", "text").mapInArrow(tidy(_full_sets(width)), "node long, shingles binary"))
 
     bits = most_bits(percent / 100 - SLACK)
-    about = known.select("node", "n_shingles", "sketch")
-    pairs = members.where("node <> rep").select("rep", "node").distinct()
-    pairs = pairs.join(about, "node").join(about.toDF("rep", "rep_n", "rep_sketch"), "rep")
-    apart = F.aggregate(
-        F.zip_with("sketch", "rep_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    fits = F.least("n_shingles", "rep_n") * 100 >= F.greatest("n_shingles", "rep_n") * percent
-    pairs = pairs.where(fits & (apart <= bits)).select("rep", "node")
+    pairs = unrefuted(members, known, bits, percent)
     proposed = pairs.join(sets, "node").join(sets.toDF("rep", "rep_shingles"), "rep").select(
         F.col("node").alias("a"), F.col("rep").alias("b"), "shingles", "rep_shingles"
     )
-    stars = components(proposed.mapInArrow(_confirming(percent), "a long, b long"))
-
-    placed = members.select("key", "node").join(stars, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    placed = placed.join(known.select("node", "n_shingles"), "node")
-    per_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
-    mixed = per_comp.groupBy("key").agg(
-        F.max(F.struct("n", "size", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("comps")
-    ).where("comps > 1")
-    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    mixed = mixed.select(
-        "key",
-        F.col("main.comp").alias("main"),
-        blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("rows"),
-        blocks(F.col("n"), F.col("size")).alias("columns"),
-    )
-    placed = placed.drop("n_shingles").join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
-    spread = F.xxhash64("node")
-    row, column = F.pmod(spread, F.col("rows")).cast("int"), F.pmod(spread, F.col("columns")).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    seats = (
-        placed.where("other").select("key", row.alias("i"), all_of("columns").alias("j"), F.lit(True).alias("left"), "node", "comp", "other")
-    ).unionByName(
-        placed.select("key", all_of("rows").alias("i"), column.alias("j"), F.lit(False).alias("left"), "node", "comp", "other")
-    )
+    stars = components(proposed.mapInArrow(tidy(_confirming(percent)), "a long, b long"))
+
+    flagged = _candidates(known, members.select("key", "node"), stars, bits, percent)
+    links = stars.select(F.col("node").alias("a"), F.col("comp").alias("b"))
     keys = ["key", "i", "j"]
-    flagged = materialize(
-        seats.join(known.select("node", "n_shingles", "sketch", "bands"), "node")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys)
-        .select(*keys, "left", "node", "comp", "other", "n_shingles", "sketch", "bands")
-        .mapInArrow(_comparing(bits, percent), _FLAGGED)
-    )
-    late = (
-        flagged.join(sets, "node")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, "side")
-        .select(*keys, "side", "node", "comp", "partners", "shingles")
-        .mapInArrow(_joining(percent), "a long, b long")
+    for table_ in flagged:
+        late = (
+            table_.join(sets, "node")
+            .repartition(*keys)
+            .sortWithinPartitions(*keys, "side")
+            .select(*keys, "side", "node", "comp", "partners", "shingles")
+            .mapInArrow(tidy(_joining(percent)), "a long, b long")
+        )
+        links = links.unionByName(late)
+    whole = components(links)
+    release(buckets, members, known, sets, stars, *flagged)
+
+    both = whole.unionByName(whole.select(F.col("comp").alias("node"), "comp").distinct())
+    linked = both.join(classes.select("node", "first_id"), "node")
+    heads = materialize(linked.groupBy("comp").agg(F.min("first_id").alias("head")))
+    named = linked.join(heads, "comp").select("node", F.col("comp").alias("group"), "head")
+    copied = classes.where("copies > 1").select("node", F.col("node").alias("group"), F.col("first_id").alias("head"))
+    named = materialize(named.unionByName(copied.join(both.select("node"), "node", "left_anti")))
+    # a row of neither a component nor a group of copies is its own head
+    rows = base.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("head"))
+    out = materialize(
+        rows.select(
+            "doc_id",
+            "n_shingles",
+            component.alias("component_id"),
+            F.col("doc_id").eqNullSafe(component).alias("kept"),
+            "text_hash",
+            F.coalesce("group", "node").alias("group"),
+        )
     )
-    whole = components(late.unionByName(stars.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-
-    classes = base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    named = classes.join(whole, "node", "left").withColumn("group", F.coalesce("comp", "node"))
-    heads = named.groupBy("group").agg(F.min("first_id").alias("head"))
-    named = named.join(heads, "group").select("node", "group", "head")
-    out = base.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head"))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-        "text_hash",
-        "group",
+    release(base, classes, whole, heads, named)
+    return out
+
+
+def proposals(members: DataFrame) -> DataFrame:
+    """rep, node: the pairs of the first sweep."""
+    return members.where("node <> rep").select("rep", "node").distinct()
+
+
+def unrefuted(members: DataFrame, known: DataFrame, bits: int, percent: int) -> DataFrame:
+    """Proposed pairs whose sizes and odd sketches allow a link."""
+    about = known.select("node", "n_shingles", "sketch")
+    pairs = proposals(members).join(about, "node").join(about.toDF("rep", "rep_n", "rep_sketch"), "rep")
+    apart = F.aggregate(
+        F.zip_with("sketch", "rep_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
+    fits = F.least("n_shingles", "rep_n") * 100 >= F.greatest("n_shingles", "rep_n") * percent
+    return pairs.where(fits & (apart <= bits)).select("rep", "node")
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: one row of each component stays.
 
     It is one with the smallest doc_id (of several texts with that doc_id, the one of the smallest
-    hash; of equal rows, any).  Rows without words all stay.
+    hash; of equal rows, any).  Rows without words all stay.  Other cases as in ``cluster``; columns
+    keep their names, order and values, whatever they are called.
     """
     found = cluster(docs, width, percent)
     chosen = found.where(F.col("group").isNotNull() & F.col("kept")).groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
-    keys = chosen.select("at.doc_id", "at.text_hash", F.lit(False).alias("_wordless")).unionByName(
-        found.where(F.col("group").isNull()).select("doc_id", "text_hash", F.lit(True).alias("_wordless")).distinct()
-    ).toDF("_kept_id", "_kept_hash", "_wordless")
+    keys = chosen.select(F.col("at.doc_id").alias("_kept_id"), F.col("at.text_hash").alias("_kept_hash"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(_text()).alias("_hash"))
+    worded = _text().rlike(r"[^ \t-\r]")
+    rows = docs.where(worded).select(row, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(_text()).alias("_hash"))
     rows = rows.join(keys, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
-    once = Window.partitionBy("_kept_id", "_kept_hash").orderBy("_wordless")
-    rows = rows.withColumn("_turn", F.row_number().over(once)).where((F.col("_turn") == 1) | F.col("_wordless"))
-    return rows.select("_row.*")
+    once = Window.partitionBy("_kept_id", "_kept_hash").orderBy("_kept_hash")  # rows that repeat a document whole
+    rows = rows.withColumn("_turn", F.row_number().over(once)).where("_turn = 1")
+    return rows.select("_row.*").unionByName(docs.where(~worded))
 
 
 def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
