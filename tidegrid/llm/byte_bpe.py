@@ -23,7 +23,6 @@ import unicodedata
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
@@ -31,10 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import table
+from tidegrid.llm.common import bound_batches, table, tidy
 
 BLOCK_CHARS = 12_000_000
 OUT_IDS = 1_000_000
+PART_CHARS = 64_000_000  # characters for each part that words are dealt to, at most
 # Unicode's White_Space, as the tokenizer library's pattern engine reads \s.
 SPACES = "\t-\r \x85\xa0  -     　"
 COMMON = 0x250  # texts below this code point use the standard library's faster engine
@@ -184,7 +184,9 @@ def _id_batch(doc_ids, lengths, flat):
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], names=["doc_id", "ids"])
 
 
-def _assembling(out_ids: int):
+def _assembling(out_ids: int, finish):
+    """``finish`` (doc_ids, numbers of ids, all ids) makes the batches of the documents put together."""
+
     def run(batches):
         counts, flat = [], []  # of the block's words, in part order
         for batch in batches:
@@ -215,29 +217,41 @@ def _assembling(out_ids: int):
                     cut = bounds[ends[first:last] - base]
                     sizes = np.diff(np.concatenate([[0], cut]))
                     named = [int(i) if k else None for i, k in zip(doc_ids[first:last], known[first:last])]
-                    yield _id_batch(named, sizes, ids[spots])
+                    yield finish(named, sizes, ids[spots])
                     first = last
                 counts, flat = [], []
 
     return run
 
 
+def _encoded(docs: DataFrame, ranks, pattern: str, parts: int | None, block_chars: int, out_ids: int, finish, schema: str) -> DataFrame:
+    """The three steps; ``ranks`` is a broadcast of the rank table, bounded by the vocabulary."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    if parts is None:
+        chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # blocks are cut in this order: a task that runs again makes the same blocks under the same names
+    rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    split = rows.mapInArrow(tidy(_splitting(pattern, parts, block_chars)), STEP_SCHEMA)
+    merged = split.repartition(parts, "dest").mapInArrow(tidy(_merging(ranks, pattern)), STEP_SCHEMA)
+    blocks = merged.repartition(parts, "block").sortWithinPartitions("block", "kind", "part").select("kind", "payload")
+    return blocks.mapInArrow(tidy(_assembling(out_ids, finish)), schema)
+
+
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, parts: int | None = None, block_chars: int = BLOCK_CHARS, out_ids: int = OUT_IDS
 ) -> DataFrame:
     """doc_id and ids (array of int) of every row's whole text, as the tokenizer library gives them.
 
     Null texts are empty and have no ids; repeated rows keep a row each; an empty table gives no
-    rows; other columns are ignored.  Special tokens are ordinary text.
+    rows; other columns are ignored, whatever their names.  A very long text is a block of its own.
+    Special tokens are ordinary text.  Words are dealt to ``parts`` by their hash; the number
+    follows from the input's characters, so that a part's distinct words are bounded.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = rows.mapInArrow(_splitting(pattern, parts, block_chars), STEP_SCHEMA)
-    merged = split.repartition(parts, "dest").mapInArrow(_merging(shared, pattern), STEP_SCHEMA)
-    blocks = merged.repartition(parts, "block").sortWithinPartitions("block", "kind", "part").select("kind", "payload")
-    return blocks.mapInArrow(_assembling(out_ids), "doc_id long, ids array<int>")
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    return _encoded(docs, shared, pattern, parts, block_chars, out_ids, _id_batch, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -252,38 +266,41 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(whole, pa.binary())], names=["doc_id", "ids", "decoded"]
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encoded rows; decodes as ``decode`` does."""
-    shared = encoded.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})
+def _digesting(ranks):
+    """Digests of documents as they are put together: ids as text, and bytes by the token-byte table."""
+    token, name = [], []
 
-    def run(batches):
-        known = shared.value
-        most = max(known, default=-1) + 1
-        token, name = [known.get(i, b"") for i in range(most)], [str(i) for i in range(most)]
-        for batch in batches:
-            out = []
-            offsets = batch.column(1).offsets.to_pylist()
-            flat = batch.column(1).values.to_numpy()
-            for start, end in itertools.pairwise(offsets):
-                ids = flat[start:end].tolist()
-                listed = " ".join(map(name.__getitem__, ids)).encode()
-                whole = b"".join(map(token.__getitem__, ids))
-                out.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(whole).hexdigest()))
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]), preserve_index=False
-            ).add_column(0, "doc_id", batch.column(0))
-
-    return encoded.select("doc_id", "ids").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    def finish(doc_ids, lengths, flat):
+        if not token:  # once a task
+            known = {i: t for t, i in ranks.value.items()}
+            token.extend(known.get(i, b"") for i in range(max(known, default=-1) + 1))
+            name.extend(map(str, range(len(token))))
+        rows, at = [], 0
+        for doc_id, n in zip(doc_ids, lengths.tolist()):
+            ids = flat[at : at + n].tolist()
+            at += n
+            listed = " ".join(map(name.__getitem__, ids)).encode()
+            whole = b"".join(map(token.__getitem__, ids))
+            rows.append((doc_id, n, hashlib.sha256(listed).hexdigest(), hashlib.sha256(whole).hexdigest()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+    return finish
 
 
 def encode_digests(docs: DataFrame, rank_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    ranks = read_ranks(rank_path)
-    return digests(encode(docs, ranks, pattern, block_chars=block_chars), ranks)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; cases as in ``encode``.
+
+    Ids are decoded and digested where they are put together, so no second worker holds them.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _encoded(docs, ranks, pattern, None, block_chars, OUT_IDS, _digesting(ranks), schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
