@@ -10,6 +10,7 @@ shuffle, so it runs at scan speed whatever the size of the table.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import materialize, release, table
+from tidegrid.llm.common import bound_batches, drawn, give_back, materialize, release, table
 
 DIM = 1024
 ROWS_PER_LANGUAGE = 1200  # labelled rows that are fitted for each language, about
+MOST_LANGUAGES = 200  # languages that are learned, those with the most rows
+RARE = 0.02  # multiple of chance that an n-gram never seen counts as
+#: Least likeness of text in its language, and what short texts may lack besides, over the root of their bytes.
+LEAST_LIKENESS, SHORT = -0.2, 2.0
+FIT_FILES = 4
 SEGMENT = 1 << 20
 SLICE = 256  # rows whose profiles are held at once
 UNDETERMINED = "und"
@@ -76,27 +82,36 @@ def _machines(rows: DataFrame, label: str, classes: list[str]) -> list[tuple[str
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
-    """Machines for the families and within each family, from (text, lang) rows.
+    """Machines for the families and within each family, from (text, lang) rows, with doc_id if there is one.
 
-    Rows without a language or a text are left out.  About ``rows_per_language`` rows of each
-    language are drawn by a fixed seed: the bound on what is fitted, whatever the input's size.
+    Rows without a language or a text are left out, and languages beyond the ``MOST_LANGUAGES``
+    that have the most rows are not learned.  About ``rows_per_language`` rows of each language are
+    drawn by a hash of the row: the bound on what is fitted, whatever the input's size, and the same
+    rows in any run.  The model also holds, for each language, how much commoner than by chance its
+    n-grams are.
     """
+    bound_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    model = {"families": {}, "between": [], "within": {}}
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: r["count"] for r in common.collect()}
+    model = {"families": {}, "between": [], "within": {}, "logs": {}}
     for lang in sorted(counts):
         model["families"].setdefault(family_of(lang), []).append(lang)
-    if len(counts) < 2:
+    if not counts:
         return model
 
     @F.pandas_udf("array<double>")
-    def profiles(texts: pd.Series) -> pd.Series:
-        return pd.Series([profile(t) for t in texts])
-
-    shares = {lang: min(1.0, rows_per_language / n) for lang, n in counts.items()}
-    drawn = known.sampleBy("lang", shares, seed=11)
-    homes = F.create_map(*[F.lit(x) for lang in counts for x in (lang, family_of(lang))])
-    data = materialize(drawn.select("lang", homes[F.col("lang")].alias("family"), profiles("text").alias("profile")))
+    def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([profile(t) for t in texts])
+        give_back()
+
+    own = [c for c in ("doc_id", "text") if c in labelled.columns]
+    by_lang = lambda of: F.create_map(*[F.lit(x) for lang in counts for x in (lang, of(lang))])[F.col("lang")]
+    chosen = known.where(F.col("lang").isin(list(counts)))
+    chosen = chosen.where(drawn(by_lang(lambda lang: min(1.0, rows_per_language / counts[lang])), *own))
+    chosen = chosen.withColumn("key", F.xxhash64(*own)).dropDuplicates(["key"])  # a row that is repeated is drawn once
+    data = materialize(chosen.select("lang", by_lang(family_of).alias("family"), profiles("text").alias("profile"), "key"), FIT_FILES, "key")
     present = {r.lang for r in data.select("lang").distinct().collect()}
     rows = data.select("lang", "family", array_to_vector("profile").alias("features"))
     families = {f: [x for x in langs if x in present] for f, langs in model["families"].items()}
@@ -104,6 +119,11 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict
     model["between"] = _machines(rows, "family", sorted(model["families"]))
     for family, langs in model["families"].items():
         model["within"][family] = _machines(rows, "lang", langs)
+    shares = F.transform("profile", lambda x: x * x)
+    means = data.groupBy("lang").agg(F.array(*[F.avg(shares[i]) for i in range(DIM)]).alias("mean")).collect()  # a row a language
+    for r in means:
+        mean = np.array(r["mean"])
+        model["logs"][r.lang] = np.log(mean / mean.sum() * DIM + RARE)
     release(data)
     return model
 
@@ -128,9 +148,10 @@ def _vote(x: np.ndarray, classes: list[str], machines) -> tuple[np.ndarray, np.n
     return best, sure[np.arange(len(x)), best] / (len(classes) - 1)
 
 
-def predict_rows(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray]:
+def predict_rows(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and likeness of every text."""
     x = np.stack([profile(t) for t in texts]) if texts else np.zeros((0, DIM))
-    out, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
+    out, score, likeness = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts)), np.zeros(len(texts))
     families = sorted(model["families"])
     if families and len(texts):
         chosen, sure = _vote(x, families, model["between"])
@@ -140,33 +161,46 @@ def predict_rows(texts: list[str | None], model: dict) -> tuple[list[str], np.nd
             inner, inner_sure = _vote(x[own], langs, model["within"].get(family, []))
             out[own] = np.array(langs, dtype=object)[inner]
             score[own] = sure[own] * inner_sure
+        for lang, logs in model["logs"].items():
+            own = np.flatnonzero(out == lang)
+            likeness[own] = (x[own] ** 2) @ logs
         lettered = np.array([has_letter(t) for t in texts])
         out[~lettered] = UNDETERMINED
-        score[~lettered] = 0.0
-    return out.tolist(), score
+        score[~lettered] = likeness[~lettered] = 0.0
+    return out.tolist(), score, likeness
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1).
+    """``docs`` with lang_pred, score (0 to 1) and likeness.
 
     lang_pred is a learned language, or ``und`` with score 0 if the text is null, empty or has no
-    letter, or nothing was learned.  Only the text is used; every other column is passed on, but
-    for clashing columns named lang_pred or score, which are replaced.
+    letter, or nothing was learned.  likeness is the mean over the text's n-grams of the logarithm of
+    how much commoner than by chance they are in that language: above 0 for text of the language,
+    whatever its length, and below for text of none (``is_known``).  Only the text is used, whole, however long.  Equal texts get equal
+    results and repeated rows a row each; an empty table gives no rows.  Every other column is passed
+    on, but for clashing columns named lang_pred, score or likeness, which are replaced.
     """
+    made = ["lang_pred", "score", "likeness"]
+
+    @F.pandas_udf("struct<lang_pred: string, score: double, likeness: double>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            parts = [
+                predict_rows([t if isinstance(t, str) else None for t in texts.iloc[at : at + SLICE]], model)
+                for at in range(0, len(texts), SLICE)
+            ] or [([], np.zeros(0), np.zeros(0))]
+            langs, scores, likeness = zip(*parts)
+            yield pd.DataFrame({"lang_pred": sum(langs, []), "score": np.concatenate(scores), "likeness": np.concatenate(likeness)})
+        give_back()
+
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    return docs.select(*keep, of(F.col("text").cast("string")).alias("_said")).select(*keep, *[F.col("_said")[c].alias(c) for c in made])
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
-        for at in range(0, len(texts), SLICE):
-            said, score = predict_rows([t if isinstance(t, str) else None for t in texts.iloc[at : at + SLICE]], model)
-            langs += said
-            scores.append(score)
-        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, of(F.col("text").cast("string")).alias("_said")).select(
-        *keep, F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score")
-    )
+def is_known(lang_pred, likeness, text) -> F.Column:
+    """Whether a predicted language is one that the text is really written in."""
+    lack = F.lit(SHORT) / F.sqrt(F.greatest(F.octet_length(text), F.lit(1)).cast("double"))
+    return (lang_pred != UNDETERMINED) & (likeness >= F.lit(LEAST_LIKENESS) - lack)
 
 
 def held_out(modulus: int, remainder: int) -> F.Column:
@@ -176,6 +210,6 @@ def held_out(modulus: int, remainder: int) -> F.Column:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(~held_out(4, 2)).select("text", "lang"))
+    model = fit(docs.where(~held_out(4, 2)).select("doc_id", "text", "lang"))
     rows = docs.select("doc_id", held_out(4, 2).alias("held_out"), "text")
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
