@@ -9,6 +9,7 @@ bounded sample of labelled rows with Spark ML; scoring is a scan with no shuffle
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidegrid.llm.common import materialize, release, table
+from tidegrid.llm.common import bound_batches, drawn, give_back, materialize, release, table
 from tidegrid.llm.language_id import held_out
 
 ROWS_PER_CLASS = 4000  # labelled rows that are fitted for each class, about
-LEXICON_SIZE = 2000
+FIT_FILES = 8
 STEMS = (4, 5)
 NEAR = 5
 
@@ -97,9 +99,11 @@ def _vectors(docs: DataFrame, lexicon: tuple[list[str], list[str]]) -> DataFrame
     """``docs`` with a column _features; the text's features as an array."""
 
     @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         learned, stems = frozenset(lexicon[0]), frozenset(lexicon[1])
-        return pd.Series([features(t if isinstance(t, str) else None, learned, stems) for t in texts])
+        for texts in batches:
+            yield pd.Series([features(t if isinstance(t, str) else None, learned, stems) for t in texts])
+        give_back()
 
     return docs.withColumn("_features", of(F.col("text").cast("string")))
 
@@ -107,7 +111,8 @@ def _vectors(docs: DataFrame, lexicon: tuple[list[str], list[str]]) -> DataFrame
 def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
     """Words and word beginnings whose share of toxic rows far exceeds that of clean rows.
 
-    A unit needs to occur in 3 toxic rows and in 1 % of them, at a smoothed ratio of 12 or more.
+    A unit needs to occur in 3 toxic rows and in 1 % of them, at a smoothed ratio of 12 or more, so
+    the drawn rows bound how many there are.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     units = F.array_union(
@@ -126,20 +131,20 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str
         .where(F.col("bad") >= max(3, n_toxic // 100))
     )
     ratio = ((F.col("bad") + 0.5) / (n_toxic + 1.0)) / ((F.col("good") + 0.5) / (n_clean + 1.0))
-    top = counted.withColumn("ratio", ratio).where(F.col("ratio") >= 12.0).orderBy(F.desc("bad"), "unit").limit(LEXICON_SIZE)
-    units = [r.unit for r in top.collect()]
+    units = [r.unit for r in counted.where(ratio >= 12.0).select("unit").orderBy("unit").collect()]
     return [u[1:] for u in units if u[0] == "="], [u for u in units if u[0] != "="]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> dict:
     """Lexicon, trees and calibration from the texts of ``docs`` that ``labels`` marks 0 or 1.
 
-    About ``rows_per_class`` rows of each class are drawn by a fixed seed before texts are looked
-    up, so the ids that are broadcast and the texts that are fitted are bounded.  A drawn row counts
-    as often in trees and calibration as there are labels of its class for each drawn one, so a
-    score is the chance among all labelled rows at any size.  Where rows of either class are
-    missing, the model is the share of toxic rows.
+    About ``rows_per_class`` rows of each class are drawn by a hash of doc_id before texts are
+    looked up, so the ids that are broadcast and the texts that are fitted are bounded, and any run
+    draws the same.  A drawn row counts as often in trees and calibration as there are labels of its
+    class for each drawn one, so a score is the chance among all labelled rows at any size.  Where
+    rows of either class are missing, the model is the share of toxic rows.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
@@ -147,20 +152,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     constant = {"constant": (bad / (bad + good)) if bad + good else 0.0}
     if not bad or not good:
         return constant
-    drawn = known.sampleBy("toxic", {k: min(1.0, rows_per_class / n) for k, n in counts.items()}, seed=5)
+    share = F.when(F.col("toxic") == 1, min(1.0, rows_per_class / bad)).otherwise(min(1.0, rows_per_class / good))
+    chosen = known.where(drawn(share, "doc_id"))
     rows = materialize(
         docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .join(F.broadcast(drawn), "doc_id")
-        .select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(10)).alias("fold"))
-    )
+        .join(F.broadcast(chosen), "doc_id")  # about rows_per_class ids of each class
+        .select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(10)).alias("fold"), F.xxhash64("doc_id", "text").alias("key")),
+        FIT_FILES, "key",
+    )
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
     if not bad or not good:
+        release(rows)
         return constant
     lexicon = learn_lexicon(rows, bad, good)
-    taken = {r.toxic: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    taken = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     weight = F.when(F.col("toxic") == 1, labelled[1] / taken[1]).otherwise(labelled[0] / taken[0]).alias("weight")
-    data = materialize(_vectors(rows, lexicon).select("_features", F.col("toxic").cast("double").alias("label"), weight, "fold"))
+    data = materialize(_vectors(rows, lexicon).select("_features", F.col("toxic").cast("double").alias("label"), weight, "fold", "key"), 1, "key")
     train = data.select(array_to_vector("_features").alias("features"), "label", "weight", "fold")
     fitted = train.where("fold >= 3")
     if len(fitted.groupBy("label").count().collect()) < 2:
@@ -170,17 +178,35 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     held = chance(train.where("fold < 3"))
     calibration = None
     if len(held.groupBy("label").count().collect()) == 2:
-        calibration = IsotonicRegression(featuresCol="chance", labelCol="label", weightCol="weight").fit(held)
-    for made in (rows, data):
-        release(made)
+        calibration = _calibrate(held, labelled[1] / taken[1], labelled[0] / taken[0])
+    release(rows, data)
     return {"lexicon": lexicon, "trees": trees, "calibration": calibration}
 
 
+def _calibrate(held: DataFrame, toxic_weight: float, clean_weight: float):
+    """Isotonic steps from chance to label, each with one more row of either class.
+
+    Without those rows a step that a few drawn rows make would claim certainty.  A step reaches up
+    to the next one: where no drawn row lies between them, nothing speaks for more.
+    """
+    isotonic = IsotonicRegression(featuresCol="chance", labelCol="label", weightCol="weight")
+    steps = isotonic.fit(held).transform(held).groupBy("prediction").agg(
+        F.sum("weight").alias("w"), F.min("chance").alias("low"), F.max("chance").alias("high")
+    )
+    smooth = (F.col("prediction") * F.col("w") + toxic_weight) / (F.col("w") + toxic_weight + clean_weight)
+    upper = F.coalesce(F.lead("low").over(Window.orderBy("low")) - 1e-9, F.col("high"))  # a row a step
+    ends = steps.select(smooth.alias("label"), (F.col("w") / 2).alias("weight"), "low", upper.alias("upper"))
+    ends = ends.select("label", "weight", F.explode(F.array("low", "upper")).alias("chance"))
+    return isotonic.fit(ends)
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if the score is 0.5 or more).
 
-    Only the text is used; null and empty texts are scored like any other, by their zero features.
-    Other columns are passed on; clashing columns named score or predicted are replaced.
+    Only the text is used, whole, however long; null and empty texts are scored like any other, by
+    their zero features.  Equal texts get equal scores and repeated rows a row each; an empty table
+    gives no rows.  Other columns are passed on; clashing columns named score or predicted are
+    replaced, and so is whatever Spark's models would add.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
