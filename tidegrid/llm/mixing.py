@@ -30,6 +30,7 @@ STEPS = 50
 TOLERANCE = 5e-3
 #: The multipliers' own tolerance, the weight that keeps rates unique where targets cannot be met, and most passes.
 EXACT, RIDGE, MOST_PASSES = 1e-6, 1e-6, 200
+LOOK_BACK = 10  # steps after which rates are written
 VARIANCE_FLOOR = 1e-3
 #: Wanted weight of each domain among the tokens that the rates give.
 TARGETS = {"high": 0.97, "low": 0.03}
@@ -155,27 +156,39 @@ def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS):
     largest = math.sqrt(sum(sum(g * x for g, x in zip(row, v)) ** 2 for row in gram)) or 1.0
     history: list[list[float]] = []
 
-    def rate(tokens: Column, posterior: Column) -> Column:
-        if not history:
-            return F.lit(1.0)
-        pulls = F.array(*[F.array(*[F.lit(x) for x in h]) for h in history])
+    def moved(begun: Column, tokens: Column, posterior: Column, first: int) -> Column:
+        """The rate after the steps from ``first`` on."""
+        if len(history) == first:
+            return begun
+        pulls = F.array(*[F.array(*[F.lit(x) for x in h]) for h in history[first:]])
         pull = lambda h: sum((posterior[i] * h[i] for i in range(1, k)), posterior[0] * h[0])
-        return F.aggregate(pulls, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - tokens * pull(h)))
+        return F.aggregate(pulls, begun, lambda r, h: F.greatest(F.lit(0.0), r - tokens * pull(h)))
+
+    def rate(tokens: Column, posterior: Column) -> Column:
+        return moved(F.lit(1.0), tokens, posterior, 0)
+
+    # every few steps the rates are written beside tokens and posterior, so that a step looks back on few
+    now, first, written = soft.select("tokens", "posterior", F.lit(1.0).alias("rate")), 0, []
 
     def misses() -> list[float]:
-        now = soft.select(rate(F.col("tokens"), F.col("posterior")).alias("rate"), *[m.alias(f"m{i}") for i, m in enumerate(mass)])
-        totals = now.agg(*[F.sum(F.col("rate") * F.col(f"m{i}")).alias(f"t{i}") for i in range(k)]).first()
+        rates = now.select(moved(F.col("rate"), F.col("tokens"), F.col("posterior"), first).alias("rate"), *[m.alias(f"m{i}") for i, m in enumerate(mass)])
+        totals = rates.agg(*[F.sum(F.col("rate") * F.col(f"m{i}")).alias(f"t{i}") for i in range(k)]).first()
         return [(totals[i] - targets[i]) / scale[i] for i in range(k)]
 
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         history.append([m / scale[i] / largest for i, m in enumerate(misses())])
-    if max(abs(m) for m in misses()) <= TOLERANCE:
-        return rate
-    return nearest_rates(soft, targets, scale, everything, rate)
+        if step % LOOK_BACK == 0 or step == steps:
+            now = materialize(now.withColumn("rate", moved(F.col("rate"), F.col("tokens"), F.col("posterior"), first)))
+            release(*written)
+            first, written = step, [now]
+    done = max(abs(m) for m in misses()) <= TOLERANCE
+    fitted = rate if done else nearest_rates(now, targets, scale, everything, rate)
+    release(*written)
+    return fitted
 
 
 def nearest_rates(soft: DataFrame, targets: list[float], scale: list[float], everything: float, start):
-    """The nonnegative rates that meet the targets and are nearest to those of ``start``.
+    """The nonnegative rates that meet the targets and are nearest to those of ``start``, the column rate of ``soft``.
 
     Nearest in the sum of tokens * change^2, so a rate is max(0, start - sum of multiplier *
     posterior) with one multiplier a domain.  The multipliers minimise the convex dual by Newton
@@ -186,18 +199,14 @@ def nearest_rates(soft: DataFrame, targets: list[float], scale: list[float], eve
     goal, size = np.array(targets) / everything, np.array(scale) / everything
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def ended(multipliers):
-        def rate(tokens: Column, posterior: Column) -> Column:
-            moved = sum((posterior[i] * F.lit(float(m)) for i, m in enumerate(multipliers)), F.lit(0.0))
-            begun = start(tokens, posterior)
-            return F.when(tokens > 0, F.greatest(F.lit(0.0), begun - moved)).otherwise(begun)
-
-        return rate
+    def moved(begun: Column, tokens: Column, posterior: Column, multipliers) -> Column:
+        pull = sum((posterior[i] * F.lit(float(m)) for i, m in enumerate(multipliers)), F.lit(0.0))
+        return F.when(tokens > 0, F.greatest(F.lit(0.0), begun - pull)).otherwise(begun)
 
     def measure(multipliers):
         """Dual value, its gradient and its curvature, over all tokens."""
         t, p, r = F.col("tokens"), F.col("posterior"), F.col("rate")
-        row = soft.select("tokens", "posterior", ended(multipliers)(t, p).alias("rate")).agg(
+        row = soft.select("tokens", "posterior", moved(r, t, p, multipliers).alias("rate")).agg(
             F.sum(t * r * r).alias("square"),
             *[F.sum(t * p[i] * r).alias(f"t{i}") for i in range(k)],
             *[F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i, j in pairs],
@@ -221,7 +230,7 @@ def nearest_rates(soft: DataFrame, targets: list[float], scale: list[float], eve
                 break
             share /= 2
         at, (value, gradient, curve) = at + share * step, tried
-    return ended(at)
+    return lambda tokens, posterior: moved(start(tokens, posterior), tokens, posterior, at)
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -238,11 +247,13 @@ def domains_of(labels: DataFrame) -> DataFrame:
 def token_targets(soft: DataFrame, domains: list[str], weights: dict[str, float]) -> list[float]:
     """Token totals at these weights that leave the heaviest domain's expected total as it is.
 
-    A domain without a weight gets 0; a weight whose domain is not there is left out.
+    A domain without a weight gets 0; a weight whose domain is not there is left out.  Where no
+    domain has a weight, the targets are what there is.
     """
     held = [weights.get(d, 0.0) for d in domains]
-    if not sum(held):
-        raise ValueError("no domain with a weight has a labelled row")
+    if not sum(held):  # nothing is wanted of any labelled domain, so nothing changes
+        totals = soft.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"t{i}") for i in range(len(domains))]).first()
+        return [t or 0.0 for t in totals]
     at = max(range(len(held)), key=lambda i: held[i])
     own = soft.agg(F.sum(F.col("tokens") * F.col("posterior")[at]).alias("t")).first().t or 0.0
     return [w * own / held[at] for w in held]
@@ -254,40 +265,46 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     ``labels`` has doc_id, domain.  ``targets`` are the domains' wanted weights, turned into token
     totals by ``token_targets``.  ``steps`` gradient steps, whose size grows with a row's tokens, are
     taken first.  posterior is in the order of the domains' names.  Texts without words (null ones too) have no
-    tokens and keep rate 1; without labels every rate is 1 and posterior is empty.  Repeated rows
-    keep a row each; an empty table gives no rows; other columns are ignored.
+    tokens and keep rate 1; without labels every rate is 1 and posterior is empty, and where no
+    labelled domain has a weight rates stay 1.  Very long texts are measured whole; repeated rows keep a
+    row each; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    soft, model, fitted = _fit(docs, labels, targets, steps, features)
+    soft, model, fitted, measured = _fit(docs, labels, targets, steps, features)
+    if model:
+        release(measured)
     rated = soft.withColumn("rate", fitted(F.col("tokens"), F.col("posterior")))
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int, features: tuple[str, ...]):
-    """(doc_id, tokens and posterior of every row; the domains' model; the rates' function)."""
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int, features: tuple[str, ...], whole: bool = False):
+    """(doc_id, tokens and posterior of every row; the domains' model; the rates' function; what was measured).
+
+    With ``whole`` the measured table also carries the rows themselves, as ``_row``.
+    """
     made = _once(counts(F.col("text"), features), dense).alias("_made")
-    measured = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), made).select("doc_id", "_made.*"))
+    rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
+    measured = docs.select(*rows, F.col("doc_id").cast("long").alias("doc_id"), made)
+    measured = materialize(measured.select(*(["_row"] if whole else []), "doc_id", "_made.*"))
     model = fit_domains(measured, labels, features)
     if not model:
-        return measured.select("doc_id", "tokens", F.array().cast("array<double>").alias("posterior")), model, lambda t, p: F.lit(1.0)
+        return measured.select("doc_id", "tokens", F.array().cast("array<double>").alias("posterior")), model, lambda t, p: F.lit(1.0), measured
     soft = materialize(measured.select("doc_id", "tokens", posteriors(model, F.col).alias("posterior")))
-    release(measured)
-    return soft, model, fit_rates(soft, token_targets(soft, list(model), targets), steps)
+    return soft, model, fit_rates(soft, token_targets(soft, list(model), targets), steps), measured
 
 
 def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, steps: int = 0, features: tuple[str, ...] = LENGTH_FREE) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as its ``copies`` says; nothing is shuffled."""
-    soft, model, fitted = _fit(docs, labels, targets, steps, features)
-    release(soft)
-    if not model:
-        return docs
-
-    def often(row: Column) -> Column:
-        rated = _once(posteriors(model, lambda c: row[c]), lambda p: fitted(row["tokens"], p))
-        return _once(rated, lambda rate: copies(rate, F.col("doc_id").cast("long")))
+    """The rows of ``docs``, all columns, each as often as its ``copies`` says; nothing is shuffled.
 
-    times = _once(counts(F.col("text"), features), lambda raw: _once(dense(raw), often))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return docs.select(whole, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_row.*")
+    Cases are those of ``mix``.  Texts are measured once: the rows are written with their features,
+    from which posteriors and rates follow.
+    """
+    soft, model, fitted, measured = _fit(docs, labels, targets, steps, features, whole=True)
+    if not model:
+        return measured.select("_row.*")
+    release(soft)
+    rate = _once(posteriors(model, F.col), lambda p: fitted(F.col("tokens"), p))
+    times = _once(rate, lambda r: copies(r, F.col("doc_id")))
+    return measured.select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_row.*")
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
