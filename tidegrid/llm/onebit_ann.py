@@ -2,10 +2,15 @@
 
 Index: centroids fitted on a bounded sample split the vectors into lists; a vector is stored as the
 signs of its randomly rotated offset from the centroid (one packed bit a dimension), the offset's
-length, and the correction scalar <code, offset direction>.  Search: a query visits the nearest
-lists; the packed bits and the scalars give an unbiased estimate of every inner product with a
-known error bound, and only vectors whose lower bound on the distance reaches the k-th best exact
-distance are compared on their original values.
+length, and the correction scalar <code, offset direction>.
+
+Search: a query visits the nearest lists.  Its rotated offset is rounded to ``QUERY_BITS`` bits a
+dimension, so the inner product with a code is a few ANDs and bit counts over packed words; the
+scalars make it an unbiased estimate of the true one with a known error bound.  Codes alone decide
+which vectors are read: first the ``k`` with the smallest estimates, whose exact distances bound the
+k-th nearest, then those whose lower bound lies within.  A vector travels with its code to the block
+of its list: where one row in a hundred is a query, every vector is a candidate of some query, and
+looking candidates up by pairs moves many times more (README).
 """
 
 from __future__ import annotations
@@ -18,25 +23,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.llm.common import table
+from tidegrid.llm.common import bound_batches, give_back, materialize, table
 
 K = 10
 QUERY_STEP = 100
-FIT_SAMPLE = 20_000  # vectors that the centroids are fitted on, about
+FIT_SAMPLE = 20_000  # vectors that the centroids of a dimension are fitted on, about
+MOST_DIMS = 16  # vector lengths that get centroids, those with the most rows; others have one list
 MOST_LISTS = 4096
-PROBE_SHARE = 1.0  # share of the lists that a query visits; below 1 is faster where vectors cluster well
-PROBES = 8
-BLOCK_ROWS = 4096  # vectors in a block of a list, about
-QUERY_ROWS = 2048  # queries that meet a block at once, about
-ERROR_SIGMAS = 3.5
+PROBE_SHARE = 0.85  # share of the lists that a query visits
+PROBES = 8  # lists that it visits at least
+QUERY_BITS = 4
+BLOCK_ROWS = 4096  # codes in a block of a list, about
+QUERY_ROWS = 1024  # queries that meet a block at once, about
+ERROR_SIGMAS = 2.5  # of the estimate's error that a lower bound allows for
 SEED = 20240229
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vec_id is known and whose vector is finite, not zero, and of the usual length.
-
-    The usual length is that of most such vectors (the smaller length on a tie).
-    """
+    """vec_id, embedding, row (a hash of both), dim of rows with an id and a finite vector that is not zero."""
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     ).where(
@@ -45,8 +49,7 @@ def usable(vectors: DataFrame) -> DataFrame:
         & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
         & F.exists("embedding", lambda x: x != 0.0)
     )
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("embedding") == (sizes.n if sizes else 0))
+    return rows.withColumns({"row": F.xxhash64("vec_id", "embedding"), "dim": F.size("embedding")})
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
@@ -73,150 +76,167 @@ def nearest_lists(rows: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+_ROTATIONS: dict[int, np.ndarray] = {}
+
+
 def random_rotation(dim: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED + 1).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The same random rotation wherever it is made; kept as long as the task runs."""
+    if dim not in _ROTATIONS:
+        q, r = np.linalg.qr(np.random.default_rng(SEED + 1).standard_normal((dim, dim)))
+        _ROTATIONS[dim] = q * np.sign(np.diag(r))
+    return _ROTATIONS[dim]
+
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """(rows, dim) truth values as packed 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
 
-def encode(offsets: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed sign bits, lengths, correction scalars) of offsets from a centroid."""
-    turned = offsets @ rotation
+
+def encode(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes as packed words, lengths, correction scalars) of offsets from a centroid."""
+    turned = offsets @ random_rotation(offsets.shape[1])
     lengths = np.sqrt((offsets**2).sum(axis=1))
     correction = np.abs(turned).sum(axis=1) / np.where(lengths > 0, lengths, 1.0) / math.sqrt(offsets.shape[1])
-    return np.packbits(turned > 0, axis=1), lengths, np.where(lengths > 0, correction, 1.0)
+    return _words(turned > 0), lengths, np.where(lengths > 0, correction, 1.0)
 
 
-def search_block(ids, vectors, bits, lengths, correction, q_ids, queries, center, rotation, k):
-    """The ``k`` nearest of one block for every query: (query id, vec id, distance) rows.
+def estimate(codes, lengths, correction, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated squared distances, what they may lack) of coded vectors to one query's offset.
 
-    ``bits`` are packed codes.  All rows tied with the k-th distance are compared, so ties go to
-    the smaller vec_id.
+    sum(code * query) is taken from bit counts of the codes with the bit planes of the rounded query.
+    """
+    dim = len(offset)
+    turned = offset @ random_rotation(dim)
+    low, top = turned.min(), turned.max()
+    step = (top - low) / ((1 << QUERY_BITS) - 1) or 1.0
+    levels = np.rint((turned - low) / step).astype(np.int64)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    product = np.zeros(len(codes), dtype=np.int64)
+    for bit in range(QUERY_BITS):
+        plane = _words((levels >> bit & 1)[None, :] > 0)
+        product += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << bit
+    dots = (2.0 * (step * product + low * ones) - turned.sum()) / math.sqrt(dim)
+    size = math.sqrt(offset @ offset)
+    about = lengths**2 + size**2 - 2.0 * lengths * dots / correction
+    coded = size * np.sqrt(np.maximum(0.0, 1.0 - correction**2) / max(1, dim - 1))
+    rounded = step / math.sqrt(3.0)
+    return about, 2.0 * lengths / correction * ERROR_SIGMAS * np.hypot(coded, rounded)
+
+
+def search_block(rows, codes, lengths, correction, ids, vectors, query_ids, query_rows, queries, center, k: int) -> pd.DataFrame:
+    """query_id, vec_id, score: the ``k`` nearest of one block for every query.
+
+    All rows tied with the k-th distance are compared, so ties go to the smaller vec_id.
     """
-    dim = vectors.shape[1]
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float64) * 2.0 - 1.0
-    offsets = queries - center
-    q_lengths = np.sqrt((offsets**2).sum(axis=1))
-    dots = signs @ (offsets @ rotation).T / math.sqrt(dim)
-    estimate = lengths[:, None] * dots / correction[:, None]
-    spread = lengths * np.sqrt(np.maximum(0.0, 1.0 - correction**2)) / correction * ERROR_SIGMAS / math.sqrt(max(1, dim - 1))
     out = []
-    for j, q_id in enumerate(q_ids):
-        others = np.flatnonzero(ids != q_id)
-        if not len(others):
-            continue
-        about = lengths[others] ** 2 + q_lengths[j] ** 2 - 2.0 * estimate[others, j]
-        lower = about - 2.0 * spread[others] * q_lengths[j]
-        first = others[np.argpartition(about, k - 1)[:k]] if len(others) > k else others
-        reach = np.max(((vectors[first] - queries[j]) ** 2).sum(axis=1))
-        chosen = others[lower <= reach * (1 + 1e-9) + 1e-12] if len(others) > k else others
-        chosen = np.union1d(chosen, first)
-        distance = np.sqrt(((vectors[chosen] - queries[j]) ** 2).sum(axis=1))
-        for i in np.lexsort((ids[chosen], distance))[:k]:
-            out.append((q_id, ids[chosen[i]], distance[i]))
-    return out
+    for q_id, q_row, query in zip(query_ids, query_rows, queries):
+        about, lack = estimate(codes, lengths, correction, query - center)
+        lower, others = about - lack, np.ones(len(ids), dtype=bool)
+        others[np.flatnonzero((ids == q_id) & (rows == q_row))[:1]] = False  # the query's own row, one of equal ones
+        others = np.flatnonzero(others)
+        read = lambda at: ((np.stack(vectors[at]) - query) ** 2).sum(axis=1)
+        chosen = others
+        if len(others) > k:
+            first = others[np.argpartition(about[others], k - 1)[:k]]
+            chosen = np.union1d(first, others[lower[others] <= read(first).max() * (1 + 1e-9) + 1e-12])
+        if len(chosen):
+            distance = np.sqrt(read(chosen))
+            best = np.lexsort((ids[chosen], distance))[:k]
+            out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[chosen][best], "score": distance[best]}))
+    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("vec_id", "int64"), ("score", "float64"))})
+
+
+def _fit(rows: DataFrame, n: int, dim: int, n_queries: int, probe_share: float) -> dict:
+    """Centroids of one dimension, and how many blocks the codes and the queries of each list need."""
+    own = rows.where(F.col("dim") == dim)
+    drawn = own if n <= FIT_SAMPLE else own.where(F.pmod("row", F.lit(1 << 30)) < F.lit(int((1 << 30) * FIT_SAMPLE / n)))
+    sample = np.array([r.embedding for r in drawn.orderBy("row").select("embedding").limit(2 * FIT_SAMPLE).collect()], dtype=np.float64)
+    centers = fit_centroids(sample, int(min(MOST_LISTS, max(1, math.isqrt(n) // 4)))) if len(sample) else np.zeros((1, dim))
+    lists = len(centers)
+    probes = min(lists, max(PROBES, round(lists * probe_share)))
+    seen = nearest_lists(sample, centers, probes) if len(sample) else np.zeros((1, 1), dtype=np.int64)
+    share, visits = (np.bincount(x, minlength=lists) / len(seen) for x in (seen[:, 0], seen.ravel()))
+    blocks = np.maximum(1, np.ceil(share * n / BLOCK_ROWS)).astype(int)
+    q_blocks = np.maximum(1, np.ceil(visits * n_queries / QUERY_ROWS)).astype(int)
+    return {"centers": centers, "probes": probes, "blocks": blocks, "q_blocks": q_blocks}
 
 
 def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest other rows by Euclidean distance.
 
-    ``is_query`` is a predicate on vec_id.  Null, zero, non-finite vectors, vectors of another
-    length than most and rows without a vec_id take no part.  Repeated query ids are asked once
-    (smallest vector); repeated candidate rows count each.  Ties go to the smaller vec_id; fewer
-    candidates than ``k`` are all returned; an empty table gives no rows; other columns are ignored.
+    ``is_query`` is a predicate on vec_id.  Null, zero, non-finite vectors and rows without a vec_id
+    take no part; vectors are compared with those of their own length.  Repeated query ids are asked
+    once (smallest vector).  Only the query's own row is left out: rows that repeat it, or its id with
+    another vector, are candidates like any other and count each.  Ties go to the smaller vec_id; fewer
+    candidates than ``k`` in the lists visited are all returned; an empty table gives no rows; other
+    columns are ignored, whatever their names.
 
-    Every row is indexed.  Lists are split into blocks by a hash of vec_id and queries into blocks
+    Every row is indexed.  Lists are split into blocks by a hash of the row and queries into blocks
     as well, both sized from the fitted sample's shares, so a vector or list that holds a third of
-    the rows is spread over many tasks.  The driver holds the sample and the centroids only.
+    the rows is spread over many tasks.  The driver holds the sample and the centroids.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
-    n = rows.count()
-    result = "query_id long, vec_id long, score double"
-    if n == 0:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = rows if n <= FIT_SAMPLE else rows.sample(FIT_SAMPLE / n, seed=SEED)
-    sample = np.array([r.embedding for r in drawn.select("embedding").collect()], dtype=np.float64)
-    lists = int(min(MOST_LISTS, max(1, math.isqrt(n) // 4)))
-    centers = fit_centroids(sample, lists)
-    lists = len(centers)
-    probes = min(lists, max(PROBES, round(lists * probe_share)))
-    rotation = random_rotation(centers.shape[1])
-    seen = nearest_lists(sample, centers, probes)
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n_queries = asked.count()
-    share = np.bincount(seen[:, 0], minlength=lists) / len(sample)
-    visits = np.bincount(seen.ravel(), minlength=lists) / len(sample)
-    blocks = np.maximum(1, np.ceil(share * n / BLOCK_ROWS)).astype(int)
-    q_blocks = np.maximum(1, np.ceil(visits * n_queries / QUERY_ROWS)).astype(int)
+    bound_batches(spark)
+    rows = materialize(usable(vectors))  # a scan instead of the source for the fit, the codes and the look-ups
+    result = "query_id long, rank int, vec_id long, score double"
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("embedding", "row", "dim")).alias("q")).select("vec_id", "q.*")
+    sizes = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_DIMS).collect()
+    if not sizes:
+        return spark.createDataFrame([], result)
+    wanted = {r.dim: r["count"] for r in asked.groupBy("dim").count().collect()}
+    fitted = {r.dim: _fit(rows, r["count"], r.dim, wanted.get(r.dim, 0), probe_share) for r in sizes if r.dim in wanted}
+    one = lambda dim: {"centers": np.zeros((1, dim)), "probes": 1, "blocks": np.ones(1, int), "q_blocks": np.ones(1, int)}
 
     def index(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-            lst = nearest_lists(x, centers, 1)[:, 0]
-            bits, lengths, correction = encode(x - centers[lst], rotation)
-            out = pd.DataFrame(
-                {
-                    "list": lst,
-                    "block": pdf["spread"].to_numpy() % blocks[lst],
-                    "vec_id": pdf["vec_id"],
-                    "embedding": pdf["embedding"],
-                    "bits": [b.tobytes() for b in bits],
-                    "length": lengths,
-                    "correction": correction,
-                }
-            )
-            copies = q_blocks[lst]
-            out = out.loc[out.index.repeat(copies)]
-            out["q_block"] = np.concatenate([np.arange(c) for c in copies])
-            yield out
+            for dim, own in pdf.groupby("dim"):
+                m = fitted.get(dim) or one(dim)
+                x = np.array(own["embedding"].tolist(), dtype=np.float64)
+                lst = nearest_lists(x, m["centers"], 1)[:, 0]
+                codes, lengths, correction = encode(x - m["centers"][lst])
+                out = pd.DataFrame(
+                    {
+                        "dim": own["dim"].to_numpy(), "list": lst, "block": own["row"].to_numpy() % m["blocks"][lst],
+                        "vec_id": own["vec_id"].to_numpy(), "row": own["row"].to_numpy(), "embedding": own["embedding"].to_numpy(),
+                        "code": [c.tobytes() for c in codes], "length": lengths, "correction": correction,
+                    }
+                )
+                copies = m["q_blocks"][lst]
+                out = out.loc[out.index.repeat(copies)]
+                out["q_block"] = np.concatenate([np.arange(c) for c in copies])
+                yield out
+        give_back()
 
     def route(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-            out = []
-            for vec_id, vector, spread, visited in zip(
-                pdf["vec_id"], pdf["embedding"], pdf["spread"], nearest_lists(x, centers, probes)
-            ):
-                for lst in visited:
-                    out += [(lst, b, spread % q_blocks[lst], vec_id, vector) for b in range(blocks[lst])]
-            yield pd.DataFrame(out, columns=["list", "block", "q_block", "query_id", "embedding"])
+            for dim, own in pdf.groupby("dim"):
+                m = fitted.get(dim) or one(dim)
+                out = []
+                x = np.array(own["embedding"].tolist(), dtype=np.float64)
+                for vec_id, vector, row, visited in zip(own["vec_id"], own["embedding"], own["row"], nearest_lists(x, m["centers"], m["probes"])):
+                    for lst in visited:
+                        out += [(dim, lst, b, row % m["q_blocks"][lst], vec_id, row, vector) for b in range(m["blocks"][lst])]
+                yield pd.DataFrame(out, columns=["dim", "list", "block", "q_block", "query_id", "row", "embedding"])
 
     def meet(key, left, right):
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(left) or not len(right):
-            return empty.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        found = search_block(
-            left["vec_id"].to_numpy(),
-            np.array(left["embedding"].tolist(), dtype=np.float64),
-            np.frombuffer(b"".join(left["bits"]), dtype=np.uint8).reshape(len(left), -1),
-            left["length"].to_numpy(),
-            left["correction"].to_numpy(),
-            right["query_id"].to_numpy(),
-            np.array(right["embedding"].tolist(), dtype=np.float64),
-            centers[key[0]],
-            rotation,
-            k,
-        )
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)).alias("spread")
-    indexed = rows.select("vec_id", "embedding", spread).mapInPandas(
+        center = (fitted.get(key[0]) or one(key[0]))["centers"][key[1]]
+        column = lambda df, c: df[c].to_numpy()
+        codes = np.frombuffer(b"".join(left["code"]), dtype=np.uint64).reshape(len(left), -1) if len(left) else np.zeros((0, 1), np.uint64)
+        return search_block(
+            column(left, "row"), codes, column(left, "length"), column(left, "correction"), column(left, "vec_id"), column(left, "embedding"),
+            column(right, "query_id"), column(right, "row"), column(right, "embedding"), center, k,
+        )
+
+    coded = rows.mapInPandas(
         index,
-        "list int, block int, vec_id long, embedding array<double>, bits binary, length double, correction double, q_block int",
+        "dim int, list int, block long, vec_id long, row long, embedding array<double>, code binary, length double, correction double, q_block int",
     )
-    routed = asked.select("vec_id", "embedding", spread).mapInPandas(
-        route, "list int, block int, q_block int, query_id long, embedding array<double>"
-    )
-    keys = ["list", "block", "q_block"]
-    near = indexed.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(meet, result)
+    routed = asked.mapInPandas(route, "dim int, list int, block long, q_block int, query_id long, row long, embedding array<double>")
+    keys = ["dim", "list", "block", "q_block"]
+    near = coded.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
