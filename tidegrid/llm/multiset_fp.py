@@ -3,13 +3,17 @@
 Every paragraph (the text between line feeds) hashes to a vector of ``LANES`` small odd numbers;
 a document's fingerprint is the sum of its paragraphs' vectors modulo 2**32.  The sum does not
 depend on the order of paragraphs, and a paragraph is inserted or deleted by adding or subtracting
-its vector.  As the entries have mean zero, the cosine of two fingerprints estimates the cosine of
-the two multisets of paragraphs, which serves as their likeness.
+its vector.  A long paragraph's vector also holds those of its pieces, which are cut where the words
+themselves say so: an edit inside it changes the pieces that it touches and the paragraph's own
+vector, and leaves the other pieces.  As the entries have mean zero, the cosine of two fingerprints
+estimates the cosine of the two multisets, which serves as their likeness.
 """
 
 from __future__ import annotations
 
+import re
 from hashlib import shake_128
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,29 +21,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.llm.common import chunk_of, ordinal_chunks, table
+from tidegrid.llm.common import bound_batches, chunk_of, ordinal_chunks, table, tidy
 
 LANES = 96
+PIECE_WORDS = 8  # words of a piece of a long paragraph, about
+MOST_PIECE = 64  # and words at most
+MOST_WORD = 64  # characters of a word; longer runs without a blank are cut into such words
 ROWS_PER_RUN = 3_000
 
 
-def vectors(paragraphs: list[str]) -> np.ndarray:
-    """One row of ``LANES`` odd numbers in -255..255 for each paragraph."""
-    raw = b"".join([shake_128(p.encode("utf-8", "surrogatepass")).digest(LANES) for p in paragraphs])
+_WORD = re.compile(r"\S{1,%d}" % MOST_WORD)
+
+
+def _hashed(parts: list[bytes]) -> np.ndarray:
+    """One row of ``LANES`` odd numbers in -255..255 for each part."""
+    raw = b"".join([shake_128(p).digest(LANES) for p in parts])
     return np.frombuffer(raw, dtype=np.int8).reshape(-1, LANES).astype(np.int64) * 2 + 1
 
 
+def pieces(paragraph: str) -> list[bytes]:
+    """Pieces of a paragraph of more than ``PIECE_WORDS`` words; none of a shorter one.
+
+    A piece ends behind a word whose CRC-32 is a multiple of ``PIECE_WORDS``, or after ``MOST_PIECE``
+    words.  The leading byte keeps pieces apart from paragraphs.
+    """
+    words = [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(paragraph)]
+    if len(words) <= PIECE_WORDS:
+        return []
+    out, start = [], 0
+    for at, word in enumerate(words, 1):
+        if crc32(word) % PIECE_WORDS == 0 or at - start == MOST_PIECE or at == len(words):
+            out.append(b"\n" + b" ".join(words[start:at]))
+            start = at
+    return out
+
+
+def total(paragraphs: list[str]) -> np.ndarray:
+    """Sum of the paragraphs' vectors, taken a bounded number of rows at a time."""
+    out, held = np.zeros(LANES, dtype=np.int64), []
+    for paragraph in paragraphs:
+        held.append(paragraph.encode("utf-8", "surrogatepass"))
+        held += pieces(paragraph)
+        if len(held) >= 4096:
+            out += _hashed(held).sum(axis=0)
+            held = []
+    return out + _hashed(held).sum(axis=0)
+
+
 def fingerprint(text: str | None) -> np.ndarray:
     """Lanes modulo 2**32; null counts as the empty text, which is one empty paragraph."""
-    return (vectors((text or "").split("\n")).sum(axis=0) % (1 << 32)).astype(np.uint32)
+    return (total((text or "").split("\n")) % (1 << 32)).astype(np.uint32)
 
 
 def insert(lanes: np.ndarray, paragraphs: list[str]) -> np.ndarray:
-    return ((lanes.astype(np.int64) + vectors(paragraphs).sum(axis=0)) % (1 << 32)).astype(np.uint32)
+    return ((lanes.astype(np.int64) + total(paragraphs)) % (1 << 32)).astype(np.uint32)
 
 
 def delete(lanes: np.ndarray, paragraphs: list[str]) -> np.ndarray:
-    return ((lanes.astype(np.int64) - vectors(paragraphs).sum(axis=0)) % (1 << 32)).astype(np.uint32)
+    return ((lanes.astype(np.int64) - total(paragraphs)) % (1 << 32)).astype(np.uint32)
 
 
 def to_hex(lanes: np.ndarray) -> str:
@@ -111,9 +150,11 @@ def fingerprint_edits(docs: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> Data
     """Fingerprints of every text and of its edited text, with their likeness.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or
-    all) of the next document.  Null texts are empty; repeated rows keep a row each; an only
-    document follows itself; an empty table gives an empty result; other columns are ignored.
+    all) of the next document.  Null texts are empty; texts are read whole, however long; repeated
+    rows keep a row each; an only document follows itself; an empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     rows = with_next(docs, rows_per_run).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / F.lit(2)).cast("int")
     edited = F.concat(
@@ -121,7 +162,7 @@ def fingerprint_edits(docs: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> Data
     )
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     return rows.select("doc_id", "n_chars", "edited_sha256", "text", "edited", "next_text").mapInPandas(
-        _prints,
+        tidy(_prints),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )
