@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import table
+from tidegrid.llm.common import bound_batches, chunk_of, drawn, table, tidy
 
 RULES = [
     ("com", "/en/", "block"),
@@ -27,6 +27,7 @@ DEFAULT_VERDICT = "allow"
 BOUND_SAMPLE = 20_000
 ROWS_PER_RANGE = 500_000
 MOST_RANGES = 4096
+MOST_BOUND = 300  # characters of a bound
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,26 +94,29 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
     starts with the rule's path; the longest rule (host and path together) wins, then the more
     specific host; of equal rules ``block`` wins.  Rules without a host fit nothing.  A null url or
     one without ``://`` has an empty host and path and gets the default verdict.  Repeated pages
-    are judged each; an empty table gives an empty result; other columns are ignored.
+    are judged each; very long urls are judged whole; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
 
     Ranges are cut at quantiles of a bounded sample of positions (at most about ``BOUND_SAMPLE``;
-    the cuts only decide where rows are swept).  A position is the host key, the path and a hash of
-    the page, so a host or url that holds a third of all rows is spread over many ranges.  A rule
+    the cuts only decide where rows are swept).  A position is the host key and a hash of the page
+    and its path, so a host or url that holds a third of all rows is spread over many ranges.  A rule
     goes to every range that its interval meets.
     """
+    bound_batches(pages.sparkSession)
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("key", host_key(F.col("host")))
     # no key holds U+0001 unless the url does, and prefixes of keys compare alike either way
     rows = rows.withColumn(
-        "pos", F.concat("key", F.lit("\u0001"), "path", F.lit("\u0001"), F.hex(F.xxhash64("page_id")))
+        "pos", F.concat("key", F.lit("\u0001"), F.hex(F.xxhash64("page_id", "path")))
     )
     n = pages.count()
     ranges = min(MOST_RANGES, max(8, n // ROWS_PER_RANGE))
-    seen = sorted(r.pos for r in rows.select("pos").sample(min(1.0, BOUND_SAMPLE / max(n, 1)), seed=7).collect())
+    # a beginning of a position cuts as well as the whole, whatever the length of a host
+    cuts = rows.where(drawn(min(1.0, BOUND_SAMPLE / max(n, 1)), "page_id", "path")).select(F.substring("pos", 1, MOST_BOUND).alias("cut"))
+    seen = sorted(r.cut for r in cuts.limit(2 * BOUND_SAMPLE).collect())
     bounds = sorted({seen[len(seen) * i // ranges] for i in range(1, ranges)}) if seen else []
-    tops = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-    range_of = lambda c: F.array_size(F.filter(tops, lambda b: b <= c))
+    range_of = lambda c: chunk_of(c, bounds, inclusive=True)
 
     known = rules.where((F.col("host") != "") & F.col("path").isNotNull()).select(
         host_key(F.col("host")).alias("pos"), "path", F.concat("host", "path").alias("rule"), "verdict"
@@ -129,7 +133,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
     ).unionByName(known)
     swept = events.repartition(max(ranges, 8), "range_id").sortWithinPartitions("range_id", "pos", F.desc_nulls_last("end"))
     return swept.mapInPandas(
-        _sweep(default), "page_id long, host string, path string, rule string, verdict string"
+        tidy(_sweep(default)), "page_id long, host string, path string, rule string, verdict string"
     )
 
 
