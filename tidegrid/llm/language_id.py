@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,10 +120,9 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict
     model["between"] = _machines(rows, "family", sorted(model["families"]))
     for family, langs in model["families"].items():
         model["within"][family] = _machines(rows, "lang", langs)
-    shares = F.transform("profile", lambda x: x * x)
-    means = data.groupBy("lang").agg(F.array(*[F.avg(shares[i]) for i in range(DIM)]).alias("mean")).collect()  # a row a language
-    for r in means:
-        mean = np.array(r["mean"])
+    norms = rows.groupBy("lang").agg(Summarizer.normL2(F.col("features")).alias("norm")).collect()  # a row a language
+    for r in norms:
+        mean = r["norm"].toArray() ** 2  # sums of the n-grams' shares
         model["logs"][r.lang] = np.log(mean / mean.sum() * DIM + RARE)
     release(data)
     return model
