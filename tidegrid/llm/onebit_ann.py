@@ -129,22 +129,25 @@ def search_block(rows, codes, lengths, correction, ids, vectors, query_ids, quer
 
     All rows tied with the k-th distance are compared, so ties go to the smaller vec_id.
     """
-    out = []
+    asked, found, scores = [], [], []
     for q_id, q_row, query in zip(query_ids, query_rows, queries):
-        about, lack = estimate(codes, lengths, correction, query - center)
-        lower, others = about - lack, np.ones(len(ids), dtype=bool)
+        others = np.ones(len(ids), dtype=bool)
         others[np.flatnonzero((ids == q_id) & (rows == q_row))[:1]] = False  # the query's own row, one of equal ones
         others = np.flatnonzero(others)
-        read = lambda at: ((np.stack(vectors[at]) - query) ** 2).sum(axis=1)
+        read = lambda at: ((vectors[at] - query) ** 2).sum(axis=1)
         chosen = others
         if len(others) > k:
+            about, lack = estimate(codes, lengths, correction, query - center)
             first = others[np.argpartition(about[others], k - 1)[:k]]
-            chosen = np.union1d(first, others[lower[others] <= read(first).max() * (1 + 1e-9) + 1e-12])
-        if len(chosen):
-            distance = np.sqrt(read(chosen))
-            best = np.lexsort((ids[chosen], distance))[:k]
-            out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[chosen][best], "score": distance[best]}))
-    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("vec_id", "int64"), ("score", "float64"))})
+            lower = (about - lack)[others]
+            chosen = np.union1d(first, others[lower <= read(first).max() * (1 + 1e-9) + 1e-12])
+        distance = np.sqrt(read(chosen))
+        best = np.lexsort((ids[chosen], distance))[:k]
+        asked.append(np.full(len(best), q_id, dtype=np.int64))
+        found.append(ids[chosen][best])
+        scores.append(distance[best])
+    joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return pd.DataFrame({"query_id": joined(asked, np.int64), "vec_id": joined(found, np.int64), "score": joined(scores, np.float64)})
 
 
 def _fit(rows: DataFrame, n: int, dim: int, n_queries: int, probe_share: float) -> dict:
@@ -222,10 +225,11 @@ def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_
     def meet(key, left, right):
         center = (fitted.get(key[0]) or one(key[0]))["centers"][key[1]]
         column = lambda df, c: df[c].to_numpy()
+        matrix = lambda df: np.stack(df["embedding"].to_list()) if len(df) else np.zeros((0, len(center)))
         codes = np.frombuffer(b"".join(left["code"]), dtype=np.uint64).reshape(len(left), -1) if len(left) else np.zeros((0, 1), np.uint64)
         return search_block(
-            column(left, "row"), codes, column(left, "length"), column(left, "correction"), column(left, "vec_id"), column(left, "embedding"),
-            column(right, "query_id"), column(right, "row"), column(right, "embedding"), center, k,
+            column(left, "row"), codes, column(left, "length"), column(left, "correction"), column(left, "vec_id"), matrix(left),
+            column(right, "query_id"), column(right, "row"), matrix(right), center, k,
         )
 
     coded = rows.mapInPandas(
