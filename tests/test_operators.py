@@ -128,8 +128,8 @@ def test_tiers(spark, tmp_path):
     tiers.write_tier(field.where("pentadstamp = 147747").withColumn("v", F.lit(9.0)), path, overwrite=True)
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 3.0, 9.0]
     tiers.write_binary(field, str(tmp_path / "bin"), ["pentadstamp"])
-    packed = b"".join(r.packed for r in spark.read.parquet(str(tmp_path / "bin")).collect())
-    assert sorted(np.frombuffer(packed, ">f4")) == [0.0, 1.0, 2.0, 3.0]
+    pieces = spark.read.parquet(str(tmp_path / "bin")).orderBy("part", "seq").collect()
+    assert list(np.frombuffer(b"".join(r.packed for r in pieces), ">f4")) == [0.0, 1.0, 2.0, 3.0]
 
 
 def test_spectrum_of_differences_has_no_trend(spark):
@@ -147,3 +147,149 @@ def test_spectrum_of_differences_has_no_trend(spark):
     assert want and len(got) == 32 * len(want) and got.where(got.k == 0).radius.max() < 1e-6
     for t, rows in got.groupby("t"):
         assert rows.sort_values("k").radius.to_numpy() == pytest.approx(want[t], abs=2e-6)
+
+
+def test_points_and_spans(spark):
+    row = rows(spark, [(2024, None, None, -5)], "y int, p int, dy int, dp int").select(
+        pentad.stamp_from(F.col("y"), F.col("p")).alias("a"), pentad.delta_from(F.col("dy"), F.col("dp")).alias("span")
+    ).first()
+    assert (row.a, row.span, row.a + row.span) == (147752, -5, 147747)
+
+
+def test_axis_operators(spark):
+    flat = rows(spark, [(0, 1.0), (1, 1.0)], "lon_i int, lon double")
+    with pytest.raises(Exception, match="does not rise strictly"):
+        fields.index_range(flat, "lon", "lon_i", 0.0, 2.0).collect()
+    rising = rows(spark, [(i, float(i)) for i in range(5)], "lon_i int, lon double")
+    assert tuple(fields.index_range(rising, "lon", "lon_i", 1.0, 3.5).first()) == (1, 3)
+    assert tuple(fields.index_range(rising, "lon", "lon_i", 7.0, 9.0).first()) == (None, None)
+    lon = {"a": [0.0, 90.0, 180.0, 270.0], "b": [45.0 * i - 135.0 for i in range(8)], "c": [0.0, 200.0, 10.0, 250.0]}
+    axes = rows(spark, [(d, i, x) for d, v in lon.items() for i, x in enumerate(v)], "ds string, lon_i int, lon double")
+    got = {r.ds: r.start for r in fields.longitude_start(axes.where("ds < 'c'")).collect()}
+    assert got == {"a": 0, "b": 3}
+    with pytest.raises(Exception, match="more than one break"):
+        fields.longitude_start(axes).collect()
+    turn = rows(spark, [(3,)], "i int").select(fields.rotated_index(F.col("i"), F.lit(2), 4, 1)).first()[0]
+    assert turn == (2 + 1 + 3) % 4
+    field = rows(spark, [("n", i, 0, 10.0 - i) for i in range(3)] + [("s", i, 0, float(i)) for i in range(3)], "ds string, lat_i int, lon_i int, lat double")
+    assert [(r.ds, r.lat) for r in fields.ascending_latitude(field).orderBy("ds", "lat_i").collect()] == [("n", 8.0), ("n", 9.0), ("n", 10.0), ("s", 0.0), ("s", 1.0), ("s", 2.0)]
+    with pytest.raises(KeyError):
+        fields.select_stamps(field.withColumn("pentadstamp", F.col("lat_i")), [1, 7])
+    with pytest.raises(Exception, match="no span holds"):
+        spans = rows(spark, [(0, "x", "2020-01-01", "2020-12-31")], "ord int, name string, beg string, end string")
+        days = rows(spark, [("2021-05-05",)], "s string").select(F.to_date("s").alias("d"))
+        fields.first_interval(days, spans.withColumns({"beg": F.to_date("beg"), "end": F.to_date("end")})).collect()
+    assert fields.first_interval(days, spans.withColumns({"beg": F.to_date("beg"), "end": F.to_date("end")}), strict=False).first().name is None
+
+
+def test_compress_and_scatter(spark):
+    cells = rows(spark, [(0, i, float(i)) for i in range(10)], "lat_i int, lon_i int, v double")
+    mask = cells.select("lat_i", "lon_i", (~F.col("lon_i").isin(2, 5, 7)).cast("int").alias("mask"))
+    kept = fields.compress(cells, mask).withColumn("mode", F.lit(0))
+    assert sorted(r.v for r in kept.collect()) == [0, 1, 3, 4, 6, 8, 9]
+    back = [r.v for r in fields.scatter(kept, cells, ["mode"]).orderBy("lon_i").collect()]
+    assert back == [0, 1, None, 3, 4, None, 6, None, 8, 9]
+
+
+def test_separable_filter_is_the_kernel(spark):
+    rng = np.random.default_rng(3)
+    data = [("a", i, j, None if rng.random() < 0.2 else float(rng.random())) for i in range(7) for j in range(6)]
+    field = rows(spark, data, "ds string, lat_i int, lon_i int, v double")
+    one = grids.kernel_filter(field, ["ds"], grids.gauss_kernel(2, 1.3)).orderBy("lat_i", "lon_i").collect()
+    two = grids.separable_filter(field, ["ds"], grids.gauss_weights(2, 1.3)).orderBy("lat_i", "lon_i").collect()
+    assert [r.v for r in one] == pytest.approx([r.v for r in two])
+
+
+def test_flood_fill_by_layers_and_by_joins(spark):
+    rng = np.random.default_rng(5)
+    data = [(d, i, j, float(rng.random()) if rng.random() < 0.1 else None) for d in "ab" for i in range(8) for j in range(9)]
+    field = rows(spark, data, "ds string, lat_i int, lon_i int, v double")
+    ocean = (F.col("lat_i") + F.col("lon_i")) % 7 != 0
+    value = lambda df: [r.v for r in df.orderBy("ds", "lat_i", "lon_i").collect()]
+    layered, joined = (value(grids.flood_fill(field, ["ds"], 8, 9, 10, ocean, n)) for n in (100, 0))
+    assert layered == pytest.approx(joined, nan_ok=True) and None not in [v for v, (_, i, j, _) in zip(layered, sorted(data)) if (i + j) % 7]
+
+
+def test_high_pass_mirrors_edges(spark):
+    x = np.random.default_rng(6).random((9, 8))
+    data = [("a", i, j, float(x[i, j]) if (i, j) != (4, 4) else None) for i in range(9) for j in range(8)]
+    got = grids.high_pass(rows(spark, data, "ds string, lat_i int, lon_i int, v double"), ["ds"], 9, 8, 2, 3).collect()
+    x[4, 4] = 0.0
+    wide = np.pad(x, ((2, 2), (3, 3)), mode="symmetric")
+    want = {(i, j): x[i, j] - wide[i : i + 5, j : j + 7].mean() for i in range(9) for j in range(8)}
+    assert len(got) == 72
+    assert all(r.v is None if (r.lat_i, r.lon_i) == (4, 4) else r.v == pytest.approx(want[r.lat_i, r.lon_i]) for r in got)
+
+
+def test_staggered_regrid_is_exact_for_planes(spark):
+    source = {"z": [0.0, -10.0, -30.0], "lat": [0.0, 1.0, 2.0], "lon": [0.0, 1.0, 2.0, 3.0]}
+    target = {"z": [-5.0, -20.0], "lat": [0.5, 2.5], "lon": [0.25, 1.5, 9.0]}
+    data = [(k, i, j, z + y + 10 * x) for k, z in enumerate(source["z"]) for i, y in enumerate(source["lat"]) for j, x in enumerate(source["lon"])]
+    field = rows(spark, data, "k int, lat_i int, lon_i int, v double").withColumn("ds", F.lit("a"))
+    land = rows(spark, [(0, 0, 0)], "k int, lat_i int, lon_i int")
+    got = {(r.k, r.lat_i, r.lon_i): (r.v, r.outside) for r in grids.regrid_staggered(field, ["ds"], source, target, land, 2, valid=(-30.0, 20.0)).collect()}
+    assert len(got) == 12 and got[0, 0, 0] == (None, False)
+    for (k, i, j), (v, outside) in got.items():
+        want = target["z"][k] + min(target["lat"][i], 2.0) + 10 * min(target["lon"][j], 3.0)
+        assert (k, i, j) == (0, 0, 0) or (v == pytest.approx(want) and outside == (not -30 <= want <= 20))
+    with pytest.raises(ValueError):
+        grids.regrid_staggered(field, ["ds"], source, {**target, "z": [-40.0]}, land, 2)
+
+
+def test_long_series_use_the_fast_transform(spark):
+    x = np.random.default_rng(8).standard_normal((2, 300))
+    data = [(t, i, float(x[t, i])) for t in range(2) for i in range(300)]
+    want = np.fft.fft(x) / 300
+    got = series.dft(rows(spark, data, "t int, x int, v double"), "v", 300).collect()
+    assert len(got) == 300 and all(complex(r.re, r.im) == pytest.approx(want[r.t, r.k], abs=1e-12) for r in got)
+
+
+def test_eof_of_empty_and_single_samples(spark):
+    one = rows(spark, [(c, 0, float(c)) for c in range(4)], "cell int, sample int, v double")
+    for cells in (eof.anomalies(one, 1), eof.anomalies(one.where("false"), 3)):
+        assert [d.count() for d in eof.modes(cells, 3)] == [0, 0, 0]
+
+
+def test_eof_of_product_differences(spark):
+    """Pairs, box, stacking, mask, modes and scattering against numpy."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3, 5, 6, 4))
+    data = [("pqr"[d], t, i, j, float(x[d, t, i, j])) for d in range(3) for t in range(5) for i in range(6) for j in range(4) if (i, j) != (5, 3)]
+    field = rows(spark, data, "ds string, pentadstamp int, lat_i int, lon_i int, v double")
+    mask = field.select("lat_i", "lon_i").distinct().withColumn("mask", (F.col("lat_i") > 0).cast("int"))
+    maps, pcs, variance, stats = eof.of_differences(field, ["p", "q", "r"], field, 4, "all", 0, mask)
+    full = np.concatenate([x[b] - x[a] for a, b in ((0, 1), (0, 2), (1, 2))])
+    cells = [(i, j) for i in range(1, 6) for j in range(4) if (i, j) != (5, 3)]
+    a = np.array([[full[s, i, j] for i, j in cells] for s in range(15)])
+    a -= a.mean(axis=0)
+    want = np.linalg.svd(a, compute_uv=False) ** 2 / 14
+    assert variance.orderBy("mode").toPandas().variance.to_numpy() == pytest.approx(want[:4])
+    first = {(r.lat_i, r.lon_i): r.v for r in maps.where("mode = 0").collect()}
+    assert len(first) == 23 and all((first[c] is None) == (c not in cells) for c in first)
+    v = np.array([first[c] for c in cells])
+    assert np.linalg.norm(a @ v) ** 2 / 14 == pytest.approx(want[0]) and (v >= 0).sum() * 2 >= len(v)
+    mean = {(r.lat_i, r.lon_i): (r["mean"], r["std"]) for r in stats.collect()}
+    assert mean[0, 0] == pytest.approx((full[:, 0, 0].mean(), full[:, 0, 0].std()))
+
+
+def test_tier_reruns_and_order(spark, tmp_path):
+    path = str(tmp_path / "tier")
+    field = rows(spark, [("a", 147747 + i, 0, 0, float(i)) for i in range(4)], "dataset string, pentadstamp int, lat_i int, lon_i int, v double")
+    for _ in range(2):
+        tiers.write_tier(field, path)
+        assert spark.read.parquet(path).count() == 4
+    planned = rows(spark, [("a", 147747 + i) for i in range(6)], "dataset string, pentadstamp int")
+    work = lambda todo: todo.where("pentadstamp < 147752").select("dataset", "pentadstamp", F.lit(0).alias("lat_i"), F.lit(0).alias("lon_i"), F.lit(7.0).alias("v"))
+    status = {r.pentadstamp - 147747: r.status for r in tiers.fill_tier(planned, path, work).collect()}
+    assert status == {0: "skipped", 1: "skipped", 2: "skipped", 3: "skipped", 4: "made", 5: "failed"}
+    assert spark.read.parquet(path).count() == 5
+    tiers.write_whole(field, str(tmp_path / "whole"))
+    tiers.write_whole(field.limit(1), str(tmp_path / "whole"))
+    assert spark.read.parquet(str(tmp_path / "whole")).count() == 4
+    assert tiers.read_many(spark, [path, str(tmp_path / "whole")]).count() == 9
+    with pytest.raises(FileNotFoundError):
+        tiers.read_year(spark, path, 2023, ["a"])
+    many = spark.range(5000).select((F.lit(4999) - F.col("id")).cast("int").alias("x"), (F.lit(4999.0) - F.col("id")).alias("v"))
+    tiers.write_binary(many, str(tmp_path / "bin"), ["x"])
+    got = [r.v for r in tiers.read_binary(spark, str(tmp_path / "bin")).orderBy("at").collect()]
+    assert got == [float(i) for i in range(5000)]
