@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import byte_bpe, chat_template, language_id, mixing, multiset_fp, near_dup, onebit_ann, sharding, toxicity, url_rules
+from tidegrid.llm import byte_bpe, chat_template, language_id, mixing, multiset_fp, near_dup, onebit_ann, resampling, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_minhash_near_dup": near_dup.op1_minhash_near_dup,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_onebit_ann": onebit_ann.op8_onebit_ann,
     "op9_language_id": language_id.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_resampling": resampling.op11_resampling,
 }
 ORACLES = {
     "op2_jump_sharding": sharding.OP2_SQL,
     "op4_url_rules": url_rules.OP4_SQL,
     "op5_soft_mixing": mixing.OP5_SQL,
+    "op11_resampling": resampling.OP11_SQL,
 }
 
 
