@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import byte_bpe, chat_template, language_id, mixing, multiset_fp, near_dup, onebit_ann, resampling, sharding, toxicity, url_rules
+from tidegrid.llm import byte_bpe, chat_template, language_id, mixing, multiset_fp, near_dup, onebit_ann, quality, resampling, sharding, spelling, toxicity, url_rules
 
 QUERIES = {
     "op1_minhash_near_dup": near_dup.op1_minhash_near_dup,
@@ -16,12 +16,15 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_resampling": resampling.op11_resampling,
+    "op12_quality_rules": quality.op12_quality_rules,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLES = {
     "op2_jump_sharding": sharding.OP2_SQL,
     "op4_url_rules": url_rules.OP4_SQL,
     "op5_soft_mixing": mixing.OP5_SQL,
     "op11_resampling": resampling.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
 
 
