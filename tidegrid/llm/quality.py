@@ -40,6 +40,7 @@ CHARACTERS = {
 WORDS = {
     "short_words": r"(?<!\S)\S{1,3}(?!\S)",
     "loud_words": r"(?<!\S)\P{Ll}{4,}(?!\S)",
+    "repeats": r"(?<!\S)(\S+)\s+(?=\1(?!\S))",
     "marked_words": r"[^\p{L}\p{Nd}\s.,;:'\")]{2,}(?!\S)",
 }
 
