@@ -23,45 +23,42 @@ FIT_FILES = 8
 TREES, DEPTH, SEED = 24, 3, 11
 PENALTIES = (0.01, 0.003, 0.001)  # of which the one with the least loss on rows left out is taken
 FOLDS, LEFT_OUT = 10, 3
+WINDOW = 200  # words and lines are distinct among so many, so that the share does not fall with a text's length
 
 Rule = tuple[tuple[str, float, float], ...]  # (statistic, above, at most)
 
-# Characters counted, a share of all characters each; words counted, a share of all words each.
-CHARACTERS = {
-    "letters": r"\p{L}",
+# Characters counted, and runs of characters counted: a share of all characters each.  All of them are
+# rare in prose, as a match costs far more than a character that is passed over.
+RARE = {
     "capitals": r"\p{Lu}",
     "digits": r"\p{Nd}",
     "stops": r"[.,;:]",
     "bangs": r"[!?]",
     "bars": r"[|]",
     "symbols": r"[#$%&*@^~+=<>_{}\[\]\\/]",
+    "others": r"[^\p{L}\s]",
     "breaks": r"\n",
-}
-WORDS = {
-    "short_words": r"(?<!\S)\S{1,3}(?!\S)",
-    "loud_words": r"(?<!\S)\P{Ll}{4,}(?!\S)",
-    "repeats": r"(?<!\S)(\S+)\s+(?=\1(?!\S))",
-    "marked_words": r"[^\p{L}\p{Nd}\s.,;:'\")]{2,}(?!\S)",
+    "loud_runs": r"\p{Lu}{4,}",
+    "marked_runs": r"[^\p{L}\p{Nd}\s.,;:'\")]{2,}",
 }
 
 
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a whole text by name; all 0 for a text without characters."""
     size = F.length(text)
-    n = F.regexp_count(text, F.lit(r"\S+"))
-    words = F.split(F.lower(text), r"\s+")
-    lines = F.split(text, r"\n")
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    out = {"log_words": F.log1p(n.cast("double")), "word_length": share(size - count(r"\s"), n)}
-    out |= {name: share(count(pattern), size) for name, pattern in CHARACTERS.items()}
-    out |= {name: share(count(pattern), n) for name, pattern in WORDS.items()}
-    out["distinct_words"] = share(F.size(F.array_distinct(words)), F.size(words))
-    out["distinct_lines"] = share(F.size(F.array_distinct(lines)), F.size(lines))
+    starts = lambda parts: F.sequence(F.lit(1), F.size(parts), F.lit(WINDOW))
+    fresh = lambda parts: F.aggregate(starts(parts), F.lit(0), lambda n, at: n + F.size(F.array_distinct(F.slice(parts, at, WINDOW))))
+    both = lambda parts: F.struct(F.size(parts).alias("all"), fresh(parts).alias("distinct"))
+    # the one-element transform splits the text once and names the parts for both counts
+    parted = lambda by: F.transform(F.array(F.split(text, by)), both)[0]
+    words, lines = parted(" "), parted("\n")
+    out = {"log_words": F.log1p(words["all"].cast("double")), "word_length": size / words["all"]}
+    out |= {name: F.regexp_count(text, F.lit(pattern)) / size for name, pattern in RARE.items()}
+    out |= {"distinct_words": words["distinct"] / words["all"], "distinct_lines": lines["distinct"] / lines["all"]}
     return {name: F.when(size > 0, c).otherwise(0.0).cast("double") for name, c in out.items()}
 
 
-NAMES = ["log_words", "word_length", *CHARACTERS, *WORDS, "distinct_words", "distinct_lines"]
+NAMES = ["log_words", "word_length", *RARE, "distinct_words", "distinct_lines"]
 
 
 def _text() -> Column:
@@ -80,11 +77,11 @@ def paths(node, bounds: dict[str, tuple[float, float]] | None = None) -> list[Ru
     return out
 
 
-def holds(rule: Rule, of: str = "_s") -> Column:
-    """Whether a row's statistics, fields of the struct ``of``, meet a rule."""
+def holds(rule: Rule, of: str = "_s.") -> Column:
+    """Whether a row's statistics, columns that begin with ``of``, meet a rule."""
     parts = []
     for name, low, high in rule:
-        c = F.col(f"{of}.{name}")
+        c = F.col(f"{of}{name}")
         parts += [c > low] if low > -math.inf else []
         parts += [c <= high] if high < math.inf else []
     out = parts[0]
@@ -155,13 +152,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
     used = {name for rule, _ in model["rules"] for name, _, _ in rule}
     total = F.lit(model["intercept"])
+    of = "_s"
+    while any(c.lower().startswith(of) for c in docs.columns):
+        of += "_"
+    rows = docs
     if used:
-        known = statistics(_text())
-        rows = docs.select("*", F.struct(*[known[n].alias(n) for n in NAMES if n in used]).alias("_statistics_of_text"))
+        # columns, as fields of a struct would be evaluated anew for each rule
+        rows = docs.select("*", *[c.alias(f"{of}{n}") for n, c in statistics(_text()).items() if n in used])
         for rule, weight in model["rules"]:
-            total = total + F.when(holds(rule, "_statistics_of_text"), weight).otherwise(0.0)
-    else:
-        rows = docs
+            total = total + F.when(holds(rule, of), weight).otherwise(0.0)
     out = rows.select(*keep, (1.0 / (1.0 + F.exp(-total))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
