@@ -220,8 +220,7 @@ def test_mixing(spark, odd, nothing):
     assert mixing.mix(nothing, few).count() == 0 and mixing.mix_rows(odd, few.where("false")).count() == len(ODD)
 
 
-@pytest.mark.parametrize("steps", [mixing.STEPS, 0])
-def test_mixing_meets_targets_beside_very_long_texts(spark, steps):
+def test_mixing_meets_targets_beside_very_long_texts(spark):
     """op5: five texts of a million words; the exact nonnegative solution has no misses."""
     rng = np.random.default_rng(7)
     tokens = np.concatenate([np.full(5, 1e6), rng.integers(50, 2_000, 400)])
@@ -230,11 +229,11 @@ def test_mixing_meets_targets_beside_very_long_texts(spark, steps):
     soft = spark.createDataFrame(rows, "tokens double, posterior array<double>")
     own = float(tokens @ (1 - low))
     targets = [own, own * 0.03 / 0.97]
-    rate = mixing.fit_rates(soft, targets, steps)
+    rate = mixing.fit_rates(soft, targets)
     got = np.array([r.rate for r in soft.select(rate(F.col("tokens"), F.col("posterior")).alias("rate")).collect()])
     assert (got >= 0).all()
     assert (got * tokens) @ np.stack([1 - low, low], axis=1) == pytest.approx(targets, rel=mixing.TOLERANCE)
-    out = mixing.fit_rates(soft, [own, 0.0], 0)  # no rates meet this: any row has a part in both domains
+    out = mixing.fit_rates(soft, [own, 0.0])  # no rates meet this: any row has a part in both domains
     assert soft.select(F.min(out(F.col("tokens"), F.col("posterior")))).first()[0] >= 0
 
 

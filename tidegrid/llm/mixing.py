@@ -6,13 +6,11 @@ expected token totals of the domains, the sum of rate * tokens * posterior, matc
 the least-squares sense.  DataFrame functions only: each gradient step is one aggregation, and only
 a few numbers for each pair of domains reach the driver.
 
-The gradient of a document depends on its own tokens and posterior and on the domains' residuals
-alone.  So a rate is a function of the short history of residuals, and no step rewrites the table.
-
-A gradient step grows with a document's tokens, so beside very long documents the others hardly
-move, and the longest go to rate 0 at once.  So ``mix`` takes no such step unless told to; op5 takes
-those of its SQL.  Where the steps leave a domain off its target, Newton steps on one multiplier a domain find
-the nearest rates that meet the targets; there a document's tokens are a weight and no step size.
+The gradient is preconditioned.  Changes of a rate count by the row's tokens, so a step moves rate
+times tokens and a long document moves like a short one; the domains' misses are whitened by the
+Gram matrix of the posteriors, so a step of 1 never overshoots, and where no rate falls to 0 one
+step ends the work.  A rate depends on its own posterior and the misses alone: it is a function of
+the short history of misses, and no step rewrites the table.
 """
 
 from __future__ import annotations
@@ -25,19 +23,14 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import materialize, release, table
 
-STEPS = 50
-#: Largest relative miss of a domain's target at which the gradient steps have converged.
-TOLERANCE = 5e-3
-#: The multipliers' own tolerance, the weight that keeps rates unique where targets cannot be met, and most passes.
-EXACT, RIDGE, MOST_PASSES = 1e-6, 1e-6, 200
-LOOK_BACK = 10  # steps after which rates are written
+#: Largest relative miss of a domain's target that ends the steps, and most steps, where no rates meet the targets.
+TOLERANCE, MOST_STEPS = 1e-4, 50
+RIDGE = 1e-9  # share of the Gram matrix's trace added to its diagonal: domains may coincide or be empty
 VARIANCE_FLOOR = 1e-3
 #: Wanted weight of each domain among the tokens that the rates give.
 TARGETS = {"high": 0.97, "low": 0.03}
-#: The features of op5's SQL; log_words and fresh change with a text's length.
-FEATURES = ("log_words", "word_chars", "capitals", "digits", "marks", "wide", "lines", "fresh")
 #: Features that more text of the same kind leaves as they are; fresh is counted in windows of so many words.
-LENGTH_FREE = ("word_chars", "capitals", "digits", "marks", "wide", "lines", "fresh")
+FEATURES = ("word_chars", "capitals", "digits", "marks", "wide", "lines", "fresh")
 WINDOW = 50
 
 
@@ -52,18 +45,12 @@ def _distinct_in_windows(words: Column) -> Column:
     return F.aggregate(starts, F.lit(0), lambda n, at: n + F.size(F.array_distinct(F.slice(words, at, WINDOW))))
 
 
-def counts(text: Column, features: tuple[str, ...] = LENGTH_FREE) -> Column:
-    """What the features of a text are made of, all 0 for an empty one; words lie between blanks.
-
-    distinct is counted in windows unless ``features`` are those of op5's SQL.
-    """
+def counts(text: Column) -> Column:
+    """What the features of a text are made of, all 0 for an empty one; words lie between blanks."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), F.lit(0))
-    if features == FEATURES:
-        size, distinct = F.size(words), F.size(F.array_distinct(words))
-    else:
-        both = _once(words, lambda w: F.struct(F.size(w).alias("size"), _distinct_in_windows(w).alias("distinct")))
-        size, distinct = both["size"], both["distinct"]
+    both = _once(words, lambda w: F.struct(F.size(w).alias("size"), _distinct_in_windows(w).alias("distinct")))
+    size, distinct = both["size"], both["distinct"]
     return F.struct(
         size.cast("double").alias("words"),
         distinct.cast("double").alias("distinct"),
@@ -82,7 +69,6 @@ def dense(raw: Column) -> Column:
     per_word = lambda name: raw[name] / F.greatest(raw["words"], F.lit(1.0))
     return F.struct(
         raw["words"].alias("tokens"),
-        F.log1p(raw["words"]).alias("log_words"),
         F.log1p(per_word("chars")).alias("word_chars"),
         per_char("capitals").alias("capitals"),
         per_char("digits").alias("digits"),
@@ -93,22 +79,21 @@ def dense(raw: Column) -> Column:
     )
 
 
-def fit_domains(measured: DataFrame, labels: DataFrame, features: tuple[str, ...] = LENGTH_FREE) -> dict[str, dict]:
+def fit_domains(measured: DataFrame, labels: DataFrame) -> dict[str, dict]:
     """Gaussian class model of every domain: prior, and mean and variance of each feature.
 
     ``labels`` has doc_id and domain; a doc_id with several domains counts for the smallest name.
     One aggregation over all labelled rows; a row for each domain reaches the driver.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    stats = [f(c).alias(f"{n}_{c}") for c in features for n, f in (("mean", F.avg), ("var", F.var_pop))]
+    stats = [f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in (("mean", F.avg), ("var", F.var_pop))]
     rows = measured.join(marks, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *stats).collect()
     total = sum(r.n for r in rows)
     return {
         r.domain: {
             "prior": r.n / total,
-            "mean": [r[f"mean_{c}"] for c in features],
-            "var": [r[f"var_{c}"] + VARIANCE_FLOOR for c in features],
-            "features": features,
+            "mean": [r[f"mean_{c}"] for c in FEATURES],
+            "var": [r[f"var_{c}"] + VARIANCE_FLOOR for c in FEATURES],
         }
         for r in sorted(rows, key=lambda r: r.domain)
     }
@@ -122,115 +107,51 @@ def posteriors(model: dict[str, dict], row) -> Column:
     logs = []
     for m in model.values():
         start = math.log(m["prior"]) - 0.5 * sum(math.log(v) for v in m["var"])
-        terms = [(row(c) - F.lit(mu)) * (row(c) - F.lit(mu)) * F.lit(-0.5 / v) for c, mu, v in zip(m["features"], m["mean"], m["var"])]
+        terms = [(row(c) - F.lit(mu)) * (row(c) - F.lit(mu)) * F.lit(-0.5 / v) for c, mu, v in zip(FEATURES, m["mean"], m["var"])]
         logs.append(sum(terms, F.lit(start)))
     shifted = _once(F.array(*logs), lambda scores: F.transform(scores, lambda x: F.exp(x - F.array_max(scores))))
     return _once(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda t, y: t + y)))
 
 
-def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS):
+def fit_rates(soft: DataFrame, targets: list[float]):
     """A function from columns of tokens and posterior to the column of nonnegative rates.
 
-    Minimises half the sum of squared relative misses of the domains' expected token totals by
-    projected gradient steps from rates of 1.  The step is 1 / L, with L the largest eigenvalue of
-    the Gram matrix of the scaled problem.  A domain whose target or expected total is 0 has no
-    scale of its own and takes the total of all tokens.  Where a miss above TOLERANCE is left,
-    ``nearest_rates`` ends the work from the rates reached.
+    Projected gradient steps from rates of 1 on the squared misses of the domains' expected token
+    totals, whitened by the Gram matrix sum of tokens * posterior * posterior', in the metric that
+    weighs a rate's change by its tokens.  In it the whole curvature is at most 1, so steps are of
+    length 1: a step takes the whitened misses, weighted by its posterior, from every rate, and 0
+    where that is negative.  Steps end when every domain's total is within TOLERANCE of its target (of
+    all tokens for a target of 0), or after MOST_STEPS: targets that no rates meet are then missed by
+    what is left.  Rows without tokens keep rate 1.
     """
     k = len(targets)
-    mass = [F.col("tokens") * F.col("posterior")[i] for i in range(k)]
-    sums = soft.agg(
-        F.sum("tokens").alias("tokens"),
-        *[F.sum(mass[i] * mass[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
-    ).first()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    p = [F.col("posterior")[i] for i in range(k)]
+    sums = soft.agg(F.sum("tokens").alias("tokens"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
     everything = float(sums.tokens or 0.0)
     if not everything:
         return lambda tokens, posterior: F.lit(1.0)
-    scale = [t if t > 0 else everything for t in targets]
-    gram = [[sums[f"g{min(i, j)}_{max(i, j)}"] / scale[i] / scale[j] for j in range(k)] for i in range(k)]
-    v = [1.0] * k
-    for _ in range(200):
-        w = [sum(g * x for g, x in zip(row, v)) for row in gram]
-        norm = math.sqrt(sum(x * x for x in w))
-        v = [x / norm for x in w] if norm else v
-    largest = math.sqrt(sum(sum(g * x for g, x in zip(row, v)) ** 2 for row in gram)) or 1.0
+    gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    gram += np.eye(k) * RIDGE * np.trace(gram)
+    goal, size = np.array(targets), np.array([t if t > 0 else everything for t in targets])
     history: list[list[float]] = []
 
-    def moved(begun: Column, tokens: Column, posterior: Column, first: int) -> Column:
-        """The rate after the steps from ``first`` on."""
-        if len(history) == first:
-            return begun
-        pulls = F.array(*[F.array(*[F.lit(x) for x in h]) for h in history[first:]])
-        pull = lambda h: sum((posterior[i] * h[i] for i in range(1, k)), posterior[0] * h[0])
-        return F.aggregate(pulls, begun, lambda r, h: F.greatest(F.lit(0.0), r - tokens * pull(h)))
-
     def rate(tokens: Column, posterior: Column) -> Column:
-        return moved(F.lit(1.0), tokens, posterior, 0)
-
-    # every few steps the rates are written beside tokens and posterior, so that a step looks back on few
-    now, first, written = soft.select("tokens", "posterior", F.lit(1.0).alias("rate")), 0, []
-
-    def misses() -> list[float]:
-        rates = now.select(moved(F.col("rate"), F.col("tokens"), F.col("posterior"), first).alias("rate"), *[m.alias(f"m{i}") for i, m in enumerate(mass)])
-        totals = rates.agg(*[F.sum(F.col("rate") * F.col(f"m{i}")).alias(f"t{i}") for i in range(k)]).first()
-        return [(totals[i] - targets[i]) / scale[i] for i in range(k)]
-
-    for step in range(1, steps + 1):
-        history.append([m / scale[i] / largest for i, m in enumerate(misses())])
-        if step % LOOK_BACK == 0 or step == steps:
-            now = materialize(now.withColumn("rate", moved(F.col("rate"), F.col("tokens"), F.col("posterior"), first)))
-            release(*written)
-            first, written = step, [now]
-    done = max(abs(m) for m in misses()) <= TOLERANCE
-    fitted = rate if done else nearest_rates(now, targets, scale, everything, rate)
-    release(*written)
-    return fitted
-
-
-def nearest_rates(soft: DataFrame, targets: list[float], scale: list[float], everything: float, start):
-    """The nonnegative rates that meet the targets and are nearest to those of ``start``, the column rate of ``soft``.
-
-    Nearest in the sum of tokens * change^2, so a rate is max(0, start - sum of multiplier *
-    posterior) with one multiplier a domain.  The multipliers minimise the convex dual by Newton
-    steps with halving; each try is one aggregation.  Targets that no rates meet are missed by as
-    little as they can be.  Raises if the projected gradient does not fall below EXACT.
-    """
-    k = len(targets)
-    goal, size = np.array(targets) / everything, np.array(scale) / everything
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        if not history:
+            return F.lit(1.0)
+        pulls = F.array(*[F.array(*[F.lit(x) for x in h]) for h in history])
+        pull = lambda h: sum((posterior[i] * h[i] for i in range(1, k)), posterior[0] * h[0])
+        moved = F.aggregate(pulls, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - pull(h)))
+        return F.when(tokens > 0, moved).otherwise(F.lit(1.0))
 
-    def moved(begun: Column, tokens: Column, posterior: Column, multipliers) -> Column:
-        pull = sum((posterior[i] * F.lit(float(m)) for i, m in enumerate(multipliers)), F.lit(0.0))
-        return F.when(tokens > 0, F.greatest(F.lit(0.0), begun - pull)).otherwise(begun)
-
-    def measure(multipliers):
-        """Dual value, its gradient and its curvature, over all tokens."""
-        t, p, r = F.col("tokens"), F.col("posterior"), F.col("rate")
-        row = soft.select("tokens", "posterior", moved(r, t, p, multipliers).alias("rate")).agg(
-            F.sum(t * r * r).alias("square"),
-            *[F.sum(t * p[i] * r).alias(f"t{i}") for i in range(k)],
-            *[F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i, j in pairs],
-        ).first()
-        ridge = RIDGE * size * size
-        value = row.square / everything / 2 + goal @ multipliers + (ridge * multipliers * multipliers).sum() / 2
-        gradient = goal - np.array([row[f"t{i}"] for i in range(k)]) / everything + ridge * multipliers
-        curve = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / everything
-        return value, gradient, curve + np.diag(ridge)
-
-    at, passes = np.zeros(k), 1
-    value, gradient, curve = measure(at)
-    while max(abs(gradient) / size) > EXACT:
-        step, share = -np.linalg.solve(curve, gradient), 1.0
-        while True:
-            if passes >= MOST_PASSES:
-                raise RuntimeError(f"rates have not converged: relative misses {gradient / size} after {passes} passes")
-            passes += 1
-            tried = measure(at + share * step)
-            if tried[0] <= value + 1e-4 * share * (gradient @ step) + 1e-14 * abs(value):
-                break
-            share /= 2
-        at, (value, gradient, curve) = at + share * step, tried
-    return lambda tokens, posterior: moved(start(tokens, posterior), tokens, posterior, at)
+    for _ in range(MOST_STEPS):
+        rates = soft.select("tokens", "posterior", rate(F.col("tokens"), F.col("posterior")).alias("rate"))
+        totals = rates.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[i]).alias(f"t{i}") for i in range(k)]).first()
+        miss = np.array([totals[i] for i in range(k)]) - goal
+        if max(abs(miss) / size) <= TOLERANCE:
+            break
+        history.append(np.linalg.solve(gram, miss).tolist())
+    return rate
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -259,46 +180,45 @@ def token_targets(soft: DataFrame, domains: list[str], weights: dict[str, float]
     return [w * own / held[at] for w in held]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, steps: int = 0, features: tuple[str, ...] = LENGTH_FREE) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, tokens, posterior, rate, copies for every row of ``docs``.
 
     ``labels`` has doc_id, domain.  ``targets`` are the domains' wanted weights, turned into token
-    totals by ``token_targets``.  ``steps`` gradient steps, whose size grows with a row's tokens, are
-    taken first.  posterior is in the order of the domains' names.  Texts without words (null ones too) have no
-    tokens and keep rate 1; without labels every rate is 1 and posterior is empty, and where no
+    totals by ``token_targets``.  posterior is in the order of the domains' names.  Texts without words
+    (null ones too) have no tokens and keep rate 1; without labels every rate is 1 and posterior is empty, and where no
     labelled domain has a weight rates stay 1.  Very long texts are measured whole; repeated rows keep a
     row each; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    soft, model, fitted, measured = _fit(docs, labels, targets, steps, features)
+    soft, model, fitted, measured = _fit(docs, labels, targets)
     if model:
         release(measured)
     rated = soft.withColumn("rate", fitted(F.col("tokens"), F.col("posterior")))
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], steps: int, features: tuple[str, ...], whole: bool = False):
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], whole: bool = False):
     """(doc_id, tokens and posterior of every row; the domains' model; the rates' function; what was measured).
 
     With ``whole`` the measured table also carries the rows themselves, as ``_row``.
     """
-    made = _once(counts(F.col("text"), features), dense).alias("_made")
+    made = _once(counts(F.col("text")), dense).alias("_made")
     rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
     measured = docs.select(*rows, F.col("doc_id").cast("long").alias("doc_id"), made)
     measured = materialize(measured.select(*(["_row"] if whole else []), "doc_id", "_made.*"))
-    model = fit_domains(measured, labels, features)
+    model = fit_domains(measured, labels)
     if not model:
         return measured.select("doc_id", "tokens", F.array().cast("array<double>").alias("posterior")), model, lambda t, p: F.lit(1.0), measured
     soft = materialize(measured.select("doc_id", "tokens", posteriors(model, F.col).alias("posterior")))
-    return soft, model, fit_rates(soft, token_targets(soft, list(model), targets), steps), measured
+    return soft, model, fit_rates(soft, token_targets(soft, list(model), targets)), measured
 
 
-def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, steps: int = 0, features: tuple[str, ...] = LENGTH_FREE) -> DataFrame:
+def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its ``copies`` says; nothing is shuffled.
 
     Cases are those of ``mix``.  Texts are measured once: the rows are written with their features,
     from which posteriors and rates follow.
     """
-    soft, model, fitted, measured = _fit(docs, labels, targets, steps, features, whole=True)
+    soft, model, fitted, measured = _fit(docs, labels, targets, whole=True)
     if not model:
         return measured.select("_row.*")
     release(soft)
@@ -308,8 +228,8 @@ def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features and steps of OP5_SQL; rate and the posteriors are rounded to 6 places."""
-    mixed = mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), steps=STEPS, features=FEATURES)
+    """Rates of all documents; rate and the posteriors are rounded to 6 places."""
+    mixed = mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")))
     share = lambda i: F.round(F.get("posterior", F.lit(i)), 6)
     return mixed.select(
         "doc_id",
@@ -327,18 +247,18 @@ def _op5_sql() -> str:
     stats = ", ".join(f"avg({c}) AS mean_{c}, var_pop({c}) + {VARIANCE_FLOOR} AS var_{c}" for c in FEATURES)
     score = " + ".join(f"-0.5 * (ln(var_{c}) + (f.{c} - mean_{c}) * (f.{c} - mean_{c}) / var_{c})" for c in FEATURES)
     goal = {n: f"({TARGETS[n]}::DOUBLE * own / {TARGETS['high']}::DOUBLE)" for n in names}
-    gram = {(a, b): f"sum(tokens * tokens * p_{a} * p_{b} / {goal[a]} / {goal[b]})" for a in names for b in names}
-    apply = {a: " + ".join(f"g_{a}_{b} * v_{b}" for b in names) for a in names}
-    norm = "sqrt(" + " + ".join(f"({apply[a]}) ** 2" for a in names) + ")"
-    pull = " + ".join(
-        f"p_{n} * ((sum(rate * tokens * p_{n}) OVER () - {goal[n]}) / ({goal[n]}) / ({goal[n]}) / largest)" for n in names
-    )
+    sums = ", ".join(f"sum(tokens * p_{a} * p_{b}) AS g_{a}_{b}" for a in names for b in names)
+    miss = {n: f"(t_{n} - {goal[n]})" for n in names}
+    pull = "p_high * (g_low_low * {h} - g_high_low * {l}) / det + p_low * (g_high_high * {l} - g_high_low * {h}) / det".format(h=miss["high"], l=miss["low"])
+    totals = ", ".join(f"sum(rate * tokens * p_{n}) OVER () AS t_{n}" for n in names)
+    off = "greatest(" + ", ".join(f"abs({miss[n]}) / {goal[n]}" for n in names) + ")"
     return f"""
 WITH RECURSIVE raw AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS words FROM documents
 ),
 counted AS (
-  SELECT doc_id, len(words)::DOUBLE AS words, len(list_distinct(words))::DOUBLE AS fresh, length(t)::DOUBLE AS chars,
+  SELECT doc_id, len(words)::DOUBLE AS words,
+         list_sum(list_transform(range(0, greatest(len(words), 1), {WINDOW}), lambda i: len(list_distinct(words[i + 1 : i + {WINDOW}]))))::DOUBLE AS fresh, length(t)::DOUBLE AS chars,
          strlen(t)::DOUBLE AS bytes,
          (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::DOUBLE AS capitals,
          (length(t) - length(regexp_replace(t, '[0-9]', '', 'g')))::DOUBLE AS digits,
@@ -347,7 +267,7 @@ counted AS (
   FROM raw
 ),
 feats AS (
-  SELECT doc_id, words AS tokens, ln(1 + words) AS log_words, ln(1 + chars / greatest(words, 1)) AS word_chars,
+  SELECT doc_id, words AS tokens, ln(1 + chars / greatest(words, 1)) AS word_chars,
          sqrt(capitals / greatest(chars, 1)) AS capitals, sqrt(digits / greatest(chars, 1)) AS digits,
          sqrt(marks / greatest(chars, 1)) AS marks, sqrt((bytes - chars) / greatest(chars, 1)) AS wide,
          sqrt(lines / greatest(chars, 1)) AS lines, fresh / greatest(words, 1) AS fresh
@@ -369,23 +289,20 @@ parted AS (
   FROM peaked GROUP BY row
 ),
 soft AS (SELECT *, sum(tokens * p_high) OVER () AS own FROM parted),
-gram AS (SELECT {", ".join(f"{q} AS g_{a}_{b}" for (a, b), q in gram.items())} FROM soft),
-power AS (
-  SELECT 0 AS it, {", ".join(f"1.0::DOUBLE AS v_{n}" for n in names)}, 0.0::DOUBLE AS largest
-  UNION ALL
-  SELECT it + 1, {", ".join(f"({apply[n]}) / {norm}" for n in names)}, {norm} FROM power, gram WHERE it < 201
-),
-step AS (SELECT largest FROM power WHERE it = 201),
+sums AS (SELECT {sums} FROM soft),
+ridged AS (SELECT g_high_high + {RIDGE} * (g_high_high + g_low_low) AS g_high_high, g_high_low, g_low_low + {RIDGE} * (g_high_high + g_low_low) AS g_low_low FROM sums),
+gram AS (SELECT *, g_high_high * g_low_low - g_high_low * g_high_low AS det FROM ridged),
 descent AS (
-  SELECT 0 AS it, row, doc_id, tokens, {", ".join(f"p_{n}" for n in names)}, own, largest, 1.0::DOUBLE AS rate FROM soft, step
+  SELECT 0 AS it, row, doc_id, tokens, p_high, p_low, own, g_high_high, g_high_low, g_low_low, det, 1.0::DOUBLE AS rate FROM soft, gram
   UNION ALL
-  SELECT it + 1, row, doc_id, tokens, {", ".join(f"p_{n}" for n in names)}, own, largest, greatest(0.0, rate - tokens * ({pull}))
-  FROM descent WHERE it < {STEPS}
+  SELECT it + 1, row, doc_id, tokens, p_high, p_low, own, g_high_high, g_high_low, g_low_low, det,
+         CASE WHEN tokens > 0 THEN greatest(0.0, rate - ({pull})) ELSE 1.0 END
+  FROM (SELECT *, {totals} FROM descent WHERE it < {MOST_STEPS}) d WHERE {off} > {TOLERANCE}
 )
 SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, {", ".join(f"round(p_{n}, 6) AS p_{n}" for n in names)}, round(rate, 6) AS rate,
   CAST(floor(rate) + CASE WHEN ((coalesce(doc_id, 0) % 2147483647 * 1103515245 + 12345) % 2147483647) / 2147483647.0 < rate - floor(rate)
     THEN 1 ELSE 0 END AS INTEGER) AS copies
-FROM descent WHERE it = {STEPS}
+FROM descent WHERE it = (SELECT max(it) FROM descent)
 """
 
 
