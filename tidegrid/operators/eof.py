@@ -1,8 +1,9 @@
-"""Principal components of fields by the snapshot method: few samples, any number of cells.
+"""Principal components of fields: by the snapshot method for few samples, by random ranges for many.
 
 The Gram matrix of the samples is summed from per-task blocks; only that matrix (samples squared,
 at most ``MOST_SAMPLES`` squared) reaches the driver.  Modes are then products of a block of cells
-with the samples' eigenvectors.
+with the samples' eigenvectors.  Beyond that, a randomised range finder multiplies the cells by a few
+vectors over the samples, and what reaches the driver grows with samples times modes.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def gram(cells: DataFrame) -> DataFrame:
         total = None
         for pdf in batches:
             if len(pdf):
-                x = np.array(pdf["a"].tolist())
+                x = _columns(pdf["a"])
                 total = x.T @ x + (0 if total is None else total)
         if total is not None:
             s, t = np.triu_indices(len(total))
@@ -46,43 +47,117 @@ def gram(cells: DataFrame) -> DataFrame:
 def decompose(products: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues descending, eigenvectors as columns) of the samples' Gram matrix.
 
-    More than ``MOST_SAMPLES`` samples are an error; no rows give an empty decomposition.
+    Samples squared come to the driver, so ``modes`` asks for no more than ``MOST_SAMPLES``; no rows
+    give an empty decomposition.
     """
-    n = (products.agg(F.max("t").alias("t")).first().t or 0) + 1
-    if n > MOST_SAMPLES:
-        raise ValueError(f"{n} samples; at most {MOST_SAMPLES} are decomposed on the driver")
     rows = products.toArrow()  # samples squared, as columns
     if not rows.num_rows:
         return np.zeros(0), np.zeros((0, 0))
     s, t, g = (rows.column(c).to_numpy() for c in ("s", "t", "g"))
+    n = int(t.max()) + 1
     full = np.zeros((n, n))
     full[s, t] = full[t, s] = g
     values, vectors = np.linalg.eigh(full)
     return np.maximum(values[::-1], 0.0), vectors[:, ::-1]
 
 
-def modes(cells: DataFrame, n_modes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _columns(arrays: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(a) for a in arrays])
+
+
+def triangle(cells: DataFrame, by: np.ndarray) -> np.ndarray:
+    """R of the QR decomposition of cells times ``by``: each task's own R first, theirs together after."""
+    width = by.shape[1]
+
+    def own(batches):
+        r = np.zeros((0, width))
+        for pdf in batches:
+            if len(pdf):
+                r = np.linalg.qr(np.concatenate([r, _columns(pdf["a"]) @ by]), mode="r")
+        if len(r):
+            yield pd.DataFrame({"r": [r.ravel().tolist()]})
+
+    parts = cells.select("a").mapInPandas(own, "r array<double>").repartition(1).mapInPandas(
+        lambda batches: _stacked(batches, width), "r array<double>"
+    )  # a few numbers a task
+    rows = parts.collect()
+    return np.reshape(rows[0].r, (-1, width)) if rows else np.zeros((0, width))
+
+
+def _stacked(batches, width: int):
+    r = np.zeros((0, width))
+    for pdf in batches:
+        for one in pdf["r"]:
+            r = np.linalg.qr(np.concatenate([r, np.reshape(one, (-1, width))]), mode="r")
+    if len(r):
+        yield pd.DataFrame({"r": [r.ravel().tolist()]})
+
+
+def back_product(cells: DataFrame, by: np.ndarray) -> np.ndarray:
+    """Transposed cells times (cells times ``by``): samples by vectors, each task's sum added up by sample."""
+
+    def own(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = _columns(pdf["a"])
+                total = x.T @ (x @ by) + (0 if total is None else total)
+        if total is not None:
+            yield pd.DataFrame({"sample": np.arange(len(total)), "z": total.tolist()})
+
+    width = by.shape[1]
+    summed = cells.select("a").mapInPandas(own, "sample int, z array<double>").groupBy("sample").agg(F.array(*[F.sum(F.col("z")[i]) for i in range(width)]).alias("z"))
+    out = np.zeros(by.shape)
+    for r in summed.toLocalIterator():
+        out[r.sample] = r.z
+    return out
+
+
+def random_range(cells: DataFrame, samples: int, n_modes: int, more: int = 10, powers: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenvalues and eigenvectors of the samples' Gram matrix, which is never made.
+
+    ``n_modes + more`` random vectors, turned ``powers`` times towards the leading ones by products with
+    the cells; the triangle of their image has the singular values.  Errors fall with the ratio of an
+    eigenvalue to the first one left out, to the power of ``2 * powers + 1``.
+    """
+    width = min(samples, n_modes + more)
+    by = np.linalg.qr(np.random.default_rng(1).standard_normal((samples, width)))[0]
+    for _ in range(powers):
+        by = np.linalg.qr(back_product(cells, by))[0]
+    r = triangle(cells, by)
+    if not len(r):
+        return np.zeros(0), np.zeros((samples, 0))
+    _, singular, turn = np.linalg.svd(r)
+    return singular**2, by @ turn.T[:, : len(singular)]
+
+
+def modes(cells: DataFrame, n_modes: int, most_samples: int = MOST_SAMPLES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(mode, cell, v), (mode, sample, pc) and (mode, variance, share, share_of_kept).
 
     Modes have unit length over cells; the sign makes at least half of the values nonnegative.
     share is of the total variance, share_of_kept of the modes returned.  An empty table and a
     single sample (which has no anomaly) give no modes.  The anomalies are written once to the
-    shared folder, as the Gram matrix, the signs and the maps all read them.
+    shared folder, as the Gram matrix, the signs and the maps all read them.  More than
+    ``most_samples`` samples are decomposed by ``random_range``.
     """
     spark = cells.sparkSession
     cells, _ = materialize(cells)
-    products = gram(cells).persist()  # read twice: its size first
-    values, vectors = decompose(products)
-    products.unpersist()
-    n, total = len(values), float(values.sum())
-    used = [k for k in range(min(n_modes, n)) if values[k] > 1e-10 * max(total, 1e-300)]
+    first = cells.select(F.size("a").alias("n")).first()
+    n = first.n if first else 0
+    if n > most_samples:
+        values, vectors = random_range(cells, n, n_modes)
+        total = float(cells.agg(F.sum(F.aggregate("a", F.lit(0.0), lambda t, x: t + x * x)).alias("t")).first().t)
+    else:
+        values, vectors = decompose(gram(cells))
+        total = float(values.sum())
+    used = [k for k in range(min(n_modes, len(values))) if values[k] > 1e-10 * max(total, 1e-300)]
     factors = vectors[:, used] / np.sqrt(values[used])
     kind = cells.schema["cell"].dataType.simpleString()
 
     def project(batches):
         for pdf in batches:
             if len(pdf) and used:
-                x = np.array(pdf["a"].tolist()) @ factors
+                x = _columns(pdf["a"]) @ factors
                 yield pd.DataFrame({"mode": np.tile(used, len(x)), "cell": pdf["cell"].repeat(len(used)).reset_index(drop=True), "v": x.ravel()})
 
     maps = cells.mapInPandas(project, f"mode int, cell {kind}, v double")
@@ -143,7 +218,7 @@ def as_cells(stacked: DataFrame, samples: int, mask: DataFrame | None = None) ->
 
 
 def of_differences(
-    rows: DataFrame, names: list[str], stamps: DataFrame, n_modes: int, mode: str = "all", half: int = 0, mask: DataFrame | None = None
+    rows: DataFrame, names: list[str], stamps: DataFrame, n_modes: int, mode: str = "all", half: int = 0, mask: DataFrame | None = None, most_samples: int = MOST_SAMPLES
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Modes of product differences: (mode, lat_i, lon_i, v on the whole grid), pcs, variance, cell stats.
 
@@ -152,7 +227,7 @@ def of_differences(
     """
     stacked, samples = stacked_differences(rows, names, stamps, mode, half)
     stacked, _ = materialize(stacked)
-    maps, pcs, variance = modes(as_cells(stacked, samples, mask), n_modes)
+    maps, pcs, variance = modes(as_cells(stacked, samples, mask), n_modes, most_samples)
     low = F.col("cell").bitwiseAND(F.lit((1 << 32) - 1))
     flat = maps.select("mode", F.shiftright("cell", 32).cast("int").alias("lat_i"), low.cast("int").alias("lon_i"), "v")
     return fields.scatter(flat, rows, ["mode"]), pcs, variance, cell_stats(stacked, samples)

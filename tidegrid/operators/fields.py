@@ -159,19 +159,75 @@ def missing_days(days: DataFrame) -> DataFrame:
     return calendar.join(days.select("d").distinct(), "d", "left_anti")
 
 
+def aligned_pieces(begin: Column, end: Column, levels: int) -> Column:
+    """The few aligned runs of 2 ** level numbers, as (level, place), that together are [begin, end)."""
+    up = lambda x, k: F.ceil(x / F.pow(F.lit(2.0), k))
+    down = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k))
+    odd = lambda x: F.pmod(x, F.lit(2)) == 1
+    run = lambda k, at, used: F.when(used, F.struct(k.alias("level"), at.cast("long").alias("place")))
+
+    def of(k):
+        low, high = up(begin, k), down(end, k)
+        return F.array(run(k, low, odd(low) & (low < high)), run(k, high - 1, odd(high) & (low < high)))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of)), lambda e: e.isNotNull())
+
+
 def first_interval(points: DataFrame, spans: DataFrame, strict: bool = True) -> DataFrame:
-    """Every point (d) with the first span (ord, name, beg, end) that holds it; a few spans in a catalogue.
+    """Every point (d) with the first span (ord, name, beg, end) that holds it, days of both ends included.
 
-    A point outside all spans is an error, or without ``strict`` has no name.
+    A span is cut into aligned runs of days, of which there are at most two of each length; of the
+    spans with the same run only the first one counts.  A point looks its run of each length up by
+    equality, so any number of spans, and of spans that hold a point, is joined by sorted keys and
+    nothing is broadcast.  A point outside all spans is an error, or without ``strict`` has no name.
     """
-    rows = points.join(F.broadcast(spans), F.col("d").between(F.col("beg"), F.col("end")), "left")
-    found = rows.groupBy("d").agg(F.min_by("name", "ord").alias("name"))
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    longest = spans.agg(F.max(F.datediff("end", "beg")).alias("n")).first().n
+    levels = max(int(longest or 0) + 1, 1).bit_length()
+    cut = spans.select("ord", "name", F.explode(aligned_pieces(day(F.col("beg")), day(F.col("end")) + 1, levels)).alias("run"))
+    first = cut.groupBy("run.level", "run.place").agg(F.min(F.struct("ord", "name")).alias("best"))
+    wanted = points.select("d").distinct()
+    runs = wanted.select("d", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("place", F.floor(day(F.col("d")) / F.pow(F.lit(2.0), "level")).cast("long"))
+    found = runs.join(first, ["level", "place"]).groupBy("d").agg(F.min("best").alias("best"))
+    found = wanted.join(found, "d", "left").select("d", F.col("best.name").alias("name"))
     if not strict:
         return found
     lost = F.raise_error(F.concat(F.lit("no span holds "), F.col("d").cast("string")))
     return found.withColumn("name", F.when(F.col("name").isNull(), lost.cast("string")).otherwise(F.col("name")))
 
 
+def match_axes(ours: DataFrame, theirs: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
+    """keys, ours_i, theirs_i, ours, theirs, finding: the coordinates of two sources' axes, compared.
+
+    Both have keys (which axis), i and c.  Axes are sorted together and each coordinate looks at its
+    neighbours; two that are each other's nearest, at most ``tolerance`` apart, are one coordinate.
+    finding is ``same``, ``moved`` (not exactly equal), ``shifted`` (at another index), ``gap`` (ours
+    alone) or ``extra`` (theirs alone).  Exact agreement is when every finding is ``same``.
+    """
+    tag = lambda df, own: df.select(*keys, F.col("i").cast("int").alias("i"), F.col("c").cast("double").alias("c"), F.lit(own).alias("own"))
+    both = tag(ours, True).unionByName(tag(theirs, False))
+    line = Window.partitionBy(*keys).orderBy("c", "i")  # an axis is as long as a grid is wide
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    here = F.struct("c", "i")
+    other = lambda own: F.when(F.col("own") != F.lit(own), here)
+    near = both.withColumns({
+        "_low": F.when(F.col("own"), F.last(other(True), ignorenulls=True).over(before)).otherwise(F.last(other(False), ignorenulls=True).over(before)),
+        "_high": F.when(F.col("own"), F.first(other(True), ignorenulls=True).over(after)).otherwise(F.first(other(False), ignorenulls=True).over(after)),
+    })
+    apart = lambda side: F.abs(F.col("c") - F.col(f"{side}.c"))
+    nearest = F.when(F.col("_high").isNull() | (apart("_low") <= apart("_high")), F.col("_low")).otherwise(F.col("_high"))
+    near = near.select(*keys, "i", "c", "own", nearest.alias("n")).withColumn("n", F.when(F.abs(F.col("c") - F.col("n.c")) <= tolerance, F.col("n")))
+    a = near.where("own").select(*keys, F.col("i").alias("ours_i"), F.col("c").alias("ours"), F.col("n.i").alias("_to"))
+    b = near.where("NOT own").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("theirs_i"), F.col("c").alias("theirs"), F.col("n.i").alias("_back"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_to") == F.col("theirs_i"), F.col("ours_i") == F.col("_back")]
+    joined = a.join(b, on, "full")
+    finding = (
+        F.when(F.col("theirs_i").isNull(), "gap").when(F.col("ours_i").isNull(), "extra").when(F.col("ours_i") != F.col("theirs_i"), "shifted")
+        .when(F.col("ours") != F.col("theirs"), "moved").otherwise("same")
+    )
+    return joined.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], "ours_i", "theirs_i", "ours", "theirs", finding.alias("finding"))
+
+
 def index_range(axis: DataFrame, coordinate: str, index: str, low: float, high: float) -> DataFrame:
     """First and last index whose coordinate lies in [low, high]; null where none does.
 

@@ -132,10 +132,31 @@ def fill_ends(rows: DataFrame) -> DataFrame:
 
 
 def autocorrelation(rows: DataFrame, lags: int) -> DataFrame:
-    """s, lag, c: sums of products of the unit-norm series s at each lag; rows (s, t, v)."""
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("s")))
-    unit = rows.withColumn("u", F.try_divide("v", norm))
-    shifted = unit.select("s", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "t", "u")
-    later = shifted.select("s", "lag", (F.col("t") - F.col("lag")).alias("t"), F.col("u").alias("w"))
-    both = unit.select("s", "t", "u").join(later, ["s", "t"])
-    return both.groupBy("s", "lag").agg(F.sum(F.col("u") * F.col("w")).alias("c"))
+    """s, lag, c: sums of products of the unit-norm series s at each lag; rows (s, t, v) with whole t.
+
+    A series is one row: padded with as many zeros as there are lags, its power spectrum turned back
+    gives all lags at once.  Lags at which no two values meet have no row; missing values count as
+    absent, and c is null where the norm is 0.
+    """
+
+    @F.pandas_udf("array<struct<lag: int, c: double>>")
+    def turned(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for t, v in zip(places, values):
+            t = np.asarray(t) - min(t)
+            n = int(t.max()) + 1
+            size = 1 << int(n + min(lags, n)).bit_length()
+            series, held = np.zeros(n), np.zeros(n)
+            np.add.at(series, t, v)
+            held[t] = 1.0
+            at = np.arange(min(lags, n - 1) + 1)
+            both = lambda x: np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[at]
+            norm = float(series @ series)
+            sums = both(series) / norm if norm else np.full(len(at), np.nan)
+            met = both(held) > 0.5
+            out.append([{"lag": int(k), "c": float(c) if norm else None} for k, c in zip(at[met], sums[met])])
+        return pd.Series(out)
+
+    line = F.sort_array(F.collect_list(F.struct(F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"))))
+    series = rows.where(F.col("v").isNotNull()).groupBy("s").agg(line.alias("line"))
+    return series.select("s", F.inline(turned(F.col("line.t"), F.col("line.v"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions import aggregates, pentad
 from tidegrid.operators import eof, fields, grids, series
 from tidegrid.plans import adapters as a
-from tidegrid.plans import oracles
+from tidegrid.plans import chains, oracles, stores
 from tidegrid.sources import tiers
 from tidegrid.sources.shared import work_folder
 from tidegrid.streaming import pentads
@@ -547,8 +547,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | stores.QUERIES | chains.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    return oracles.ORACLES | stores.ORACLES | chains.ORACLES
