@@ -1,5 +1,7 @@
 """Golden cases and properties of the operators."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -200,14 +202,21 @@ def test_separable_filter_is_the_kernel(spark):
     assert [r.v for r in one] == pytest.approx([r.v for r in two])
 
 
-def test_flood_fill_by_layers_and_by_joins(spark):
+def test_flood_fill_by_layers_tiles_and_joins(spark):
     rng = np.random.default_rng(5)
     data = [(d, i, j, float(rng.random()) if rng.random() < 0.1 else None) for d in "ab" for i in range(8) for j in range(9)]
     field = rows(spark, data, "ds string, lat_i int, lon_i int, v double")
     ocean = (F.col("lat_i") + F.col("lon_i")) % 7 != 0
     value = lambda df: [r.v for r in df.orderBy("ds", "lat_i", "lon_i").collect()]
-    layered, joined = (value(grids.flood_fill(field, ["ds"], 8, 9, 10, ocean, n)) for n in (100, 0))
-    assert layered == pytest.approx(joined, nan_ok=True) and None not in [v for v, (_, i, j, _) in zip(layered, sorted(data)) if (i + j) % 7]
+    fill = lambda sweeps, **more: value(grids.flood_fill(field, ["ds"], 8, 9, sweeps, ocean, **more))
+    layered = fill(10)
+    assert None not in [v for v, (_, i, j, _) in zip(layered, sorted(data)) if (i + j) % 7]
+    for tile, reach in ((4, 3), (3, 2), (2, 1), (100, 4)):
+        assert fill(10, layer_cells=0, tile=tile, reach=reach) == pytest.approx(layered, nan_ok=True)
+    joined = field
+    for _ in range(2):
+        joined = grids.flood_sweep(joined, ["ds"], 8, 9, ocean)
+    assert value(joined) == pytest.approx(fill(2), nan_ok=True) and value(joined) == pytest.approx(fill(2, layer_cells=0, tile=3, reach=1), nan_ok=True)
 
 
 def test_high_pass_mirrors_edges(spark):
@@ -293,3 +302,47 @@ def test_tier_reruns_and_order(spark, tmp_path):
     tiers.write_binary(many, str(tmp_path / "bin"), ["x"])
     got = [r.v for r in tiers.read_binary(spark, str(tmp_path / "bin")).orderBy("at").collect()]
     assert got == [float(i) for i in range(5000)]
+
+
+def test_random_range_meets_the_gram_way(spark):
+    """40 samples of 600 cells: leading variances within 1e-6, maps and amplitudes alike."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 6)) @ (rng.standard_normal((6, 40)) * np.array([30, 20, 12, 8, 5, 3])[:, None]) + 0.1 * rng.standard_normal((600, 40))
+    rows = spark.createDataFrame([(c, s, float(x[c, s])) for c in range(600) for s in range(40)], "cell int, sample int, v double").repartition(5)
+    cells = eof.anomalies(rows, 40)
+    whole, few = eof.modes(cells, 3), eof.modes(cells, 3, most_samples=10)
+    for got, want, key, value in zip(few, whole, (["mode", "cell"], ["mode", "sample"], ["mode"]), ("v", "pc", "share")):
+        a, b = (d.toPandas().sort_values(key)[value].to_numpy() for d in (got, want))
+        assert a == pytest.approx(b, rel=1e-6, abs=1e-6)
+    assert eof.modes(cells.where("cell < 0"), 3, most_samples=0)[2].count() == 0
+
+
+def test_first_interval_is_brute_force(spark):
+    rng = np.random.default_rng(4)
+    day = lambda n: datetime.date(1960, 1, 1) + datetime.timedelta(int(n))
+    spans = [(int(o), f"s{o}", day(b), day(b + n)) for o, b, n in zip(rng.permutation(400), rng.integers(0, 9000, 400), rng.choice([0, 1, 5, 40, 3000], 400))]
+    points = [day(n) for n in rng.integers(-200, 13000, 500)]
+    got = fields.first_interval(spark.createDataFrame([(p,) for p in points], "d date"), spark.createDataFrame(spans, "ord int, name string, beg date, end date"), strict=False)
+    want = {p: min(((o, n) for o, n, b, e in spans if b <= p <= e), default=(0, None))[1] for p in points}
+    assert {r.d: r.name for r in got.collect()} == want
+
+
+def test_match_axes_tells_findings_apart(spark):
+    ours = [("x", i, c) for i, c in enumerate([0.0, 1.0, 2.0, 3.0, 4.0])]
+    theirs = [("x", i, c) for i, c in enumerate([0.0, 1.004, 3.0, 3.005, 9.0])]
+    table = lambda rows: spark.createDataFrame(rows, "axis string, i int, c double")
+    found = {(r.ours_i, r.theirs_i, r.finding) for r in fields.match_axes(table(ours), table(theirs), ["axis"], 0.01).collect()}
+    assert found == {(0, 0, "same"), (1, 1, "moved"), (2, None, "gap"), (3, 2, "shifted"), (4, None, "gap"), (None, 3, "extra"), (None, 4, "extra")}
+    assert {r.finding for r in fields.match_axes(table(ours), table(ours), ["axis"]).collect()} == {"same"}
+
+
+def test_autocorrelation_of_gappy_series(spark):
+    rng = np.random.default_rng(6)
+    t = np.sort(rng.choice(200, 120, replace=False))
+    v = rng.standard_normal(120)
+    rows = spark.createDataFrame([("a", int(x), float(y)) for x, y in zip(t, v)] + [("z", 0, 0.0), ("z", 3, 0.0), ("n", 1, None)], "s string, t int, v double")
+    got = {(r.s, r.lag): r.c for r in series.autocorrelation(rows, 150).collect()}
+    unit = dict(zip(t.tolist(), v / np.sqrt(v @ v)))
+    want = {("a", k): sum(unit[x] * unit[x + k] for x in unit if x + k in unit) for k in range(151) if any(x + k in unit for x in unit)}
+    assert {k: c for k, c in got.items() if k[0] == "a"} == pytest.approx(want)
+    assert {k: c for k, c in got.items() if k[0] != "a"} == {("z", 0): None, ("z", 3): None}

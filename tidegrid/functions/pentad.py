@@ -83,6 +83,20 @@ def pentad_range(spark: SparkSession, begin: str, end: str, inclusive: str = "le
     return stamps.withColumn("label", label_of(F.col("pentadstamp")))
 
 
+def ranges(rows: DataFrame, begin: str, end: str, inclusive: str = "left") -> DataFrame:
+    """``rows`` once for every pentad of the range from column ``begin`` to ``end`` (stamps), as pentadstamp and label.
+
+    A range without a pentad has no rows; one that ends before it begins is an error.
+    """
+    if inclusive not in ("left", "right", "both", "neither"):
+        raise ValueError(f"inclusive: {inclusive}")
+    first = F.col(begin) + int(inclusive in ("right", "neither"))
+    last = F.col(end) - int(inclusive in ("left", "neither"))
+    wrong = F.raise_error(F.lit("the range ends before it begins")).cast("array<int>")
+    stamps = F.when(F.col(end) < F.col(begin), wrong).when(first <= last, F.sequence(first, last))
+    return rows.withColumn("pentadstamp", F.explode(stamps)).withColumn("label", label_of(F.col("pentadstamp")))
+
+
 def hours_since(moment: Column, epoch: str = "2000-01-01") -> Column:
     """Whole hours from the epoch to a timestamp."""
     return F.timestamp_diff("HOUR", F.to_timestamp(F.lit(epoch)), moment).cast("long")

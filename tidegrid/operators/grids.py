@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tidegrid.sources.shared import delete_folder, materialize
 
 LAYER_CELLS = 4_000_000  # a layer up to this size (32 MB) is swept inside one task
+TILE, REACH = 1024, 32  # cells a side of a tile of a larger one, about, and sweeps between two exchanges
 
 
 def axis(low: float, high: float, step: float) -> list[float]:
@@ -228,25 +229,82 @@ def _flood_layers(fields: DataFrame, keys: list[str], n_lat: int, n_lon: int, sw
     return fields.groupBy(*keys).applyInPandas(fill, schema).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
 
 
+def _in_tiles(index: str, n: int, tiles: int, reach: int) -> Column:
+    """(tile, local) of each tile that a place of a periodic axis of ``n`` lies in or within ``reach`` of.
+
+    Tiles are ``n / tiles`` long, a place more or less; local counts from the tile's own first place.
+    """
+    at = F.col(index).cast("long")
+    own = F.floor(((at + 1) * tiles - 1) / n)
+    start = lambda t: F.floor(t * n / F.lit(tiles))
+
+    def of(d):
+        t = own + d
+        local = at - start(t)
+        near = (local >= -reach) & (local < start(t + 1) - start(t) + reach)
+        return F.when(near, F.struct(F.pmod(t, F.lit(tiles)).cast("int").alias("tile"), local.cast("int").alias("local"), (d == 0).alias("own")))
+
+    return F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), of), lambda e: e.isNotNull())
+
+
+def _flood_tiles(fields: DataFrame, keys: list[str], n_lat: int, n_lon: int, sweeps: int, tile: int, reach: int) -> DataFrame:
+    """Up to ``reach`` sweeps of tiles with a halo as wide: what is wrong at a halo's edge moves a cell a sweep."""
+    tiles_lat, tiles_lon = max(1, n_lat // tile), max(1, n_lon // tile)
+    rows = fields.withColumn("_y", F.explode(_in_tiles("lat_i", n_lat, tiles_lat, reach))).withColumn("_x", F.explode(_in_tiles("lon_i", n_lon, tiles_lon, reach)))
+    columns = fields.columns
+    flat = rows.select(*columns, "_y.tile", F.col("_x.tile").alias("tile_x"), F.col("_y.local").alias("y"), F.col("_x.local").alias("x"), (F.col("_y.own") & F.col("_x.own")).alias("_own"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy() + reach, pdf["x"].to_numpy() + reach
+        values, wet = np.full((y.max() + 1, x.max() + 1), np.nan), np.zeros((y.max() + 1, x.max() + 1), dtype=bool)
+        values[y, x], wet[y, x] = pdf["v"].to_numpy(dtype=float), pdf["_wet"].to_numpy(dtype=bool)
+        for _ in range(sweeps):
+            around = np.pad(values, 1, constant_values=np.nan)
+            sides = np.stack([around[:-2, 1:-1], around[2:, 1:-1], around[1:-1, :-2], around[1:-1, 2:]])
+            held = np.isfinite(sides)
+            count = held.sum(axis=0)
+            open_cells = wet & np.isnan(values) & (count > 0)
+            if not open_cells.any():
+                break
+            values[open_cells] = np.where(held, sides, 0.0).sum(axis=0)[open_cells] / count[open_cells]
+        own = pdf["_own"].to_numpy()
+        out = pdf.loc[own, columns].copy()
+        out["v"] = values[y[own], x[own]]
+        return out
+
+    return flat.groupBy(*keys, "tile", "tile_x").applyInPandas(fill, fields.schema).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+
+
 def flood_fill(
-    fields: DataFrame, keys: list[str], n_lat: int, n_lon: int, sweeps: int, ocean: Column | None = None, layer_cells: int = LAYER_CELLS
+    fields: DataFrame,
+    keys: list[str],
+    n_lat: int,
+    n_lon: int,
+    sweeps: int,
+    ocean: Column | None = None,
+    layer_cells: int = LAYER_CELLS,
+    tile: int = TILE,
+    reach: int = REACH,
 ) -> DataFrame:
     """``sweeps`` sweeps, or fewer where one changes nothing; a row a cell and layer.
 
     A grid of up to ``layer_cells`` cells is swept layer by layer after one shuffle.  Larger grids
-    are swept by joins, and each sweep is written to the shared folder, so that the plan of a
-    sweep never holds those before it.
+    are cut into tiles of about ``tile`` cells a side, so a layer is many tasks; tiles get the cells
+    within ``reach`` of them once for as many sweeps, and what they make is written to the shared
+    folder before the next exchange.  Results are the same.
     """
+    wet = F.lit(True) if ocean is None else F.coalesce(ocean, F.lit(False))
+    columns, rows = fields.columns, fields.withColumn("_wet", wet)
     if n_lat * n_lon <= layer_cells:
-        wet = F.lit(True) if ocean is None else F.coalesce(ocean, F.lit(False))
-        return _flood_layers(fields.withColumn("_wet", wet), keys, n_lat, n_lon, sweeps).select(*fields.columns)
-    spark, open_before, old = fields.sparkSession, None, None
-    for _ in range(sweeps):
-        fields, path = materialize(flood_sweep(fields, keys, n_lat, n_lon, ocean))
+        return _flood_layers(rows, keys, n_lat, n_lon, sweeps).select(*columns)
+    reach = min(reach, max(1, n_lat // max(1, n_lat // tile)), max(1, n_lon // max(1, n_lon // tile)))
+    spark, old, open_before = fields.sparkSession, None, None
+    for done in range(0, sweeps, reach):
+        rows, path = materialize(_flood_tiles(rows, keys, n_lat, n_lon, min(reach, sweeps - done), tile, reach))
         if old:
             delete_folder(spark, old)
-        old, still_open = path, fields.where(F.col("v").isNull()).count()
+        old, still_open = path, rows.where(F.col("_wet") & F.col("v").isNull()).count()
         if still_open in (0, open_before):
             break
         open_before = still_open
-    return fields
+    return rows.select(*columns)

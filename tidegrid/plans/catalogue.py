@@ -70,7 +70,15 @@ def pentad_parse(spark, sf_dir):
 
 
 def _range(inclusive: str):
-    return lambda spark, sf_dir: pentad.pentad_range(spark, "2024P-5", "2024P03", inclusive)
+    """Ranges from six pentads before every order's pentad, over a year's end too, of up to twelve pentads."""
+
+    def query(spark, sf_dir):
+        key = F.col("o_orderkey")
+        begin = pentad.parse(F.concat(F.year("o_orderdate").cast("string"), F.lit("P"), (F.pmod(key, F.lit(73)) - 6).cast("string")))
+        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(begin.alias("a"), (begin + F.pmod(key, F.lit(13))).cast("int").alias("b")).distinct()
+        return pentad.ranges(rows, "a", "b", inclusive)
+
+    return query
 
 
 def daily_mean_6h(spark, sf_dir):
@@ -99,7 +107,7 @@ def crop_box(spark, sf_dir):
 
 
 def lon_wrap_roll(spark, sf_dir):
-    return fields.roll_longitude(spark.range(144).select((F.col("id") * 2.5 - 180.0).alias("lon")))
+    return fields.roll_longitude(a.clim(spark, sf_dir).select((F.col("lon_i") * 5.0 - 175.0).alias("lon")).distinct())
 
 
 def unit_convert(spark, sf_dir):
@@ -135,10 +143,16 @@ def interval_lookup(spark, sf_dir):
 
 
 def index_range(spark, sf_dir):
-    axis = spark.range(a.N_LON).select(F.col("id").cast("int").alias("lon_i"), (F.col("id") * a.D_LON + a.LON0).alias("lon"))
+    axis = a.places(a.clim(spark, sf_dir)).select("lon_i", "lon").distinct()
     return fields.index_range(axis, "lon", "lon_i", 150.0, 201.0)
 
 
+def _boxes(spark, sf_dir):
+    """The span of the places that have values, in 4 x 5 boxes."""
+    span = a.places(a.clim(spark, sf_dir)).agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    return fields.boxes(spark, (span[0], span[1]), (span[2], span[3]), 4, 5)
+
+
 def strict_stats(spark, sf_dir):
     """Mean and deviation of each cell over the datasets, missing where one is."""
     rows = a.dense(spark, sf_dir).groupBy("lat_i", "lon_i").agg(
@@ -493,7 +507,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "range_check_ocean": lambda s, d: fields.out_of_range(a.dense(s, d), 20000.0, 60000.0, (F.col("lat_i") * 7 + F.col("lon_i")) % 11 != 0),
     "strict_stats": strict_stats,
     "pretty_places": pretty_places,
-    "box_division": lambda s, d: _r(fields.boxes(s, (0.0, 60.0), (120.0, 250.0), 4, 5), "south", "north", "west", "east", "lat_mid", "lon_mid"),
+    "box_division": lambda s, d: _r(_boxes(s, d), "south", "north", "west", "east", "lat_mid", "lon_mid"),
     "detrend": lambda s, d: _r(series.detrend(a.vectors(s, d)), "v_detrended", "v_minus_intercept"),
     "dft": lambda s, d: _r(_spectrum(s, d), "re", "im", "radius", "phase", "wvlen"),
     "variance_fraction": lambda s, d: _r(series.variance_fraction(_spectrum(s, d), 3), "frac", "log_amp"),
@@ -515,6 +529,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eof_signs": eof_signs,
     "down_fill": lambda s, d: _r(grids.fill_down(_columns(s, d), ["ds", "pentadstamp", "lat_i"]), "v"),
     "flood_fill": lambda s, d: _r(grids.flood_fill(a.dense(s, d), ["ds"], a.N_LAT, a.N_LON, SWEEPS, (F.col("lat_i") * 7 + F.col("lon_i")) % 11 != 0), "v"),
+    "flood_fill_tiles": lambda s, d: _r(grids.flood_fill(a.dense(s, d), ["ds"], a.N_LAT, a.N_LON, SWEEPS, (F.col("lat_i") * 7 + F.col("lon_i")) % 11 != 0, layer_cells=0, tile=24, reach=4), "v"),
     "autocorr": autocorr,
     "boundary_faces": boundary_faces,
     "detect_work": detect_work,

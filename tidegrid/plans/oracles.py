@@ -63,11 +63,13 @@ _LABEL = "printf('%04dP%02d', CAST(floor({0} / 73.0) AS INTEGER), CAST((({0} % 7
 _BEGIN = "make_date(CAST(floor({0} / 73.0) AS INTEGER), 1, 1) + CAST(5 * ({0} % 73) AS INTEGER)"
 
 
-def _range(first: int, last: int) -> str:
-    return f"SELECT CAST(s AS INTEGER) AS pentadstamp, {_LABEL.format('s')} AS label FROM range({first}, {last + 1}) r(s)"
+def _range(after: int, before: int) -> str:
+    return (
+        "WITH o AS (SELECT DISTINCT CAST(year(o_orderdate) * 73 + o_orderkey % 73 - 6 AS INTEGER) AS a, CAST(year(o_orderdate) * 73 + o_orderkey % 73 - 6 + o_orderkey % 13 AS INTEGER) AS b FROM orders) "
+        f"SELECT a, b, CAST(s AS INTEGER) AS pentadstamp, {_LABEL.format('s')} AS label FROM o, LATERAL (SELECT unnest(range(a + {after}, b - {before} + 1)) AS s) q"
+    )
 
 
-_LO, _HI = 2024 * 73 - 5, 2024 * 73 + 3
 _SIDES = "a.lat_i = b.lat_i AND a.lon_i = b.lon_i AND a.pentadstamp = b.pentadstamp"
 _RANKED = "named(ord, ds) AS (VALUES (0, 'A'), (1, 'N'), (2, 'R'))"
 
@@ -151,10 +153,10 @@ ORACLES = {
         body=f"SELECT d, pentadstamp, {_LABEL.format('pentadstamp')} AS label, CAST({_BEGIN.format('pentadstamp')} AS DATE) AS time_beg, CAST({_BEGIN.format('pentadstamp')} + 5 AS DATE) AS time_end FROM days"),
     "pentad_parse": "WITH t AS (SELECT DISTINCT year(o_orderdate) AS y, CAST(o_orderkey % 200 - 100 AS INTEGER) AS p FROM orders), s AS (SELECT y || 'P' || p AS text, CAST(y * 73 + p AS INTEGER) AS pentadstamp FROM t) "
         f"SELECT text, pentadstamp, {_LABEL.format('pentadstamp')} AS label FROM s",
-    "pentad_range_left": _range(_LO, _HI - 1),
-    "pentad_range_right": _range(_LO + 1, _HI),
-    "pentad_range_both": _range(_LO, _HI),
-    "pentad_range_neither": _range(_LO + 1, _HI - 1),
+    "pentad_range_left": _range(0, 1),
+    "pentad_range_right": _range(1, 0),
+    "pentad_range_both": _range(0, 0),
+    "pentad_range_neither": _range(1, 1),
     "pentad_mean": _with("pen", body=_PEN_OUT),
     "pentad_mean_strict_days": _with("pen", "strict", body=_PEN_OUT + " SEMI JOIN strict USING (ds, pentadstamp)"),
     "pentad_stream": _with("pen", body=_PEN_OUT),
@@ -164,7 +166,7 @@ ORACLES = {
     "season_select": _with("pen", body=f"SELECT CAST(y AS INTEGER) AS season_year, ds, pentadstamp, lat_i, lon_i, {_r('v')} FROM pen, range(1996, 2001) r(y) WHERE pentadstamp BETWEEN y * 73 - 6 AND y * 73 + 11"),
     "ensemble_mean": _with("pen", body=f"SELECT pentadstamp, lat_i, lon_i, {_r('CASE WHEN count(v) = 3 THEN sum(v) / 3 END', 'v')}, count(v) AS n FROM pen GROUP BY ALL"),
     "crop_box": _with("clim", body=f"SELECT ds, lat_i::DOUBLE AS lat, 120.0::DOUBLE + 2 * lon_i AS lon, {_r('v')} FROM clim WHERE lat_i BETWEEN 10 AND 40 AND 120 + 2 * lon_i BETWEEN 150 AND 220"),
-    "lon_wrap_roll": "WITH a AS (SELECT (i * 2.5 - 180.0)::DOUBLE AS lon FROM range(144) r(i)), w AS (SELECT lon, CASE WHEN lon < 0 THEN lon + 360 ELSE lon END AS lon_wrapped FROM a) SELECT lon, lon_wrapped, CAST(row_number() OVER (ORDER BY lon_wrapped) - 1 AS INTEGER) AS lon_i FROM w",
+    "lon_wrap_roll": _with("clim", more="a AS (SELECT DISTINCT (lon_i * 5.0 - 175.0)::DOUBLE AS lon FROM clim), w AS (SELECT lon, CASE WHEN lon < 0 THEN lon + 360 ELSE lon END AS lon_wrapped FROM a)", body="SELECT lon, lon_wrapped, CAST(row_number() OVER (ORDER BY lon_wrapped) - 1 AS INTEGER) AS lon_i FROM w"),
     "stride": _with("clim", body=f"SELECT ds, lat_i, lon_i, {_r('v')} FROM clim WHERE lat_i % 4 = 0 AND lon_i % 4 = 0"),
     "unit_convert": _with("clim", body="SELECT CASE WHEN ds = 'A' THEN 'sst' ELSE 'ssta' END AS varname, ds, lat_i, lon_i, " + _r("CASE WHEN ds = 'A' THEN v + 273.15 ELSE v END", "v") + " FROM clim"),
     "region_mask": _with("dense", more=_MASKS, body="SELECT region, lat_i, lon_i, mask FROM masks"),
@@ -180,12 +182,13 @@ ORACLES = {
         body=f"SELECT ds, CAST((pentadstamp - a) // 6 AS INTEGER) AS chunk, lat_i, lon_i, {_r('avg(v)', 'v')}, count(v) AS n FROM pen, e WHERE (pentadstamp - a) // 6 < (b - a + 1) // 6 GROUP BY ALL"),
     "calendar_gaps": _with("obs", more="own AS (SELECT d FROM obs WHERE ds = 'A' AND lon_i = 7)", body="SELECT CAST(d AS DATE) AS d FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM own) c WHERE CAST(d AS DATE) NOT IN (SELECT d FROM own)"),
     "interval_lookup": _with("obs", body="SELECT DISTINCT d, CASE WHEN d BETWEEN DATE '1995-01-01' AND DATE '1997-06-30' THEN 'early' WHEN d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' THEN 'middle' ELSE 'late' END AS name FROM obs WHERE d BETWEEN DATE '1995-01-01' AND DATE '2002-12-31'"),
-    "index_range": "SELECT CAST(min(i) AS INTEGER) AS first_i, CAST(max(i) AS INTEGER) AS last_i FROM range(70) r(i) WHERE 120 + 2 * i BETWEEN 150 AND 201",
+    "index_range": _with("clim", body="SELECT min(lon_i) AS first_i, max(lon_i) AS last_i FROM clim WHERE 120 + 2 * lon_i BETWEEN 150 AND 201"),
     "range_check": _with("dense", body="SELECT ds, count(*) FILTER (v < 20000 OR v > 60000) AS outside, count(v) AS finite, count(*) FILTER (v IS NULL) AS missing FROM dense GROUP BY ds"),
     "strict_stats": _with("dense", body=f"SELECT lat_i, lon_i, {_r('CASE WHEN count(v) = count(*) THEN avg(v) END', 'mean')}, {_r('CASE WHEN count(v) = count(*) THEN stddev_pop(v) END', 'std')} FROM dense GROUP BY ALL"),
     "pretty_places": _with("clim", more="p AS (SELECT DISTINCT lat_i, lon_i, (140 + 2 * lon_i) % 360 AS e FROM clim)",
         body="SELECT lat_i::DOUBLE AS lat, 120.0::DOUBLE + 2 * lon_i AS lon, lat_i || CASE WHEN lat_i > 0 THEN 'N' ELSE '' END AS lat_text, lat_i || CASE WHEN lat_i > 0 THEN 'N' ELSE 'E' END AS lat_zero_text, CASE WHEN e > 180 THEN (360 - e) || 'W' WHEN e IN (0, 180) THEN '' || e ELSE e || 'E' END AS lon_text FROM p"),
-    "box_division": f"SELECT CAST(n AS INTEGER) AS n, CAST(n // 5 AS INTEGER) AS j, CAST(n % 5 AS INTEGER) AS i, {_r('15.0::DOUBLE * (n // 5)', 'south')}, {_r('15.0::DOUBLE * (n // 5) + 15', 'north')}, {_r('120.0::DOUBLE + 26 * (n % 5)', 'west')}, {_r('146.0::DOUBLE + 26 * (n % 5)', 'east')}, {_r('7.5::DOUBLE + 15 * (n // 5)', 'lat_mid')}, {_r('133.0::DOUBLE + 26 * (n % 5)', 'lon_mid')} FROM range(20) r(n)",
+    "box_division": _with("clim", more="e AS (SELECT min(lat_i)::DOUBLE AS s, (max(lat_i) - min(lat_i)) / 4.0::DOUBLE AS dy, 120 + 2.0::DOUBLE * min(lon_i) AS w, (max(lon_i) - min(lon_i)) * 2.0::DOUBLE / 5 AS dx FROM clim), b AS (SELECT CAST(n AS INTEGER) AS n, CAST(n // 5 AS INTEGER) AS j, CAST(n % 5 AS INTEGER) AS i FROM range(20) r(n))",
+        body=f"SELECT n, j, i, {_r('s + j * dy', 'south')}, {_r('s + j * dy + dy', 'north')}, {_r('w + i * dx', 'west')}, {_r('w + i * dx + dx', 'east')}, {_r('s + j * dy + dy / 2', 'lat_mid')}, {_r('w + i * dx + dx / 2', 'lon_mid')} FROM b, e"),
     "detrend": _with("det", body=f"SELECT t, x, {_r('v_detrended')}, {_r('v_minus_intercept')} FROM det"),
     "dft": _with("amp", body=f"SELECT t, k, {_r('re')}, {_r('im')}, {_r('radius')}, {_r('CASE WHEN radius > 1e-9 THEN atan2(im, re) END', 'phase')}, {_r('CASE WHEN k > 0 THEN 64.0::DOUBLE / k END', 'wvlen')} FROM amp"),
     "variance_fraction": _with("amp", body=f"SELECT t, k, {_r('radius * radius / sum(radius * radius) OVER (PARTITION BY t)', 'frac')}, {_r('CASE WHEN radius > 0 THEN ln(radius) END', 'log_amp')} FROM amp WHERE k > 3"),
@@ -213,6 +216,7 @@ ORACLES = {
         "gap AS (SELECT ds, pentadstamp, lat_i, min(k) AS g FROM col WHERE v IS NULL GROUP BY ALL)",
         body=f"SELECT c.ds, c.pentadstamp, c.lat_i, c.k, {_r('CASE WHEN g > 0 AND c.k >= g THEN u.v ELSE c.v END', 'v')} FROM col c LEFT JOIN gap ON gap.ds = c.ds AND gap.pentadstamp = c.pentadstamp AND gap.lat_i = c.lat_i LEFT JOIN col u ON u.ds = c.ds AND u.pentadstamp = c.pentadstamp AND u.lat_i = c.lat_i AND u.k = g - 1"),
     "flood_fill": _with("dense", more=_FLOOD, body=f"SELECT ds, lat_i, lon_i, {_r('v')} FROM f10"),
+    "flood_fill_tiles": _with("dense", more=_FLOOD, body=f"SELECT ds, lat_i, lon_i, {_r('v')} FROM f10"),
     "autocorr": _with("ev", more="n AS (SELECT ds, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, count(*)::DOUBLE AS v FROM ev GROUP BY ALL), u AS (SELECT ds, t, v / sqrt(sum(v * v) OVER (PARTITION BY ds)) AS u FROM n)",
         body=f"SELECT a.ds AS s, CAST(b.t - a.t AS INTEGER) AS lag, {_r('sum(a.u * b.u)', 'c')} FROM u a JOIN u b ON a.ds = b.ds AND b.t - a.t BETWEEN 0 AND 10 GROUP BY ALL"),
     "boundary_faces": _with("pen", more="y AS (SELECT CAST(floor(pentadstamp / 73.0) AS INTEGER) AS k, lat_i, lon_i - 1 AS lon_i, avg(v) AS v FROM pen GROUP BY ALL)",

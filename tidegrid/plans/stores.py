@@ -10,7 +10,7 @@ from tidegrid.functions import pentad
 from tidegrid.operators import fields
 from tidegrid.plans import adapters as a
 from tidegrid.plans.oracles import NUDGE, _r as rounded, _with
-from tidegrid.sources import clustered, netcdf, rawgrid, tiers, units
+from tidegrid.sources import clustered, matfile, netcdf, rawgrid, tiers, units
 from tidegrid.sources.shared import work_folder
 from tidegrid.streaming import strict
 
@@ -73,6 +73,18 @@ def raw_roundtrip(spark, sf_dir):
     return back.select(name[0].alias("ds"), name[1].cast("int").alias("step"), "lat_i", "lon_i", F.round("v", 1).alias("v"))
 
 
+def mat_roundtrip(spark, sf_dir):
+    """A MATLAB file for each dataset and year with two fields and a bottom level, of which a box is read back."""
+    path = work_folder(spark)
+    rows = _levels(spark, sf_dir).select(F.col("ds").alias("name"), F.col("step").alias("date"), "k", "lat_i", "lon_i", "v")
+    both = F.explode(F.array(F.struct(F.lit("water_temp").alias("n"), F.col("v").alias("v")), F.struct(F.lit("salinity").alias("n"), (F.col("v") / 1000).alias("v"))))
+    rows = rows.withColumn("f", both).select("name", "date", F.col("f.n").alias("variable"), "k", "lat_i", "lon_i", F.col("f.v").alias("v"))
+    matfile.write_mat(rows, path, {"depth": [0.0, -10.0], "lat": LAT, "lon": LON}, ["water_temp", "salinity"])
+    back = matfile.read_mat(spark, path, "salinity").where(F.col("lat").between(*CROP_LAT) & (F.col("depth") <= -10.0))
+    name = F.split("file", "[.]")
+    return _round(back.select(name[0].alias("ds"), name[1].cast("int").alias("step"), "depth", "lat_i", "lon_i", "v"), "v")
+
+
 def _unit_work(rows: pd.DataFrame) -> pd.DataFrame:
     """Means of the cells of a pentad; a value that cannot be is an error, a mean that is too low is left out."""
     if (rows["v"] > TOO_HIGH).any():
@@ -195,6 +207,7 @@ QUERIES = {
     "netcdf_crop": netcdf_crop,
     "netcdf_bytes": netcdf_bytes,
     "raw_roundtrip": raw_roundtrip,
+    "mat_roundtrip": mat_roundtrip,
     "unit_manifest": unit_manifest,
     "strict_stream": strict_stream,
     "clustered_crop": clustered_crop,
@@ -215,6 +228,8 @@ ORACLES = {
     "netcdf_bytes": _with("pen", body="SELECT ds || '_' || pentadstamp // 73 AS file, count(DISTINCT pentadstamp) * 70 AS whole_cells, CAST(count(DISTINCT pentadstamp) * 15 AS BIGINT) AS cells, CAST(count(DISTINCT pentadstamp) * 15 * 8 AS BIGINT) AS bytes FROM pen GROUP BY ds, pentadstamp // 73"),
     "raw_roundtrip": _with("obs", more="m AS (SELECT ds, year(d) AS step, (month(d) - 1) // 6 AS k, lat_i, lon_i - 1 AS lon_i, avg(v) AS v FROM obs GROUP BY ALL), f AS (SELECT DISTINCT ds, step FROM m)",
         body="SELECT f.ds, CAST(f.step AS INTEGER) AS step, CAST(y AS INTEGER) AS lat_i, CAST(x AS INTEGER) AS lon_i, round(coalesce(v, 0)::FLOAT::DOUBLE, 1) AS v FROM f, range(3, 8) a(y), range(2, 7) b(x) LEFT JOIN m ON m.ds = f.ds AND m.step = f.step AND k = 1 AND lat_i = y AND lon_i = x"),
+    "mat_roundtrip": _with("obs", more="m AS (SELECT ds, year(d) AS step, (month(d) - 1) // 6 AS k, lat_i, lon_i - 1 AS lon_i, avg(v) AS v FROM obs GROUP BY ALL), f AS (SELECT DISTINCT ds, step FROM m)",
+        body=f"SELECT f.ds, CAST(f.step AS INTEGER) AS step, depth, CAST(y AS INTEGER) AS lat_i, CAST(x AS INTEGER) AS lon_i, {rounded('coalesce(v, 0) / 1000', 'v')} FROM f, range(2, 7) a(y), range(7) b(x), (VALUES (-10.0::DOUBLE), (-6500.0::DOUBLE)) z(depth) LEFT JOIN m ON m.ds = f.ds AND m.step = f.step AND k = 1 AND lat_i = y AND lon_i = x"),
     "unit_manifest": _with("inyear", more="cells AS (SELECT ds AS dataset, CAST(year(d) * 73 + p AS INTEGER) AS pentadstamp, lat_i, lon_i, avg(v) AS v, max(v) AS top FROM inyear GROUP BY ALL), "
         f"u AS (SELECT dataset, pentadstamp, count(*) AS planned, count(*) FILTER (v >= {TOO_LOW}) AS got, max(top) > {TOO_HIGH} AS bad, sum(v) AS total FROM cells GROUP BY ALL), "
         f"s AS (SELECT *, CASE WHEN bad OR got = 0 THEN 'failed' WHEN got < planned THEN 'partial' WHEN pentadstamp < {HELD_UNTIL} * 73 THEN 'skipped' ELSE 'made' END AS status FROM u)",

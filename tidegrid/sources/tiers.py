@@ -24,6 +24,7 @@ PRODUCTS = [
     ("MUR_JPL", "090000", "JPL-L4_GHRSST-SSTfnd-MUR-GLOB-v02.0-fv04.1"),
     ("K10SST_NAVO", "000000", "NAVO-L4_GHRSST-SST1m-K10_SST-GLOB-v02.0-fv01.0"),
 ]
+MOST_PRODUCTS = 10_000
 TIERS = {"physical": False, "cropped": True, "spectral": True}  # whether a label is needed
 
 
@@ -50,7 +51,7 @@ def write_tier(field: DataFrame, path: str, overwrite: bool = False) -> None:
     rows = field.withColumns({"year": year_of(F.col("pentadstamp")), "pentad": pentad_in_year(F.col("pentadstamp"))})
     if not overwrite and exists(field.sparkSession, path):
         rows = missing_work(rows, stored(field.sparkSession, path), PARTITIONS)
-    writer = rows.repartition(*PARTITIONS).write.partitionBy(*PARTITIONS)
+    writer = rows.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS)
     if overwrite:
         writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     else:
@@ -113,8 +114,10 @@ def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
 def required_files(pentads: DataFrame, products: DataFrame) -> DataFrame:
     """dataset, pentadstamp, d, file: the five daily files that each pentad of each product needs.
 
-    ``products`` has dataset, timestr, suffix: a short catalogue.
+    ``products`` has dataset, timestr, suffix: a catalogue of at most ``MOST_PRODUCTS`` rows.
     """
+    if products.limit(MOST_PRODUCTS + 1).count() > MOST_PRODUCTS:
+        raise ValueError(f"more than {MOST_PRODUCTS} products")
     first = begin_of(F.col("pentadstamp"))
     days = F.explode(F.sequence(first, F.date_add(first, DAYS - 1), F.expr("interval 1 day"))).alias("d")
     rows = pentads.select("pentadstamp").distinct().select("pentadstamp", days).join(F.broadcast(products), F.lit(True))
@@ -184,7 +187,9 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"at": np.arange(len(v)) + start, "v": v})
 
     rows = spark.read.parquet(path)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.select("part", "seq", (F.octet_length("packed") / 4).cast("long").alias("n"))  # a row a piece
-    starts = sizes.select("part", "seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("_base"))  # a row a part
+    starts = sizes.select("part", "seq", earlier(Window.partitionBy("part").orderBy("seq")).alias("_at"))
+    starts = starts.join(F.broadcast(parts), "part").select("part", "seq", (F.col("_base") + F.col("_at")).alias("start"))
     return rows.join(starts, ["part", "seq"]).select("start", "packed").mapInPandas(unpack, "at long, v float")
