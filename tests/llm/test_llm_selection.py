@@ -66,24 +66,22 @@ def test_resampling_of_nothing(spark, odd):
 
 
 def plain_statistics(text):
-    """The statistics of a text by loops over its characters and words."""
-    words, lines, n = text.split(), text.split("\n"), len(text)
-    letter, upper = (lambda c: c.isalpha()), (lambda c: c.isupper())
-    share = lambda a, b: a / b if b else 0.0
-    ends = [(len(w) - len(w.rstrip("".join({c for c in w if not (c.isalnum() or c in ".,;:'\")")}))), w) for w in words]
+    """The statistics of a text by loops over its characters, words and lines."""
+    words, lines, n = text.split(" "), text.split("\n"), len(text)
+    share = lambda hit: sum(map(hit, text)) / n
+    runs = lambda hit, least: sum(len(list(g)) >= least for k, g in itertools.groupby(text, hit) if k) / n
+    fresh = lambda parts: sum(len(set(parts[at : at + quality.WINDOW])) for at in range(0, len(parts), quality.WINDOW)) / len(parts)
     return {
-        "log_words": math.log1p(len(words)), "word_length": share(sum(map(len, words)), len(words)),
-        "letters": share(sum(map(letter, text)), n), "capitals": share(sum(map(upper, text)), n), "digits": share(sum(c.isdigit() for c in text), n),
-        "stops": share(sum(c in ".,;:" for c in text), n), "bangs": share(sum(c in "!?" for c in text), n), "bars": share(text.count("|"), n),
-        "symbols": share(sum(c in "#$%&*@^~+=<>_{}[]\\/" for c in text), n), "breaks": share(text.count("\n"), n),
-        "short_words": share(sum(len(w) < 4 for w in words), len(words)), "loud_words": share(sum(len(w) > 3 and not any(c.islower() for c in w) for w in words), len(words)),
-        "repeats": share(sum(a == b for a, b in itertools.pairwise(words)), len(words)), "marked_words": share(sum(k >= 2 for k, _ in ends), len(words)),
-        "distinct_words": share(len(set(text.lower().split())), len(words)), "distinct_lines": share(len(set(lines)), len(lines)),
+        "log_words": math.log1p(len(words)), "word_length": n / len(words),
+        "capitals": share(str.isupper), "digits": share(str.isdigit), "stops": share(lambda c: c in ".,;:"), "bangs": share(lambda c: c in "!?"),
+        "bars": share(lambda c: c == "|"), "symbols": share(lambda c: c in "#$%&*@^~+=<>_{}[]\\/"), "others": share(lambda c: not c.isalpha() and not c.isspace()),
+        "breaks": share(lambda c: c == "\n"), "loud_runs": runs(str.isupper, 4), "marked_runs": runs(lambda c: not (c.isalnum() or c.isspace() or c in ".,;:'\")"), 2),
+        "distinct_words": fresh(words), "distinct_lines": fresh(lines),
     }
 
 
 def test_quality_statistics_are_those_of_plain_loops(spark):
-    texts = ["One two two TWO three, four!!\nOne two $$$ x### 12 | end", "Über WORD'S and the the the &&& end", "a"]
+    texts = ["One two two TWO three, four!!\nOne two $$$ x### 12 | end", "Über WORDS and the the the &&& end", "a", " ".join(f"w{n % 230} ÄÖÜSS" for n in range(900))]
     row = lambda t: [float(x) for x in spark.createDataFrame([(t,)], "t string").select(*[c.alias(n) for n, c in quality.statistics(quality.F.col("t")).items()]).first()]
     for t in texts:
         assert dict(zip(quality.NAMES, row(t))) == pytest.approx(plain_statistics(t)), t
