@@ -318,3 +318,19 @@ def test_pipeline_leaves_one_table(spark):
     before = set(live)
     out = corpus_pipeline.run(spark, SF)
     assert set(live) - before == {out._tidegrid_path} and rows_of(out) > 100
+
+
+def test_every_language_is_learned_in_one_job(spark):
+    """Sixty made-up languages of no known family, a dozen rows each; families stay small."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for lang in range(60):
+        letters = rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:9]
+        words = ["".join(rng.choice(letters, rng.integers(2, 7))) for _ in range(40)]
+        rows += [(100 * lang + n, " ".join(rng.choice(words, 60)), f"x{lang:02d}") for n in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where("doc_id % 100 < 12"))
+    assert sorted(x for langs in model["families"].values() for x in langs) == sorted({r[2] for r in rows})
+    assert len(model["families"]) <= 8 and set(model["logs"]) == {r[2] for r in rows}
+    said = language_id.predict(docs.where("doc_id % 100 >= 12"), model)
+    assert said.where("lang_pred = lang").count() >= 0.95 * said.count()

@@ -2,19 +2,20 @@
 
 A text's hashed byte 2- and 3-gram profile first goes to a language family, then one-versus-one
 linear support vector machines separate the languages inside that family.  Families are told apart
-by one-versus-one machines as well.  The machines are fitted by Spark ML on a bounded sample of
-labelled rows; prediction is a dot product for each machine inside a vectorised function, with no
+by one-versus-one machines as well.  All machines are fitted by one job on a bounded sample of labelled
+rows, a family's together, by dual coordinate descent; languages of no known family are put
+together by likeness, so that families stay small however many there are.  Prediction is a dot product for each machine inside a vectorised function, with no
 shuffle, so it runs at scan speed whatever the size of the table.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from tidegrid.llm.common import bound_batches, drawn, give_back, materialize, re
 
 DIM = 1024
 ROWS_PER_LANGUAGE = 1200  # labelled rows that are fitted for each language, about
-MOST_LANGUAGES = 200  # languages that are learned, those with the most rows
+PENALTY, EPOCHS, SLACK = 1.0, 30, 0.01  # of a machine: weight of a row's loss, passes at most, gradient that ends them
 RARE = 0.02  # multiple of chance that an n-gram never seen counts as
 #: Least likeness of text in its language, and what short texts may lack besides, over the root of their bytes.
 LEAST_LIKENESS, SHORT = -0.2, 2.0
@@ -45,9 +46,32 @@ FAMILIES = {
 }
 
 
-def family_of(lang: str) -> str:
-    """Family of a language; a language that the table lacks is a family of its own."""
-    return next((name for name, members in FAMILIES.items() if lang in members), lang)
+def families_of(means: dict[str, np.ndarray]) -> dict[str, list[str]]:
+    """Languages by family, from each one's mean n-gram shares.
+
+    Languages that the table lacks are put in about the root of their number of families by Lloyd's
+    iterations on the roots of their shares, from languages that lie farthest from each other.
+    """
+    known = {lang: name for name, members in FAMILIES.items() for lang in members}
+    out: dict[str, list[str]] = {}
+    others = sorted(lang for lang in means if lang not in known)
+    for lang in sorted(means):
+        if lang in known:
+            out.setdefault(known[lang], []).append(lang)
+    if others:
+        x = np.sqrt(np.stack([means[lang] / max(means[lang].sum(), 1e-12) for lang in others]))
+        picked = [0]
+        while len(picked) < math.ceil(math.sqrt(len(others))):
+            picked.append(int((x @ x[picked].T).max(axis=1).argmin()))
+        centers = x[picked]
+        for _ in range(10):
+            near = (x @ centers.T).argmax(axis=1)
+            sums = np.stack([x[near == c].sum(axis=0) if (near == c).any() else centers[c] for c in range(len(centers))])
+            centers = sums / np.linalg.norm(sums, axis=1, keepdims=True).clip(1e-12)
+        for c in range(len(centers)):
+            if members := [lang for lang, own in zip(others, near) if own == c]:
+                out[f"like {members[0]}"] = members
+    return out
 
 
 def profile(text: str | None) -> np.ndarray:
@@ -70,60 +94,84 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _machines(rows: DataFrame, label: str, classes: list[str]) -> list[tuple[str, str, np.ndarray, float]]:
-    """A linear machine for every pair of classes: (positive, negative, weights, intercept)."""
-    out = []
-    for a, b in itertools.combinations(classes, 2):
-        pair = rows.where(F.col(label).isin(a, b)).select(
-            "features", F.when(F.col(label) == a, 1.0).otherwise(0.0).alias("label")
-        )
-        model = LinearSVC(maxIter=15, regParam=0.003).fit(pair)
-        out.append((a, b, model.coefficients.toArray(), float(model.intercept)))
-    return out
+def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a linear machine with squared hinge loss, for labels 1 and -1."""
+    rng = np.random.default_rng(1)
+    w, c, alpha, own = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), 1.0 / (2.0 * PENALTY)
+    curve = np.einsum("ij,ij->i", x, x) + 1.0 + own
+    for _ in range(EPOCHS):
+        worst = 0.0
+        for i in rng.permutation(len(x)).tolist():
+            slope = y[i] * (float(w @ x[i]) + c) - 1.0 + own * alpha[i]
+            if alpha[i] == 0.0 and slope > 0.0:
+                continue
+            worst = max(worst, abs(slope))
+            moved = max(0.0, alpha[i] - slope / curve[i]) - alpha[i]
+            alpha[i] += moved
+            w += (moved * y[i]) * x[i]
+            c += moved * y[i]
+        if worst < SLACK:
+            break
+    return w, c
+
+
+def _machines(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A machine for every pair of labels of a group's rows (group, label, profile, key)."""
+    pdf = pdf.sort_values(["key", "label"])
+    x, label, out = np.stack(pdf["profile"].to_numpy()).astype(float), pdf["label"].to_numpy(), []
+    for a, b in itertools.combinations(sorted(set(label)), 2):
+        both = (label == a) | (label == b)
+        w, c = machine(x[both], np.where(label[both] == a, 1.0, -1.0))
+        out.append((pdf["group"].iloc[0], a, b, w.tolist(), c))
+    give_back()
+    return pd.DataFrame(out, columns=["group", "a", "b", "weights", "intercept"])
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
     """Machines for the families and within each family, from (text, lang) rows, with doc_id if there is one.
 
-    Rows without a language or a text are left out, and languages beyond the ``MOST_LANGUAGES``
-    that have the most rows are not learned.  About ``rows_per_language`` rows of each language are
-    drawn by a hash of the row: the bound on what is fitted, whatever the input's size, and the same
-    rows in any run.  The model also holds, for each language, how much commoner than by chance its
+    Rows without a language or a text are left out; every language is learned.  About
+    ``rows_per_language`` rows of each are drawn by a hash of the row: the bound on what is fitted,
+    whatever the input's size, and the same rows in any run; families are told apart on about as many
+    rows of each.  The model also holds, for each language, how much commoner than by chance its
     n-grams are.
     """
-    bound_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    bound_batches(spark)
     known = labelled.where(F.col("lang").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    counts = {r.lang: r["count"] for r in common.collect()}
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     model = {"families": {}, "between": [], "within": {}, "logs": {}}
-    for lang in sorted(counts):
-        model["families"].setdefault(family_of(lang), []).append(lang)
     if not counts:
         return model
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<float>")
     def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([profile(t) for t in texts])
         give_back()
 
+    named = lambda rows, of: F.broadcast(spark.createDataFrame(rows, of))  # noqa: E731  a row a language
     own = [c for c in ("doc_id", "text") if c in labelled.columns]
-    by_lang = lambda of: F.create_map(*[F.lit(x) for lang in counts for x in (lang, of(lang))])[F.col("lang")]
-    chosen = known.where(F.col("lang").isin(list(counts)))
-    chosen = chosen.where(drawn(by_lang(lambda lang: min(1.0, rows_per_language / counts[lang])), *own))
+    shares = named([(lang, min(1.0, rows_per_language / n)) for lang, n in sorted(counts.items())], "lang string, _share double")
+    chosen = known.join(shares, "lang").where(drawn(F.col("_share"), *own))
     chosen = chosen.withColumn("key", F.xxhash64(*own)).dropDuplicates(["key"])  # a row that is repeated is drawn once
-    data = materialize(chosen.select("lang", by_lang(family_of).alias("family"), profiles("text").alias("profile"), "key"), FIT_FILES, "key")
-    present = {r.lang for r in data.select("lang").distinct().collect()}
-    rows = data.select("lang", "family", array_to_vector("profile").alias("features"))
-    families = {f: [x for x in langs if x in present] for f, langs in model["families"].items()}
-    model["families"] = {f: langs for f, langs in families.items() if langs}
-    model["between"] = _machines(rows, "family", sorted(model["families"]))
-    for family, langs in model["families"].items():
-        model["within"][family] = _machines(rows, "lang", langs)
-    norms = rows.groupBy("lang").agg(Summarizer.normL2(F.col("features")).alias("norm")).collect()  # a row a language
-    for r in norms:
-        mean = r["norm"].toArray() ** 2  # sums of the n-grams' shares
-        model["logs"][r.lang] = np.log(mean / mean.sum() * DIM + RARE)
+    data = materialize(chosen.select("lang", profiles("text").alias("profile"), "key"), FIT_FILES, "key")
+    norms = data.select("lang", array_to_vector("profile").alias("features")).groupBy("lang")
+    means = {}
+    for r in norms.agg(Summarizer.normL2(F.col("features")).alias("norm"), F.count("*").alias("n")).collect():
+        means[r.lang] = r["norm"].toArray() ** 2  # sums of the n-grams' shares
+        model["logs"][r.lang] = np.log(means[r.lang] / max(means[r.lang].sum(), 1e-12) * DIM + RARE)
+        counts[r.lang] = r.n
+    model["families"] = families_of(means)
+    placed = [(lang, name, min(1.0, rows_per_language / sum(counts[x] for x in langs))) for name, langs in model["families"].items() for lang in langs]
+    rows = data.join(named(placed, "lang string, family string, _share double"), "lang")
+    inside = rows.select(F.concat(F.lit("="), "family").alias("group"), F.col("lang").alias("label"), "profile", "key")
+    across = rows.where(drawn(F.col("_share"), "key")).select(F.lit("").alias("group"), F.col("family").alias("label"), "profile", "key")
+    fitted = inside.unionByName(across).groupBy("group").applyInPandas(_machines, "group string, a string, b string, weights array<double>, intercept double")
+    model["within"] = {name: [] for name in model["families"]}
+    for r in fitted.orderBy("group", "a", "b").collect():  # a row a pair
+        own_list = model["within"][r.group[1:]] if r.group else model["between"]
+        own_list.append((r.a, r.b, np.array(r.weights), r.intercept))
     release(data)
     return model
 
