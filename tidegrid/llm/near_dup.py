@@ -12,13 +12,14 @@ two sweeps, so that no group emits all its pairs:
    components;
 2. a bucket that still holds several components compares the classes outside its largest component
    with the whole bucket, block against block inside tasks.  Where that would be more than
-   ``BUCKET_PAIRS`` pairs, the bucket is first dealt anew by a second and at most a third band, so
-   that only classes which share those too still meet.  Pairs that are in one component already, or
-   that earlier bands compare, are passed over; only links that join two components leave the task.
+   ``BUCKET_PAIRS`` pairs, the classes of such buckets meet by prefix instead: with shingles that many of
+   them hold put last, two sets that are similar enough share one of their first few, so classes with
+   equal such shingles are compared.  Pairs that are in one component already, or that an earlier band
+   compares, are passed over; only links that join two components leave the task.
 
 Afterwards every proposed pair is either inside one component or was refuted, so the components are
-those of the full link graph.  At similarity 0.8 the bands miss a pair with a chance of 5e-8; of
-pairs that meet in large buckets only, which need to share two or three bands, 1e-6 or 1e-5.
+those of the full link graph.  At similarity 0.8 the bands miss a pair with a chance of 5e-8, whatever
+the size of its buckets: a prefix misses none.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ SKETCH_BITS = 1024
 SLACK = 0.24  # sketch estimates this far below the threshold still go on: over 6 standard deviations
 BLOCK = 1024  # classes of a block in the second sweep, about
 BLOCK_SHINGLES = 2_000_000  # and shingles of a block, about
-BUCKET_PAIRS = 1 << 24  # pairs above which a bucket is dealt anew by one more band
-MOST_BANDS = 3  # bands that a pair has to share in buckets dealt anew, at most
+BUCKET_PAIRS = 1 << 24  # pairs above which a bucket's classes meet by prefix
+MOST_COMMON = 20  # common shingles are at most 2 to the power of this: those of over that share of all
 HUB_ROWS = 1_000_000  # edges from which a step's minima are written first, so that Spark can split a hub's join
 SLICE = 1 << 17  # bytes of text hashed at once
 
@@ -459,17 +460,57 @@ def components(edges: DataFrame) -> DataFrame:
         release(*held)
 
 
-def _candidates(known: DataFrame, members: DataFrame, stars: DataFrame, bits: int, percent: int) -> list[DataFrame]:
+def _shingles(batches):
+    """Every shingle of (node, comp, shingles)."""
+    for batch in batches:
+        for blob in batch.column(2):
+            yield pa.RecordBatch.from_arrays([pa.array(_set(blob.as_buffer()).view(np.int64))], names=["shingle"])
+
+
+def _prefixes(percent: int, common: np.ndarray):
+    """(key, node, comp) for the shingles of each set that come first; ``common`` ones, sorted, come last.
+
+    Similar sets share ``percent`` of either one's shingles, so they cannot differ in all of these.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for node, comp, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = _set(blob.as_buffer())
+                late = np.isin(own, common, assume_unique=True)
+                first = np.concatenate([own[~late], own[late]])[: len(own) - (percent * len(own) + 99) // 100 + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), pa.array(np.full(len(first), node)), pa.array(np.full(len(first), comp))], names=["key", "node", "comp"]
+                )
+
+    return run
+
+
+def _by_prefix(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, node, comp, path: the classes (node, comp) of large buckets in one group for each of their first shingles."""
+    full = materialize(classes.join(sets, "node").select("node", "comp", "shingles"))
+    total = full.agg(F.sum(F.octet_length("shingles") / 8).cast("long").alias("n")).first().n or 0
+    counted = full.mapInArrow(tidy(_shingles), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    # at most 2 ** MOST_COMMON of them can be so common
+    common = counted.where(F.col("n") > max(BLOCK, total >> MOST_COMMON)).select("shingle").toArrow().column(0).to_numpy()
+    common = np.sort(common.astype(np.int64).view(np.uint64))
+    keyed = full.mapInArrow(tidy(_prefixes(percent, common)), "key long, node long, comp long")
+    several = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    out = materialize(keyed.join(several.select("key"), "key").withColumn("path", F.array().cast("array<long>")))
+    release(full)
+    return out
+
+
+def _candidates(known: DataFrame, members: DataFrame, stars: DataFrame, sets: DataFrame, bits: int, percent: int) -> list[DataFrame]:
     """Tables of the blocks' nodes that the sketches could not refute in the second sweep.
 
-    ``members`` has key, node: the band buckets.  Each round compares the buckets that hold at most
-    ``BUCKET_PAIRS`` pairs in blocks and deals the others out anew, by every later band of their
-    classes; the last round compares whatever there is.
+    ``members`` has key, node: the band buckets.  Buckets that hold at most ``BUCKET_PAIRS`` pairs are
+    compared in blocks; the classes of the others once more, together, grouped by prefix.
     """
     facts = known.select("node", "n_shingles", "sketch", "bands")
     placed = members.join(stars, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), F.array("key").alias("path"))
     out, held = [], []
-    for depth in range(1, MOST_BANDS + 1):
+    for last in (False, True):
         sized = placed.join(known.select("node", "n_shingles"), "node")
         per_comp = sized.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
         mixed = per_comp.groupBy("key").agg(
@@ -482,7 +523,7 @@ def _candidates(known: DataFrame, members: DataFrame, stars: DataFrame, bits: in
                 F.col("main.comp").alias("main"),
                 blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("rows"),
                 blocks(F.col("n"), F.col("size")).alias("columns"),
-                ((F.col("n") - F.col("main.n")) * F.col("n") > (BUCKET_PAIRS if depth < MOST_BANDS else (1 << 62))).alias("large"),
+                (F.lit(not last) & ((F.col("n") - F.col("main.n")) * F.col("n") > BUCKET_PAIRS)).alias("large"),
             )
         )
         own = placed.join(mixed.where("NOT large"), "key").withColumn("other", F.col("comp") != F.col("main"))
@@ -506,15 +547,7 @@ def _candidates(known: DataFrame, members: DataFrame, stars: DataFrame, bits: in
         held.append(mixed)
         if not mixed.where("large").limit(1).count():
             break
-        later = placed.join(mixed.where("large").select("key"), "key").join(known.select("node", "bands"), "node")
-        # bands after the last one of the path, so that every set of shared bands is met in one order only
-        own_bands = F.slice("bands", F.array_position("bands", F.element_at("path", -1)).cast("int") + 1, BANDS)
-        deeper = later.select("node", "comp", "path", F.explode(own_bands).alias("band"))
-        deeper = deeper.select(
-            F.xxhash64("path", "band").alias("key"), "node", "comp", F.concat("path", F.array("band")).alias("path")
-        )
-        shared = deeper.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        placed = materialize(deeper.join(shared.select("key"), "key"))
+        placed = _by_prefix(placed.join(mixed.where("large").select("key"), "key").select("node", "comp").distinct(), sets, percent)
         held.append(placed)
     release(*held)
     return out
@@ -564,7 +597,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     stars = components(proposed.mapInArrow(tidy(_confirming(percent)), "a long, b long"))
 
-    flagged = _candidates(known, members.select("key", "node"), stars, bits, percent)
+    flagged = _candidates(known, members.select("key", "node"), stars, sets, bits, percent)
     links = stars.select(F.col("node").alias("a"), F.col("comp").alias("b"))
     keys = ["key", "i", "j"]
     for table_ in flagged:
