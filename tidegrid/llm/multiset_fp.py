@@ -12,11 +12,11 @@ estimates the cosine of the two multisets, which serves as their likeness.
 from __future__ import annotations
 
 import re
-from hashlib import shake_128
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,59 +26,75 @@ from tidegrid.llm.common import bound_batches, chunk_of, ordinal_chunks, table,
 LANES = 96
 PIECE_WORDS = 8  # words of a piece of a long paragraph, about
 MOST_PIECE = 64  # and words at most
-MOST_WORD = 64  # characters of a word; longer runs without a blank are cut into such words
+MOST_WORD = 64  # bytes of a word; longer runs without a blank are cut into such words
 ROWS_PER_RUN = 3_000
+HELD = 4096  # units that are hashed at once
 
 
-_WORD = re.compile(r"\S{1,%d}" % MOST_WORD)
+_WORD = re.compile(rb"\S{1,%d}" % MOST_WORD)
+_STEP = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(LANES // 8)], dtype=np.uint64)
 
 
-def _hashed(parts: list[bytes]) -> np.ndarray:
-    """One row of ``LANES`` odd numbers in -255..255 for each part."""
-    raw = b"".join([shake_128(p).digest(LANES) for p in parts])
-    return np.frombuffer(raw, dtype=np.int8).reshape(-1, LANES).astype(np.int64) * 2 + 1
+def _summed(parts: list[bytes]) -> np.ndarray:
+    """Sum of one row of ``LANES`` odd numbers in -255..255 for each part.
+
+    A part's 128-bit hash, two numbers a and b, is spread over the lanes: the bytes of the finalised
+    sums a + b * step.
+    """
+    keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in parts]), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    x = keys[:, :1] + keys[:, 1:] * _STEP
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x.astype("<u8").view(np.int8).reshape(-1, LANES).sum(axis=0, dtype=np.int64) * 2 + len(parts)
 
 
-def pieces(paragraph: str) -> list[bytes]:
+def pieces(paragraph: bytes) -> list[bytes]:
     """Pieces of a paragraph of more than ``PIECE_WORDS`` words; none of a shorter one.
 
     A piece ends behind a word whose CRC-32 is a multiple of ``PIECE_WORDS``, or after ``MOST_PIECE``
     words.  The leading byte keeps pieces apart from paragraphs.
     """
-    words = [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(paragraph)]
+    words = _WORD.findall(paragraph)
     if len(words) <= PIECE_WORDS:
         return []
     out, start = [], 0
-    for at, word in enumerate(words, 1):
-        if crc32(word) % PIECE_WORDS == 0 or at - start == MOST_PIECE or at == len(words):
-            out.append(b"\n" + b" ".join(words[start:at]))
-            start = at
+    ends = [at for at, word in enumerate(words, 1) if crc32(word) % PIECE_WORDS == 0]
+    for end in [*ends, len(words)]:
+        while start < end:
+            stop = min(end, start + MOST_PIECE)
+            out.append(b"\n" + b" ".join(words[start:stop]))
+            start = stop
     return out
 
 
-def total(paragraphs: list[str]) -> np.ndarray:
+def total(paragraphs: list[bytes]) -> np.ndarray:
     """Sum of the paragraphs' vectors, taken a bounded number of rows at a time."""
     out, held = np.zeros(LANES, dtype=np.int64), []
     for paragraph in paragraphs:
-        held.append(paragraph.encode("utf-8", "surrogatepass"))
+        held.append(paragraph)
         held += pieces(paragraph)
-        if len(held) >= 4096:
-            out += _hashed(held).sum(axis=0)
+        if len(held) >= HELD:
+            out += _summed(held)
             held = []
-    return out + _hashed(held).sum(axis=0)
+    return out + _summed(held) if held else out
+
+
+def _encoded(paragraphs: list[str]) -> list[bytes]:
+    return [p.encode("utf-8", "surrogatepass") for p in paragraphs]
 
 
 def fingerprint(text: str | None) -> np.ndarray:
     """Lanes modulo 2**32; null counts as the empty text, which is one empty paragraph."""
-    return (total((text or "").split("\n")) % (1 << 32)).astype(np.uint32)
+    return (total((text or "").encode("utf-8", "surrogatepass").split(b"\n")) % (1 << 32)).astype(np.uint32)
 
 
 def insert(lanes: np.ndarray, paragraphs: list[str]) -> np.ndarray:
-    return ((lanes.astype(np.int64) + total(paragraphs)) % (1 << 32)).astype(np.uint32)
+    return ((lanes.astype(np.int64) + total(_encoded(paragraphs))) % (1 << 32)).astype(np.uint32)
 
 
 def delete(lanes: np.ndarray, paragraphs: list[str]) -> np.ndarray:
-    return ((lanes.astype(np.int64) - total(paragraphs)) % (1 << 32)).astype(np.uint32)
+    return ((lanes.astype(np.int64) - total(_encoded(paragraphs))) % (1 << 32)).astype(np.uint32)
 
 
 def to_hex(lanes: np.ndarray) -> str:
@@ -137,10 +153,13 @@ def with_next(docs: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
 
 
 def _prints(batches):
+    seen, known = None, None  # rows are in order, so a document is the next one of the row before it
     for pdf in batches:
         out = []
         for text, edited, following in zip(pdf["text"], pdf["edited"], pdf["next_text"]):
-            own, other, after = fingerprint(text), fingerprint(edited), fingerprint(following)
+            own = known if text == seen and known is not None else fingerprint(text)
+            other, after = fingerprint(edited), fingerprint(following)
+            seen, known = following, after
             out.append((to_hex(own), to_hex(other), likeness(own, other), likeness(own, after)))
         done = pd.DataFrame(out, columns=["fingerprint", "edited_fingerprint", "near_edited", "near_next"])
         yield pd.concat([pdf[["doc_id", "n_chars", "edited_sha256"]].reset_index(drop=True), done], axis=1)
