@@ -28,7 +28,7 @@ from tidegrid.llm.common import bound_batches, give_back, materialize, table
 K = 10
 QUERY_STEP = 100
 FIT_SAMPLE = 20_000  # vectors that the centroids of a dimension are fitted on, about
-MOST_DIMS = 16  # vector lengths that get centroids, those with the most rows; others have one list
+MOST_DIMS = 16  # vector lengths that get centroids, those with the most rows; others have one list, in as many blocks as it needs
 MOST_LISTS = 4096
 PROBE_SHARE = 0.85  # share of the lists that a query visits
 PROBES = 8  # lists that it visits at least
@@ -124,13 +124,13 @@ def estimate(codes, lengths, correction, offset: np.ndarray) -> tuple[np.ndarray
     return about, 2.0 * lengths / correction * ERROR_SIGMAS * np.hypot(coded, rounded)
 
 
-def search_block(rows, codes, lengths, correction, ids, vectors, query_ids, query_rows, queries, center, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score: the ``k`` nearest of one block for every query.
+def search_block(rows, codes, lengths, correction, ids, vectors, query_ids, query_rows, query_times, queries, center, k: int) -> pd.DataFrame:
+    """query_id, query_row, times, vec_id, score: the ``k`` nearest of one block for every query.
 
     All rows tied with the k-th distance are compared, so ties go to the smaller vec_id.
     """
-    asked, found, scores = [], [], []
-    for q_id, q_row, query in zip(query_ids, query_rows, queries):
+    asked, own_rows, times, found, scores = [], [], [], [], []
+    for q_id, q_row, q_times, query in zip(query_ids, query_rows, query_times, queries):
         others = np.ones(len(ids), dtype=bool)
         others[np.flatnonzero((ids == q_id) & (rows == q_row))[:1]] = False  # the query's own row, one of equal ones
         others = np.flatnonzero(others)
@@ -143,11 +143,15 @@ def search_block(rows, codes, lengths, correction, ids, vectors, query_ids, quer
             chosen = np.union1d(first, others[lower <= read(first).max() * (1 + 1e-9) + 1e-12])
         distance = np.sqrt(read(chosen))
         best = np.lexsort((ids[chosen], distance))[:k]
-        asked.append(np.full(len(best), q_id, dtype=np.int64))
+        for kept, value in ((asked, q_id), (own_rows, q_row), (times, q_times)):
+            kept.append(np.full(len(best), value, dtype=np.int64))
         found.append(ids[chosen][best])
         scores.append(distance[best])
     joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    return pd.DataFrame({"query_id": joined(asked, np.int64), "vec_id": joined(found, np.int64), "score": joined(scores, np.float64)})
+    return pd.DataFrame({
+        "query_id": joined(asked, np.int64), "query_row": joined(own_rows, np.int64), "times": joined(times, np.int64),
+        "vec_id": joined(found, np.int64), "score": joined(scores, np.float64),
+    })
 
 
 def _fit(rows: DataFrame, n: int, dim: int, n_queries: int, probe_share: float) -> dict:
@@ -169,9 +173,10 @@ def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_
     """query_id, rank, vec_id, score: each query's ``k`` nearest other rows by Euclidean distance.
 
     ``is_query`` is a predicate on vec_id.  Null, zero, non-finite vectors and rows without a vec_id
-    take no part; vectors are compared with those of their own length.  Repeated query ids are asked
-    once (smallest vector).  Only the query's own row is left out: rows that repeat it, or its id with
-    another vector, are candidates like any other and count each.  Ties go to the smaller vec_id; fewer
+    take no part; vectors are compared with those of their own length.  Every row that ``is_query`` takes
+    is a query: an id with two vectors, or on two equal rows, has two results.  Only the query's own
+    row is left out: rows that repeat it, or its id with another vector, are candidates like any other
+    and count each.  Ties go to the smaller vec_id; fewer
     candidates than ``k`` in the lists visited are all returned; an empty table gives no rows; other
     columns are ignored, whatever their names.
 
@@ -183,13 +188,17 @@ def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_
     bound_batches(spark)
     rows = materialize(usable(vectors))  # a scan instead of the source for the fit, the codes and the look-ups
     result = "query_id long, rank int, vec_id long, score double"
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("embedding", "row", "dim")).alias("q")).select("vec_id", "q.*")
-    sizes = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_DIMS).collect()
-    if not sizes:
+    asked = rows.where(is_query).groupBy("vec_id", "row", "embedding", "dim").agg(F.count("*").alias("times"))
+    counts = {r.dim: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row a vector length
+    if not counts:
         return spark.createDataFrame([], result)
     wanted = {r.dim: r["count"] for r in asked.groupBy("dim").count().collect()}
-    fitted = {r.dim: _fit(rows, r["count"], r.dim, wanted.get(r.dim, 0), probe_share) for r in sizes if r.dim in wanted}
-    one = lambda dim: {"centers": np.zeros((1, dim)), "probes": 1, "blocks": np.ones(1, int), "q_blocks": np.ones(1, int)}
+    common = sorted(wanted, key=lambda d: (-counts[d], d))[:MOST_DIMS]
+    fitted = {d: _fit(rows, counts[d], d, wanted[d], probe_share) for d in common}
+    parts = lambda n, size: np.full(1, max(1, -(-n // size)))
+    one = lambda dim: {
+        "centers": np.zeros((1, dim)), "probes": 1, "blocks": parts(counts.get(dim, 0), BLOCK_ROWS), "q_blocks": parts(wanted.get(dim, 0), QUERY_ROWS),
+    }
 
     def index(batches):
         for pdf in batches:
@@ -217,10 +226,11 @@ def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_
                 m = fitted.get(dim) or one(dim)
                 out = []
                 x = np.array(own["embedding"].tolist(), dtype=np.float64)
-                for vec_id, vector, row, visited in zip(own["vec_id"], own["embedding"], own["row"], nearest_lists(x, m["centers"], m["probes"])):
+                seen = nearest_lists(x, m["centers"], m["probes"])
+                for vec_id, vector, row, times, visited in zip(own["vec_id"], own["embedding"], own["row"], own["times"], seen):
                     for lst in visited:
-                        out += [(dim, lst, b, row % m["q_blocks"][lst], vec_id, row, vector) for b in range(m["blocks"][lst])]
-                yield pd.DataFrame(out, columns=["dim", "list", "block", "q_block", "query_id", "row", "embedding"])
+                        out += [(dim, lst, b, row % m["q_blocks"][lst], vec_id, row, times, vector) for b in range(m["blocks"][lst])]
+                yield pd.DataFrame(out, columns=["dim", "list", "block", "q_block", "query_id", "row", "times", "embedding"])
 
     def meet(key, left, right):
         center = (fitted.get(key[0]) or one(key[0]))["centers"][key[1]]
@@ -229,18 +239,20 @@ def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_
         codes = np.frombuffer(b"".join(left["code"]), dtype=np.uint64).reshape(len(left), -1) if len(left) else np.zeros((0, 1), np.uint64)
         return search_block(
             column(left, "row"), codes, column(left, "length"), column(left, "correction"), column(left, "vec_id"), matrix(left),
-            column(right, "query_id"), column(right, "row"), matrix(right), center, k,
+            column(right, "query_id"), column(right, "row"), column(right, "times"), matrix(right), center, k,
         )
 
     coded = rows.mapInPandas(
         index,
         "dim int, list int, block long, vec_id long, row long, embedding array<double>, code binary, length double, correction double, q_block int",
     )
-    routed = asked.mapInPandas(route, "dim int, list int, block long, q_block int, query_id long, row long, embedding array<double>")
+    routed = asked.mapInPandas(route, "dim int, list int, block long, q_block int, query_id long, row long, times long, embedding array<double>")
     keys = ["dim", "list", "block", "q_block"]
-    near = coded.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = coded.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(meet, "query_id long, query_row long, times long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_row").orderBy("score", "vec_id")
+    near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    again = F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))
+    return near.select("query_id", "rank", "vec_id", "score", again.alias("_again")).drop("_again")
 
 
 def op8_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
