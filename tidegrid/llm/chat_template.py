@@ -467,42 +467,56 @@ def format_conversations(turns: DataFrame, template: str = TURN_TEMPLATE, part_c
 
 
 class TurnReader:
-    """Reads role, text and loss text back from formatted parts, holding one turn at a time."""
+    """Reads role, text and loss text back from formatted parts, holding one turn at a time.
 
-    _SIGNS = re.compile(r"\\.|[<>]", re.S)
+    A part is scanned once: what an open turn has so far is kept in pieces, with the places of its signs.
+    """
+
+    _SIGNS = re.compile(r"\\(?:.|$)|[<>]", re.S)
 
     def __init__(self):
-        self.rest, self.marks, self.turns = "", [], 0
+        self.held, self.length, self.signs, self.escaped = [], 0, [], False
+        self.marks, self.turns = [], 0
         self.chars = self.loss_chars = 0
         self.digest, self.loss = hashlib.sha256(), hashlib.sha256()
 
+    def _close(self, whole: str | None) -> tuple[str, int]:
+        """Digest the turn that the four signs bound; the open text and where the next turn begins in it."""
+        whole = "".join(self.held) if whole is None else whole
+        opened, role_end, closed, end = self.signs
+        role, content = unescape(whole[opened + 6 : role_end]), unescape(whole[role_end + 1 : closed])
+        self.turns += 1
+        self.digest.update(f"{role}\n{content}\n".encode("utf-8", "surrogatepass"))
+        self.signs = []
+        return whole, end + 2
+
     def feed(self, text: str, marks) -> None:
-        base = len(self.rest)
+        base, whole, at = self.length, None, 0
         self.chars += len(text)
         self.marks += [(base + m["start"], base + m["end"]) for m in marks]
-        whole, at = self.rest + text, 0
+        self.held.append(text)
+        self.length += len(text)
+        start = 1 if self.escaped and text else 0  # the part before ended in a backslash
+        self.escaped = self.escaped and not text
         # a turn is <turn ROLE>TEXT</turn>\n with no bare angle bracket inside role or text
-        signs = []
-        for m in self._SIGNS.finditer(whole):
+        for m in self._SIGNS.finditer(text, start):
             if m[0][0] == "\\":
+                self.escaped = len(m[0]) == 1
                 continue
-            signs.append(m.start())
-            if len(signs) == 4 and len(whole) > m.start() + 1:
-                opened, role_end, closed, end = signs
-                role = unescape(whole[opened + 6 : role_end])
-                content = unescape(whole[role_end + 1 : closed])
-                self.turns += 1
-                self.digest.update(f"{role}\n{content}\n".encode("utf-8", "surrogatepass"))
-                at, signs = end + 2, []
-        done = [(s, e) for s, e in self.marks if e <= at]
-        loss = "".join(unescape(whole[s:e]) for s, e in done)
-        self.loss_chars += len(loss)
-        self.loss.update(loss.encode("utf-8", "surrogatepass"))
-        self.marks = [(s - at, e - at) for s, e in self.marks if e > at]
-        self.rest = whole[at:]
+            if len(self.signs) == 4:
+                whole, at = self._close(whole)
+            self.signs.append(base + m.start())
+        if len(self.signs) == 4 and self.length > self.signs[3] + 1:
+            whole, at = self._close(whole)
+        if at:
+            loss = "".join(unescape(whole[s:e]) for s, e in self.marks if e <= at)
+            self.loss_chars += len(loss)
+            self.loss.update(loss.encode("utf-8", "surrogatepass"))
+            self.marks = [(s - at, e - at) for s, e in self.marks if e > at]
+            self.held, self.length, self.signs = [whole[at:]], self.length - at, [x - at for x in self.signs]
 
     def row(self, conv_id) -> tuple:
-        if self.rest or self.marks:
+        if self.length or self.marks:
             raise ValueError(f"conversation {conv_id} does not read back")
         return (conv_id, self.turns, self.digest.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
 
