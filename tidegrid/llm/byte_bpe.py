@@ -34,7 +34,7 @@ from tidegrid.llm.common import bound_batches, table, tidy
 
 BLOCK_CHARS = 12_000_000
 OUT_IDS = 1_000_000
-PART_CHARS = 64_000_000  # characters for each part that words are dealt to, at most
+PART_CHARS = 16_000_000  # characters of text for each part that words are dealt to: a part's distinct words have fewer
 # Unicode's White_Space, as the tokenizer library's pattern engine reads \s.
 SPACES = "\t-\r \x85\xa0  -     　"
 COMMON = 0x250  # texts below this code point use the standard library's faster engine
