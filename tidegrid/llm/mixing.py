@@ -254,17 +254,18 @@ def _op5_sql() -> str:
     off = "greatest(" + ", ".join(f"abs({miss[n]}) / {goal[n]}" for n in names) + ")"
     return f"""
 WITH RECURSIVE raw AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS words FROM documents
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS words FROM documents
 ),
+said AS (SELECT row, unnest(words) AS word, (generate_subscripts(words, 1) - 1) // {WINDOW} AS part FROM raw),
+new AS (SELECT row, count(*) AS fresh FROM (SELECT DISTINCT row, part, word FROM said) d GROUP BY row),
 counted AS (
-  SELECT doc_id, len(words)::DOUBLE AS words,
-         list_sum(list_transform(range(0, greatest(len(words), 1), {WINDOW}), lambda i: len(list_distinct(words[i + 1 : i + {WINDOW}]))))::DOUBLE AS fresh, length(t)::DOUBLE AS chars,
+  SELECT doc_id, len(words)::DOUBLE AS words, coalesce(fresh, 0)::DOUBLE AS fresh, length(t)::DOUBLE AS chars,
          strlen(t)::DOUBLE AS bytes,
          (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::DOUBLE AS capitals,
          (length(t) - length(regexp_replace(t, '[0-9]', '', 'g')))::DOUBLE AS digits,
          (length(t) - length(regexp_replace(t, '[!-/:-@\\[-`{{-~]', '', 'g')))::DOUBLE AS marks,
          (length(t) - length(replace(t, chr(10), '')))::DOUBLE AS lines
-  FROM raw
+  FROM raw LEFT JOIN new USING (row)
 ),
 feats AS (
   SELECT doc_id, words AS tokens, ln(1 + chars / greatest(words, 1)) AS word_chars,
