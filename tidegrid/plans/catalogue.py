@@ -11,7 +11,7 @@ from tidegrid.functions import aggregates, pentad
 from tidegrid.operators import eof, fields, grids, series
 from tidegrid.plans import adapters as a
 from tidegrid.plans import chains, oracles, stores
-from tidegrid.sources import tiers
+from tidegrid.sources import rawgrid, tiers
 from tidegrid.sources.shared import work_folder
 from tidegrid.streaming import pentads
 
@@ -416,19 +416,37 @@ def regrid_clamped(spark, sf_dir):
     return _r(grids.regrid(_levels(spark, sf_dir), ["ds", "k"], lat, lon), "v")
 
 
-def regrid_staggered(spark, sf_dir):
-    """A field with levels and gaps on a staggered grid whose land cells follow a rule."""
+def _target_cells(spark):
     n_lat, n_lon = len(TARGET_GRID["lat"]), len(TARGET_GRID["lon"])
-    cells = spark.range(len(TARGET_GRID["z"]) * n_lat * n_lon).select(
+    return spark.range(len(TARGET_GRID["z"]) * n_lat * n_lon).select(
         F.floor(F.col("id") / (n_lat * n_lon)).cast("int").alias("k"),
         F.floor(F.pmod("id", F.lit(n_lat * n_lon)) / n_lon).cast("int").alias("lat_i"),
         F.pmod("id", F.lit(n_lon)).cast("int").alias("lon_i"),
     )
-    land = cells.where((F.col("k") + F.col("lat_i") + F.col("lon_i")) % 5 == 0)
+
+
+LAND = "(k + lat_i + lon_i) % 5 = 0"
+
+
+def _staggered(spark, sf_dir, land):
     out = grids.regrid_staggered(_levels(spark, sf_dir), ["ds"], SOURCE_GRID, TARGET_GRID, land, 3, fill_value=-1.0, valid=(37000.0, 39000.0))
     return _r(out, "v")
 
 
+def regrid_staggered(spark, sf_dir):
+    """A field with levels and gaps on a staggered grid whose land cells follow a rule."""
+    return _staggered(spark, sf_dir, _target_cells(spark).where(LAND))
+
+
+def regrid_raw_land(spark, sf_dir):
+    """The same with the land read from the model's grid file: where the open part of a cell is 0."""
+    path = work_folder(spark)
+    open_part = _target_cells(spark).where(f"NOT {LAND}").select(F.lit("hFacW").alias("variable"), F.lit(0).alias("step"), "k", "lat_i", "lon_i", F.lit(1.0).alias("v"))
+    rawgrid.write_raw(open_part, path, {"k": len(TARGET_GRID["z"]), "lat_i": len(TARGET_GRID["lat"]), "lon_i": len(TARGET_GRID["lon"])})
+    land = rawgrid.read_raw(spark, path).where("v = 0").select(F.col("k_i").alias("k"), "lat_i", "lon_i")
+    return _staggered(spark, sf_dir, land)
+
+
 def high_pass(spark, sf_dir):
     return _r(grids.high_pass(a.dense(spark, sf_dir), ["ds"], a.N_LAT, a.N_LON, 12, 6), "v")
 
@@ -553,6 +571,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interp_vertical": interp_vertical,
     "regrid_clamped": regrid_clamped,
     "regrid_staggered": regrid_staggered,
+    "regrid_raw_land": regrid_raw_land,
     "high_pass": high_pass,
     "spectral_density": spectral_density,
     "eof_pairs_gram": eof_pairs_gram,

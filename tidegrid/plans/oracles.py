@@ -255,6 +255,8 @@ ORACLES = {
     "regrid_clamped": _with("levels", more=_ZYX + ", o AS (" + _LEVEL_SQL.format("levels") + ")", body=f"SELECT ds, k, lat_i, lon_i, {_r('v')} FROM o"),
     "regrid_staggered": _with("levels", more=_LEVEL_FLOOD + ", " + _down("g3") + ", " + _ZYX + ", " + _UPRIGHT + ", o AS (" + _LEVEL_SQL.format("upright") + ")",
         body=f"SELECT ds, k, lat_i, lon_i, {_r('CASE WHEN (k + lat_i + lon_i) % 5 <> 0 THEN coalesce(v, -1) END', 'v')}, coalesce((k + lat_i + lon_i) % 5 <> 0 AND (v < 37000 OR v > 39000), FALSE) AS outside FROM o"),
+    "regrid_raw_land": _with("levels", more=_LEVEL_FLOOD + ", " + _down("g3") + ", " + _ZYX + ", " + _UPRIGHT + ", o AS (" + _LEVEL_SQL.format("upright") + ")",
+        body=f"SELECT ds, k, lat_i, lon_i, {_r('CASE WHEN (k + lat_i + lon_i) % 5 <> 0 THEN coalesce(v, -1) END', 'v')}, coalesce((k + lat_i + lon_i) % 5 <> 0 AND (v < 37000 OR v > 39000), FALSE) AS outside FROM o"),
     "high_pass": _with("dense", more="n AS (SELECT i AS y, CASE WHEN j < 0 THEN -j - 1 WHEN j > 72 THEN 145 - j ELSE j END AS sy FROM (SELECT i, i + d AS j FROM range(73) a(i), range(-12, 13) b(d))), "
         "e AS (SELECT i AS x, CASE WHEN j < 0 THEN -j - 1 WHEN j > 69 THEN 139 - j ELSE j END AS sx FROM (SELECT i, i + d AS j FROM range(70) a(i), range(-6, 7) b(d))), "
         "r AS MATERIALIZED (SELECT ds, lat_i, x, sum(coalesce(v, 0)) / 13 AS m FROM dense JOIN e ON sx = lon_i GROUP BY ALL), q AS (SELECT ds, y, x, sum(m) / 25 AS m FROM r JOIN n ON sy = lat_i GROUP BY ALL)",

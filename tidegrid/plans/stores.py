@@ -57,6 +57,17 @@ def netcdf_bytes(spark, sf_dir):
     return cells.join(box, "file").select(F.split("file", "[.]")[0].alias("file"), "whole_cells", "cells", "bytes")
 
 
+def netcdf_pentads(spark, sf_dir):
+    """Pentad means of daily fields that come as files: a file a dataset and year, days as records, read whole."""
+    path = work_folder(spark)
+    days = a.obs(spark, sf_dir).groupBy("ds", "d", "lat_i", (F.col("lon_i") - 1).alias("lon_i")).agg(F.avg("v").alias("v"))
+    days = days.withColumns({"file": F.concat("ds", F.lit("_"), F.year("d")), "time": F.datediff("d", F.lit("1990-01-01").cast("date"))})
+    netcdf.write_netcdf(days, path, {"lat": LAT, "lon": LON}, "sst")
+    back = netcdf.read_netcdf(spark, path, "sst").where("v IS NOT NULL")
+    daily = back.select(F.substring("file", 1, 1).alias("ds"), F.date_add(F.lit("1990-01-01").cast("date"), F.col("time").cast("int")).alias("d"), "lat_i", "lon_i", "v")
+    return _round(fields.pentad_mean(daily), "v")
+
+
 def _levels(spark, sf_dir):
     """ds, step (year), k (halves of the year), lat_i, lon_i, v."""
     rows = a.obs(spark, sf_dir).groupBy("ds", F.year("d").alias("step"), F.floor((F.month("d") - 1) / 6).cast("int").alias("k"), "lat_i", (F.col("lon_i") - 1).alias("lon_i"))
@@ -206,6 +217,7 @@ def whole_output(spark, sf_dir):
 QUERIES = {
     "netcdf_crop": netcdf_crop,
     "netcdf_bytes": netcdf_bytes,
+    "netcdf_pentads": netcdf_pentads,
     "raw_roundtrip": raw_roundtrip,
     "mat_roundtrip": mat_roundtrip,
     "unit_manifest": unit_manifest,
@@ -226,6 +238,7 @@ _TILE = lambda y, x: f"(({y}) // 16) * 100 + ({x}) // 16"
 ORACLES = {
     "netcdf_crop": _with("pen", body=f"SELECT ds, pentadstamp, lat_i, CAST(lon_i - 1 AS INTEGER) AS lon_i, 10.0::DOUBLE + 2 * lat_i AS lat, 120.0::DOUBLE + 2.5 * (lon_i - 1) AS lon, {rounded('v')} FROM pen WHERE lat_i BETWEEN 2 AND 6 AND lon_i BETWEEN 4 AND 6"),
     "netcdf_bytes": _with("pen", body="SELECT ds || '_' || pentadstamp // 73 AS file, count(DISTINCT pentadstamp) * 70 AS whole_cells, CAST(count(DISTINCT pentadstamp) * 15 AS BIGINT) AS cells, CAST(count(DISTINCT pentadstamp) * 15 * 8 AS BIGINT) AS bytes FROM pen GROUP BY ds, pentadstamp // 73"),
+    "netcdf_pentads": _with("inyear", more="dm AS (SELECT ds, d, p, lat_i, lon_i - 1 AS lon_i, avg(v) AS v FROM inyear GROUP BY ALL)", body=f"SELECT ds, CAST(year(d) * 73 + p AS INTEGER) AS pentadstamp, lat_i, CAST(lon_i AS INTEGER) AS lon_i, {rounded('avg(v)', 'v')}, count(v) AS n FROM dm GROUP BY ds, year(d) * 73 + p, lat_i, lon_i"),
     "raw_roundtrip": _with("obs", more="m AS (SELECT ds, year(d) AS step, (month(d) - 1) // 6 AS k, lat_i, lon_i - 1 AS lon_i, avg(v) AS v FROM obs GROUP BY ALL), f AS (SELECT DISTINCT ds, step FROM m)",
         body="SELECT f.ds, CAST(f.step AS INTEGER) AS step, CAST(y AS INTEGER) AS lat_i, CAST(x AS INTEGER) AS lon_i, round(coalesce(v, 0)::FLOAT::DOUBLE, 1) AS v FROM f, range(3, 8) a(y), range(2, 7) b(x) LEFT JOIN m ON m.ds = f.ds AND m.step = f.step AND k = 1 AND lat_i = y AND lon_i = x"),
     "mat_roundtrip": _with("obs", more="m AS (SELECT ds, year(d) AS step, (month(d) - 1) // 6 AS k, lat_i, lon_i - 1 AS lon_i, avg(v) AS v FROM obs GROUP BY ALL), f AS (SELECT DISTINCT ds, step FROM m)",
