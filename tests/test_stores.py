@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import pentad
-from tidegrid.sources import clustered, netcdf, rawgrid, slabs, tiers, units
+from tidegrid.sources import clustered, netcdf, rawgrid, shared, slabs, tiers, units
 from tidegrid.streaming import strict
 
 LAT, LON = [0.0, 1.0, 2.0, 3.0], [10.0, 12.0, 14.0]
@@ -184,3 +184,14 @@ def test_work_on_a_pandas_error_names_the_unit():
     run = units.isolated(lambda rows: 1 / 0, ["lat_i", "v"])
     out = run(("A", 5), pd.DataFrame({"x": [1]}))
     assert out.iloc[0].to_dict() == {"dataset": "A", "pentadstamp": 5, "lat_i": None, "v": None, "error": "ZeroDivisionError: division by zero"}
+
+
+def test_work_folders_are_deleted_in_the_end(spark, tmp_path):
+    kept, path = shared.materialize(spark.range(3).toDF("n"))
+    assert kept.count() == 3 and path in shared.made
+    others = {p: s for p, s in shared.made.items() if p != path}
+    shared.made.clear()
+    shared.made[path] = spark
+    shared.delete_all()
+    assert not os.path.exists(path.removeprefix("file:")) and not shared.made
+    shared.made.update(others)

@@ -28,10 +28,6 @@ def mean_of_all(v: Column, members: int) -> Column:
     return F.when(F.count(v) == members, F.sum(v) / members)
 
 
-def safe_log(v: Column) -> Column:
-    return F.when(v > 0, F.ln(v))
-
-
 def wrap_longitude(lon: Column) -> Column:
     """Longitude in [0, 360)."""
     return F.pmod(lon, F.lit(360.0))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.functions.aggregates import present
 from tidegrid.functions.pentad import DAYS, PENTADS, begin_of, parse_label, pentad_in_year, pentad_range, year_of
 from tidegrid.sources.shared import materialize
 
@@ -36,12 +35,6 @@ def tier_path(root: str, tier: str, varname: str, label: str | None = None) -> s
     return "/".join([root.rstrip("/"), tier, *([label] if TIERS[tier] else []), varname])
 
 
-def read_daily(spark: SparkSession, path: str) -> DataFrame:
-    """Daily observations with every non-finite value turned into NULL."""
-    rows = spark.read.parquet(path)
-    return rows.withColumn("v", present(F.col("v")))
-
-
 def write_tier(field: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write ``field`` (dataset, pentadstamp, ...) by year and pentad.
 
