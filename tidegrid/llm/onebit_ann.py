@@ -29,9 +29,9 @@ K = 10
 QUERY_STEP = 100
 FIT_SAMPLE = 20_000  # vectors that the centroids of a dimension are fitted on, about
 MOST_DIMS = 16  # vector lengths that get centroids, those with the most rows; others have one list, in as many blocks as it needs
+LIST_ROWS = 2048  # vectors of a list, about, up to MOST_LISTS lists: as many as the sample can tell apart
 MOST_LISTS = 4096
-PROBE_SHARE = 0.85  # share of the lists that a query visits
-PROBES = 8  # lists that it visits at least
+PROBES = 256  # lists that a query visits at most, however many there are: about half a million vectors
 QUERY_BITS = 4
 BLOCK_ROWS = 4096  # codes in a block of a list, about
 QUERY_ROWS = 1024  # queries that meet a block at once, about
@@ -154,14 +154,14 @@ def search_block(rows, codes, lengths, correction, ids, vectors, query_ids, quer
     })
 
 
-def _fit(rows: DataFrame, n: int, dim: int, n_queries: int, probe_share: float) -> dict:
+def _fit(rows: DataFrame, n: int, dim: int, n_queries: int, probes: int) -> dict:
     """Centroids of one dimension, and how many blocks the codes and the queries of each list need."""
     own = rows.where(F.col("dim") == dim)
     drawn = own if n <= FIT_SAMPLE else own.where(F.pmod("row", F.lit(1 << 30)) < F.lit(int((1 << 30) * FIT_SAMPLE / n)))
     sample = np.array([r.embedding for r in drawn.orderBy("row").select("embedding").limit(2 * FIT_SAMPLE).collect()], dtype=np.float64)
-    centers = fit_centroids(sample, int(min(MOST_LISTS, max(1, math.isqrt(n) // 4)))) if len(sample) else np.zeros((1, dim))
+    centers = fit_centroids(sample, min(MOST_LISTS, max(1, n // LIST_ROWS))) if len(sample) else np.zeros((1, dim))
     lists = len(centers)
-    probes = min(lists, max(PROBES, round(lists * probe_share)))
+    probes = min(lists, probes)
     seen = nearest_lists(sample, centers, probes) if len(sample) else np.zeros((1, 1), dtype=np.int64)
     share, visits = (np.bincount(x, minlength=lists) / len(seen) for x in (seen[:, 0], seen.ravel()))
     blocks = np.maximum(1, np.ceil(share * n / BLOCK_ROWS)).astype(int)
@@ -169,7 +169,7 @@ def _fit(rows: DataFrame, n: int, dim: int, n_queries: int, probe_share: float)
     return {"centers": centers, "probes": probes, "blocks": blocks, "q_blocks": q_blocks}
 
 
-def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_SHARE) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = K, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest other rows by Euclidean distance.
 
     ``is_query`` is a predicate on vec_id.  Null, zero, non-finite vectors and rows without a vec_id
@@ -180,7 +180,8 @@ def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_
     candidates than ``k`` in the lists visited are all returned; an empty table gives no rows; other
     columns are ignored, whatever their names.
 
-    Every row is indexed.  Lists are split into blocks by a hash of the row and queries into blocks
+    Every row is indexed, and a query visits the ``probes`` nearest lists: all of them in a table of up to
+    half a million vectors, a fixed number of vectors up to ``LIST_ROWS * MOST_LISTS`` rows.  Lists are split into blocks by a hash of the row and queries into blocks
     as well, both sized from the fitted sample's shares, so a vector or list that holds a third of
     the rows is spread over many tasks.  The driver holds the sample and the centroids.
     """
@@ -194,7 +195,7 @@ def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = PROBE_
         return spark.createDataFrame([], result)
     wanted = {r.dim: r["count"] for r in asked.groupBy("dim").count().collect()}
     common = sorted(wanted, key=lambda d: (-counts[d], d))[:MOST_DIMS]
-    fitted = {d: _fit(rows, counts[d], d, wanted[d], probe_share) for d in common}
+    fitted = {d: _fit(rows, counts[d], d, wanted[d], probes) for d in common}
     parts = lambda n, size: np.full(1, max(1, -(-n // size)))
     one = lambda dim: {
         "centers": np.zeros((1, dim)), "probes": 1, "blocks": parts(counts.get(dim, 0), BLOCK_ROWS), "q_blocks": parts(wanted.get(dim, 0), QUERY_ROWS),
