@@ -386,3 +386,18 @@ def test_every_language_is_learned_in_one_job(spark):
     assert len(model["families"]) <= 8 and set(model["logs"]) == {r[2] for r in rows}
     said = language_id.predict(docs.where("doc_id % 100 >= 12"), model)
     assert said.where("lang_pred = lang").count() >= 0.95 * said.count()
+
+
+def test_op8_recall_with_few_visits(spark, monkeypatch):
+    """Eighty lists of which ten are visited, on vectors that cluster; visits do not grow with the lists."""
+    monkeypatch.setattr(onebit_ann, "LIST_ROWS", 50)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, 24))[rng.integers(0, 60, 4000)] * 3 + rng.standard_normal((4000, 24))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = onebit_ann.search(vectors, F.col("vec_id") % 50 == 0, probes=10).toPandas()
+    hits = 0
+    for q in range(0, 4000, 50):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(got[got.query_id == q].vec_id))
+    assert hits >= 0.9 * 10 * 80
