@@ -1,5 +1,7 @@
 """Values, not counts, of odd rows: scores, rates, shards and fingerprints of null, empty, long, tied and repeated rows."""
 
+import zlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests_llm_shared import ODD_STAGE, SF
 from tidegrid.llm import mixing, multiset_fp, sharding, toxicity
+from tidegrid.llm.common import sorted_runs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -83,3 +86,27 @@ def test_shards_and_fingerprints_of_odd_rows(spark, odd):
     assert len(prints) == len(ODD_STAGE) and all(len(v) == 1 for v in by_id.values())
     assert {f for _, f in by_id[900000]} == {f for _, f in by_id[900001]} == {multiset_fp.to_hex(multiset_fp.fingerprint(""))}
     assert by_id[900004] == {(len(ODD_STAGE[5][1]), multiset_fp.to_hex(multiset_fp.fingerprint(ODD_STAGE[5][1])))}
+
+
+def test_repeated_and_missing_ids_are_cut_by_their_texts(spark):
+    """A third of the rows has no id, a third one id: their runs are parts, and slots and followers stay those of one sort."""
+    rng = np.random.default_rng(2)
+    ids = [None] * 70 + [5] * 70 + list(range(-30, 40))
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in ids]
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)], "doc_id long, text string").repartition(7)
+    runs = sorted_runs(docs, "doc_id", 10)
+    sizes = [r["count"] for r in docs.groupBy(runs.of(F.col("doc_id"), F.crc32(F.col("text").cast("binary")))).count().collect()]
+    assert runs.tied and max(sizes) <= 30 and len(sizes) > 15
+    rows = [(i, zlib.crc32(t.encode()), len(t), t) for i, t in zip(ids, texts)]
+    up = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    at, want = {}, []
+    shard = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 3).collect()}
+    for i, crc, n, _ in up:
+        want.append((i, crc, n + 16, shard[i], at.setdefault(shard[i], 0)))
+        at[shard[i]] += 1
+    got = sharding.shard_documents(docs, 3, rows_per_chunk=10).collect()
+    order = lambda rows: sorted(rows, key=lambda r: [(v is not None, v) for v in r])
+    assert order((r.doc_id, r.text_crc32, r.size, r.shard, r.slot) for r in got) == order(want)
+    down = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1], r[2]))
+    following = [(r[0], r[3], down[(n + 1) % len(down)][3]) for n, r in enumerate(down)]
+    assert order(tuple(r) for r in multiset_fp.with_next(docs, 10).collect()) == order(following)

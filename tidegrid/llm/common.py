@@ -7,6 +7,8 @@ import ctypes
 import math
 import tempfile
 import uuid
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -102,20 +104,6 @@ def crc_text(col) -> F.Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def ordinal_chunks(df: DataFrame, key: str, rows_per_chunk: int, most: int = 32768) -> list:
-    """Bounds that cut ``df`` into runs of about ``rows_per_chunk`` rows by the numeric ``key``.
-
-    Only these few numbers (at most ``most``) reach the driver; they come from Spark's mergeable
-    quantile summary, so no row is sorted or gathered for them.
-    """
-    k = min(most, df.count() // rows_per_chunk)
-    if k < 1:
-        return []
-    cuts = [i / (k + 1) for i in range(1, k + 1)]
-    got = df.agg(F.percentile_approx(key, cuts, max(10000, 10 * k)).alias("q")).first().q
-    return sorted(set(got or []))
-
-
 def chunk_of(col, bounds: list, inclusive: bool = False) -> F.Column:
     """Index of the run that ``col`` falls into: runs ascend with the key, nulls are in run 0.
 
@@ -132,3 +120,47 @@ def chunk_of(col, bounds: list, inclusive: bool = False) -> F.Column:
     at = passed(coarse)
     found = F.when(at >= F.lit(len(groups)), F.lit(len(bounds))).otherwise(at * F.lit(step) + passed(F.get(fine, at)))
     return F.when(col.isNull(), F.lit(0)).otherwise(found)
+
+
+RUN_PARTS = 1 << 20  # parts of a run at most
+
+
+@dataclass
+class Runs:
+    """Where a sorted table is cut: bounds of the key, and in how many parts the rows of each run are dealt by a second number."""
+
+    bounds: list
+    parts: list[int]
+    null_parts: int
+
+    @property
+    def tied(self) -> bool:
+        """Whether some key, or no key, is on more rows than a run should have."""
+        return self.null_parts > 1 or max(self.parts) > 1
+
+    def of(self, key, tie) -> F.Column:
+        """Number of a row's run: they ascend with the key, nulls first, and in it with ``tie`` (0 to 2 ** 32 - 1)."""
+        run = chunk_of(key, self.bounds)
+        parts = F.get(F.array(*[F.lit(p) for p in self.parts]), run) if max(self.parts) > 1 else F.lit(1)
+        part = lambda n: F.floor(tie * n / F.lit(float(1 << 32))).cast("long")
+        return F.when(key.isNull(), part(F.lit(self.null_parts))).otherwise((run.cast("long") + 1) * RUN_PARTS + part(parts))
+
+
+def sorted_runs(df: DataFrame, key: str, rows_per_run: int, most: int = 32768) -> Runs:
+    """Runs of about ``rows_per_run`` rows by a whole-number key; a key on more rows than that is a run of its own, in parts.
+
+    Such a key is told by its coming up more than once among the quantiles.  Only these few numbers (at
+    most ``most``) reach the driver; they come from Spark's mergeable quantile summary, so no row is
+    sorted or gathered for them.
+    """
+    n, held = df.agg(F.count("*"), F.count(key)).first()
+    k = min(most, held // rows_per_run)
+    got: list = []
+    if k:
+        got = df.agg(F.percentile_approx(key, [i / (k + 1) for i in range(1, k + 1)], max(10000, 10 * k)).alias("q")).first().q
+    several = {value: times + 1 for value, times in Counter(got).items() if times > 1}
+    bounds = sorted({*got, *several, *(value - 1 for value in several)})
+    parts = [1] * (len(bounds) + 1)
+    for value, times in several.items():
+        parts[bounds.index(value)] = times  # the run behind value - 1, up to value
+    return Runs(bounds, parts, max(1, -(-(n - held) // rows_per_run)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.llm.common import bound_batches, chunk_of, ordinal_chunks, table, tidy
+from tidegrid.llm.common import RUN_PARTS, bound_batches, sorted_runs, table, tidy
 
 LANES = 96
 PIECE_WORDS = 8  # words of a piece of a long paragraph, about
@@ -128,26 +128,28 @@ def with_next(docs: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
     """doc_id, text, next_text: the text of the document that follows in descending doc_id.
 
     Nulls sort last, equal doc_ids by the texts' CRC-32 and length, and the last document is
-    followed by the first.  doc_id quantiles cut the table into runs that are sorted apart; the
-    first document of a run goes to the run before it as well, as a marker behind its last row.
+    followed by the first.  doc_id quantiles cut the table into runs that are sorted apart, and the
+    texts' CRC-32 those of a doc_id, or of none, on very many rows; the first document of a run goes
+    to the run before it as well, as a marker behind its last row.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    bounds = ordinal_chunks(ids, "doc_id", rows_per_run)
-    run = chunk_of(F.col("doc_id"), bounds)
-    heads = ids.groupBy(run.alias("_run")).agg(F.max("doc_id").alias("_head"))  # a row per run
-    last = len(bounds)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ).withColumn("_run", run)
-    rows = rows.join(F.broadcast(heads), "_run", "left")  # at most one number for each of 32769 runs
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    runs = sorted_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", rows_per_run)
+    crc = F.crc32(F.col("text").cast("binary"))
+    # runs in the order of documents: doc_ids descend, nulls come last, hashes ascend
+    run = runs.of(F.col("doc_id"), crc if runs.tied else F.lit(0))
+    rank = F.floor(run / RUN_PARTS)
+    place = (F.lit(len(runs.bounds) + 2) - rank) * RUN_PARTS + F.pmod(run, F.lit(RUN_PARTS))
+    rows = rows.withColumn("_run", place.cast("long"))
+    # the smallest of this key is a run's first document; texts are read for it only where they cut a run
+    first = F.struct(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), *([crc.alias("crc"), F.length("text").alias("size")] if runs.tied else []))
+    firsts = rows.groupBy("_run").agg(F.min(first).alias("_first"))  # a row a run
+    around = Window.orderBy("_run")
+    before = F.coalesce(F.lag("_run").over(around), F.max("_run").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.join(F.broadcast(firsts.select("_run", "_first", before.alias("_before"))), "_run")  # a few numbers a run
     places = F.array(F.struct(F.col("_run").alias("run"), F.lit(0).alias("marker")))
-    is_head = F.col("doc_id").eqNullSafe(F.col("_head"))
-    wraps = F.when(F.col("_run") == last, F.lit(0)).otherwise(F.col("_run") + F.lit(1))
-    marker = F.array(F.struct(wraps.alias("run"), F.lit(1).alias("marker")))
-    rows = rows.withColumn("_at", F.explode(F.when(is_head, F.concat(places, marker)).otherwise(places)))
-    order = Window.partitionBy("_at.run").orderBy(
-        "_at.marker", F.desc_nulls_last("doc_id"), F.crc32(F.col("text").cast("binary")), F.length("text")
-    )
+    marker = F.array(F.struct(F.col("_before").alias("run"), F.lit(1).alias("marker")))
+    rows = rows.withColumn("_at", F.explode(F.when(first == F.col("_first"), F.concat(places, marker)).otherwise(places)))
+    order = Window.partitionBy("_at.run").orderBy("_at.marker", F.desc_nulls_last("doc_id"), crc, F.length("text"))
     rows = rows.select("doc_id", "text", "_at", F.lead("text").over(order).alias("next_text"))
     return rows.where("_at.marker = 0").select("doc_id", "text", "next_text")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.llm.common import chunk_of, crc_text, ordinal_chunks, table
+from tidegrid.llm.common import crc_text, sorted_runs, table
 
 # Fixed value: the multiplier of the published jump consistent hash generator.
 MULTIPLIER = 2862933555777941757
@@ -74,13 +74,16 @@ def shard_documents(docs: DataFrame, shards: int, rows_per_chunk: int = ROWS_PER
     The law is ``key``: doc_id and the shard count alone decide.  ``size`` is the text's UTF-8
     bytes plus 16 (16 for null texts).  ``slot`` numbers each shard's rows from 0 in the order
     (doc_id, text_crc32, size), nulls first; repeated rows get a slot each.  A shard is never
-    sorted as a whole: doc_id quantiles cut it into runs, whose sizes are counted first and whose
-    running totals (one number per shard and run) offset the numbering inside each run.  Null
+    sorted as a whole: doc_id quantiles cut it into runs, and text_crc32 those of a doc_id (or of no
+    doc_id) on very many rows; run sizes are counted first and their running totals (one number per
+    shard and run) offset the numbering inside each run.  Very long texts are read whole.  Null
     doc_ids hash as key 0.  An empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    bounds = ordinal_chunks(ids, "doc_id", rows_per_chunk)
+    runs = sorted_runs(ids, "doc_id", rows_per_chunk)
+    # texts are read for the count too only where their hashes cut a run
+    run_of = lambda tie: runs.of(F.col("doc_id").cast("long"), tie if runs.tied else F.lit(0))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + F.lit(16)).alias("size"),
@@ -88,15 +91,15 @@ def shard_documents(docs: DataFrame, shards: int, rows_per_chunk: int = ROWS_PER
         F.lit("key").alias("law"),
         jump_hash(F.col("doc_id"), shards).alias("shard"),
         jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        chunk_of(F.col("doc_id").cast("long"), bounds).alias("_run"),
+        run_of(crc_text(F.col("text"))).alias("_run"),
     )
     run = Window.partitionBy("shard", "_run").orderBy(
         F.asc_nulls_first("doc_id"), F.asc("text_crc32"), F.asc("size")
     )
     rows = rows.withColumn("_at", F.row_number().over(run).cast("long") - F.lit(1))
-    if bounds:
+    if runs.bounds or runs.tied:
         counted = (
-            ids.select(jump_hash(F.col("doc_id"), shards).alias("shard"), chunk_of(F.col("doc_id"), bounds).alias("_run"))
+            docs.select(jump_hash(F.col("doc_id"), shards).alias("shard"), run_of(crc_text(F.col("text"))).alias("_run"))
             .groupBy("shard", "_run")
             .agg(F.count("*").alias("_n"))
         )
