@@ -110,3 +110,31 @@ def test_repeated_and_missing_ids_are_cut_by_their_texts(spark):
     down = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1], r[2]))
     following = [(r[0], r[3], down[(n + 1) % len(down)][3]) for n, r in enumerate(down)]
     assert order(tuple(r) for r in multiset_fp.with_next(docs, 10).collect()) == order(following)
+
+
+def test_op3_scores_by_a_plain_walk_of_trees_and_calibration(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, toxicity.training_labels(labels))
+    weights = list(model["trees"].treeWeights)
+
+    def walk(node, x):
+        while node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    learned, stems = frozenset(model["lexicon"][0]), frozenset(model["lexicon"][1])
+    steps = (list(model["calibration"].boundaries), list(model["calibration"].predictions)) if model["calibration"] is not None else None
+    roots = [t.rootNode() for t in model["trees"]._java_obj.trees()]
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 60").collect()}
+    got = {r.doc_id: r for r in toxicity.score(docs.where("doc_id < 60"), model).collect()}
+    for i, t in texts.items():
+        x = toxicity.features(t, learned, stems)
+        chance = 1 / (1 + np.exp(-2 * sum(w * walk(r, x) for w, r in zip(weights, roots))))
+        want = chance
+        if steps is not None:
+            calibrated = float(np.interp(chance, *steps))
+            mixed = 0.98 * calibrated + 0.02 * chance
+            want = max(mixed, 0.5) if calibrated >= 0.5 else min(mixed, 0.4999)
+        # steps end 1e-9 before the next one begins, which widens the last digits of a chance
+        assert got[i].score == pytest.approx(min(1.0, max(0.0, want)), abs=1e-6) and got[i].predicted == int(got[i].score >= 0.5)
