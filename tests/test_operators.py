@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import aggregates, pentad
-from tidegrid.operators import eof, fields, grids, series
+from tidegrid.operators import chains, eof, fields, grids, series
 from tidegrid.plans import catalogue
 from tidegrid.sources import tiers
 
@@ -346,3 +346,17 @@ def test_autocorrelation_of_gappy_series(spark):
     want = {("a", k): sum(unit[x] * unit[x + k] for x in unit if x + k in unit) for k in range(151) if any(x + k in unit for x in unit)}
     assert {k: c for k, c in got.items() if k[0] == "a"} == pytest.approx(want)
     assert {k: c for k, c in got.items() if k[0] != "a"} == {("z", 0): None, ("z", 3): None}
+
+
+def test_chains_at_the_edges_of_their_axes(spark):
+    """Targets beyond the last point inside have no rows; an empty box gives nothing; a gap under a target is missing."""
+    axes = {"lat": [0.0, 1.0, 2.0, 3.0], "lon": [0.0, 2.0, 4.0]}
+    field = rows(spark, [("a", y, x, None if (y, x) == (3, 2) else 10.0 * y + x) for y in range(4) for x in range(3)], "ds string, lat_i int, lon_i int, v double")
+    got = {(r.lat, r.lon): r.v for r in chains.crop_regrid(field, ["ds"], axes, (0.5, 3.6), (0.0, 4.1), 0.5).collect()}
+    assert {y for y, _ in got} == {1.0, 1.5, 2.0, 2.5, 3.0} and {x for _, x in got} == {0.5 * k for k in range(9)}
+    assert got[1.5, 1.0] == pytest.approx(15.5) and got[3.0, 4.0] is None and got[2.5, 3.5] is None and got[3.0, 2.0] == pytest.approx(31.0)
+    assert chains.crop_regrid(field, ["ds"], axes, (7.0, 9.0), (0.0, 4.1), 0.5).count() == 0
+    line = {r.x: r.v for r in chains.crop_profile(field, ["ds"], axes, (0.0, 3.0), (1.0, 5.0), "lat", 0.5).collect()}
+    assert line == pytest.approx({0.5 * k: 5.0 * k + 1.5 if k < 5 else None for k in range(6)} | {2.5: 26.25})
+    waves = chains.spectrum(field, ["ds"], axes, (0.0, 3.0), (0.0, 2.0), "lat").orderBy("k").collect()
+    assert [r.k for r in waves] == [0, 1] and waves[1].radius == pytest.approx(0.0, abs=1e-9) and waves[1].wvlen == 4.0

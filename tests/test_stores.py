@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import pentad
-from tidegrid.sources import clustered, netcdf, rawgrid, shared, slabs, tiers, units
+from tidegrid.sources import clustered, matfile, netcdf, rawgrid, shared, slabs, tiers, units
 from tidegrid.streaming import strict
 
 LAT, LON = [0.0, 1.0, 2.0, 3.0], [10.0, 12.0, 14.0]
@@ -195,3 +195,35 @@ def test_work_folders_are_deleted_in_the_end(spark, tmp_path):
     shared.delete_all()
     assert not os.path.exists(path.removeprefix("file:")) and not shared.made
     shared.made.update(others)
+
+
+def mat_rows(spark, variables=("t", "s")):
+    return spark.createDataFrame([("D", 7, v, k, y, x, None if (k, y, x) == (1, 0, 0) else float(100 * k + 10 * y + x) + (0.5 if v == "s" else 0.0)) for v in variables for k in range(2) for y in range(2) for x in range(3)], "name string, date long, variable string, k int, lat_i int, lon_i int, v double")
+
+
+def test_mat_file_is_a_struct_of_doubles(spark, tmp_path):
+    path, axes = str(tmp_path / "mat"), {"depth": [0.0, -5.0], "lat": [1.0, 2.0], "lon": [10.0, 20.0, 30.0]}
+    matfile.write_mat(mat_rows(spark), path, axes, ["t", "s"])
+    data = (tmp_path / "mat" / "D.7.mat").read_bytes()
+    assert data[124:128] == b"\x01\x00MI" and struct.unpack(">II", data[128:136]) == (14, len(data) - 136)
+    back = {(r.depth, r.lat, r.lon): r.v for r in matfile.read_mat(spark, path, "s").collect()}
+    want = {(d, 1.0 + y, 10.0 * (x + 1)): 0.0 if (k, y, x) == (1, 0, 0) else 100 * k + 10 * y + x + 0.5 for k, d in ((0, 0.0), (1, -5.0), (1, matfile.BOTTOM)) for y in range(2) for x in range(3)}
+    assert back == want
+    assert [r.v for r in matfile.read_mat(spark, path, "t").where("depth < -5 AND lat = 2 AND lon >= 20").orderBy("lon").collect()] == [111.0, 112.0]
+    with slabs.Bytes(f"{path}/D.7.mat") as source:
+        assert matfile.find_field(source, "Date")[0] == [1, 1] and source.at(matfile.find_field(source, "Date")[1], 8) == struct.pack(">d", 7.0)
+        assert matfile.find_field(source, "t")[0] == [3, 2, 3]
+        with pytest.raises(ValueError, match="no field"):
+            matfile.find_field(source, "u")
+    with pytest.raises(FileExistsError):
+        matfile.write_mat(mat_rows(spark), path, axes, ["t", "s"])
+    with pytest.raises(Exception, match="lacks"):
+        matfile.write_mat(mat_rows(spark, ("t",)), str(tmp_path / "other"), axes, ["t", "s"])
+    assert os.listdir(tmp_path / "other") == []
+
+
+def test_paths_as_spark_spells_them():
+    for scheme in ("s3a", "s3n", "s3"):
+        store, inner = slabs.store_of(f"{scheme}://key:secret@bucket/a/b?region=us-east-1")
+        assert inner == "bucket/a/b" and "S3" in type(store).__name__
+    assert slabs.store_of("file:///a/b")[1] == slabs.store_of("/a/b")[1] == "/a/b"

@@ -10,12 +10,11 @@ import math
 import re
 
 import numpy as np
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
-from tidegrid.sources.slabs import REPORT_SCHEMA, Bytes, GridWriter, Slab, SlabReader, allow_pushdown, cell_schema, list_files
+from tidegrid.sources.slabs import REPORT_SCHEMA, Bytes, GridWriter, Slab, SlabReader, allow_pushdown, cell_schema, list_files, store_of
 
 # Words of the metadata and the precisions they name.
 PRECISIONS = {"float32": ">f4", "real*4": ">f4", "float64": ">f8", "real*8": ">f8"}
@@ -68,7 +67,7 @@ class RawReader(SlabReader):
 
     @staticmethod
     def _size(path: str) -> int:
-        store, inner = fs.FileSystem.from_uri(path)
+        store, inner = store_of(path)
         return store.get_file_info(inner).size
 
 

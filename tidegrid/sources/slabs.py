@@ -34,9 +34,15 @@ def allow_pushdown(spark: SparkSession) -> None:
     spark.conf.set(PUSHDOWN, "true")
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path as Spark spells it, and the path inside."""
+    scheme, colon, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else path)
+
+
 def list_files(path: str, suffix: str) -> list[str]:
     """The files of a folder and below that end in ``suffix``, or ``path`` itself if it is one; hidden ones are left out."""
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = store_of(path)
     info = store.get_file_info(inner)
     if info.type == fs.FileType.File:
         return [path]
@@ -52,7 +58,7 @@ class Bytes:
     """A file read at offsets, which counts the bytes it reads."""
 
     def __init__(self, path: str):
-        store, inner = fs.FileSystem.from_uri(path)
+        store, inner = store_of(path)
         self.file, self.count = store.open_input_file(inner), 0
         self.size = self.file.size()
 
@@ -254,7 +260,7 @@ class GridWriter(DataSourceArrowWriter):
         return {}
 
     def write(self, iterator) -> Written:
-        store, inner = fs.FileSystem.from_uri(self.folder)
+        store, inner = store_of(self.folder)
         mine, made, size = f"{inner}/{uuid.uuid4().hex}", Written(), math.prod(self.shape)
         out, name, records, at = None, None, [], size
 
@@ -308,7 +314,7 @@ class GridWriter(DataSourceArrowWriter):
         return made
 
     def commit(self, messages) -> None:
-        store, inner = fs.FileSystem.from_uri(self.path)
+        store, inner = store_of(self.path)
         files = sorted((name, at) for m in messages if m is not None for at, name in m.files)
         taken = [name for (name, _), (other, _) in itertools.pairwise(files) if name == other]
         held = [] if self.overwrite else [i.base_name for i in store.get_file_info([f"{inner}/{name}" for name, _ in files]) if i.type != fs.FileType.NotFound]
@@ -320,7 +326,7 @@ class GridWriter(DataSourceArrowWriter):
         self._clear(store, inner)
 
     def abort(self, messages) -> None:
-        self._clear(*fs.FileSystem.from_uri(self.path))
+        self._clear(*store_of(self.path))
 
     def _clear(self, store, inner: str) -> None:
         job = f"{inner}/_temporary/{self.folder.rsplit('/', 1)[1]}"
