@@ -108,11 +108,12 @@ def _vectors(docs: DataFrame, lexicon: tuple[list[str], list[str]]) -> DataFrame
     return docs.withColumn("_features", of(F.col("text").cast("string")))
 
 
-def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Words and word beginnings whose share of toxic rows far exceeds that of clean rows.
+def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """Words and word beginnings whose share of toxic texts far exceeds that of clean ones.
 
-    A unit needs to occur in 3 toxic rows and in 1 % of them, at a smoothed ratio of 12 or more, so
-    the drawn rows bound how many there are.
+    A unit needs to occur in 3 toxic texts and in 1 % of them, at a smoothed ratio of 12 or more, so
+    the drawn rows bound how many there are.  Copies and near copies count as one text, told by the
+    least hash of their words: else the words of one text with many copies would pass for toxic ones.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     units = F.array_union(
@@ -124,8 +125,13 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str
             ])
         ),
     )
+    text = F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
+    held = rows.select("toxic", text.alias("text"), units.alias("units")).where("text IS NOT NULL")
+    totals = {r.toxic: r.n for r in held.groupBy("toxic").agg(F.count_distinct("text").alias("n")).collect()}
+    n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     counted = (
-        rows.select("toxic", F.explode(units).alias("unit"))
+        held.select("toxic", "text", F.explode("units").alias("unit"))
+        .distinct()
         .groupBy("unit")
         .agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
         .where(F.col("bad") >= max(3, n_toxic // 100))
@@ -165,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     if not bad or not good:
         release(rows)
         return constant
-    lexicon = learn_lexicon(rows, bad, good)
+    lexicon = learn_lexicon(rows)
     taken = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     weight = F.when(F.col("toxic") == 1, labelled[1] / taken[1]).otherwise(labelled[0] / taken[0]).alias("weight")
     data = materialize(_vectors(rows, lexicon).select("_features", F.col("toxic").cast("double").alias("label"), weight, "fold", "key"), 1, "key")
