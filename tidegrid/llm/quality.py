@@ -20,6 +20,7 @@ from tidegrid.llm.language_id import held_out
 
 ROWS_PER_CLASS = 4000  # labelled rows that are fitted for each class, about
 FIT_FILES = 8
+TRUTH_FILES = 2  # of the rules' truth values, a few megabytes that many short jobs read
 TREES, DEPTH, SEED = 24, 3, 11
 PENALTIES = (0.01, 0.003, 0.001)  # of which the one with the least loss on rows left out is taken
 FOLDS, LEFT_OUT = 10, 3
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
         release(rows)
         held = min(max(chance, 1e-6), 1 - 1e-6)
         return {"rules": [], "intercept": math.log(held / (1 - held))}
-    truth = materialize(rows.select(vector([holds(r).cast("double") for r in rules]), "label", "weight", "fold", "key"), FIT_FILES, "key")
+    truth = materialize(rows.select(vector([holds(r).cast("double") for r in rules]), "label", "weight", "fold", "key"), TRUTH_FILES, "key")
     lasso = lambda penalty: LogisticRegression(elasticNetParam=1.0, regParam=penalty, weightCol="weight", maxIter=50)
     seen, unseen = truth.where(F.col("fold") >= LEFT_OUT), truth.where(F.col("fold") < LEFT_OUT)
     best = PENALTIES[-1]
