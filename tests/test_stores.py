@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,40 @@ def test_strict_stream_gives_out_once_and_drops_late(spark, tmp_path):
     )
 
 
+def test_a_task_sends_a_row_for_a_day_and_block_however_many_rows_it_has():
+    rng, blocks = np.random.default_rng(3), 3
+    ds, d = rng.choice(["A", "B", None], 4000), rng.integers(-3, 4, 4000)
+    lat, lon, v = rng.integers(0, 4, 4000), rng.integers(-2, 3, 4000), rng.random(4000)
+    v[(d == 3) | (rng.random(4000) < 0.1)] = np.nan  # a day without any value is heard of as well
+    cell = (lat << 32) | (lon & 0xFFFFFFFF)
+    rows = pa.table([pa.array(ds, pa.string()), pa.array(d, pa.int32()).cast(pa.date32()), pa.array(cell), pa.array(v, from_pandas=True)], ["ds", "d", "cell", "v"])
+    frame = pd.DataFrame({"ds": ds, "d": d, "cell": cell, "v": v}).dropna(subset="v")
+    want = {(a or None, b, c): (g["v"].sum(), len(g)) for (a, b, c), g in frame.fillna({"ds": ""}).groupby(["ds", "d", "cell"])}
+    for most, sends in ((4000, 1), (500, 8)):  # the sums of 420 cells are more than half of 500
+        got, out = {}, pa.Table.from_batches(strict._combine(blocks, most)(iter(rows.to_batches(max_chunksize=40)))).to_pylist()
+        assert (sends - 1) * 3 * 7 * blocks < len(out) <= sends * 3 * 7 * blocks
+        assert {(r["ds"], (r["d"] - datetime.date(1970, 1, 1)).days, r["block"]) for r in out} == {(a, b, c) for a in ("A", "B", None) for b in range(-3, 4) for c in range(blocks)}
+        block_of = {}
+        for r in out:
+            for c, s, n in zip(*(np.frombuffer(r[k], t) for k, t in (("cells", np.int64), ("sums", np.float64), ("counts", np.int64)))):
+                key = (r["ds"], (r["d"] - datetime.date(1970, 1, 1)).days, int(c))
+                assert block_of.setdefault(int(c), r["block"]) == r["block"]
+                got[key] = tuple(np.add(got.get(key, (0.0, 0)), (s, n)))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_strict_stream_of_odd_names_and_places(spark, tmp_path):
+    path, schema = str(tmp_path), "ds string, d date, lat_i int, lon_i int, v double"
+    places = [(2, -1), (-3, 4), (None, 1), (2, None), (0, 0)]
+    rows = [(ds, datetime.date(2021, 1, 1 + n), y, x, float("nan") if (y, n) == (0, 1) else float(n)) for ds in ("A", None) for n in range(5) for y, x in places]
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/in")
+    strict.run(spark.readStream.schema(schema).parquet(f"{path}/in"), path, "10 days", blocks=2)
+    got = [tuple(r) for r in spark.read.schema(strict.OUT).parquet(f"{path}/pentads").collect()]
+    stamp = pentad.parse_label("2021P00")
+    want = [(ds, stamp, "complete", y, x, 2.25 if y == 0 else 2.0, 4 if y == 0 else 5, 5) for ds in ("A", None) for y, x in places]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_clustered_tier_reads_few_files(spark, tmp_path):
     path = str(tmp_path / "tier")
     rows = spark.range(64 * 64).select(F.lit("A").alias("dataset"), F.lit(146000).alias("pentadstamp"), F.floor(F.col("id") / 64).cast("int").alias("lat_i"), (F.col("id") % 64).cast("int").alias("lon_i"), F.col("id").cast("double").alias("v"))

@@ -132,13 +132,12 @@ def strict_stream(spark, sf_dir):
     """Strict pentads from out-of-order files in five runs."""
     path = work_folder(spark)
     arrivals = _arrivals(spark, sf_dir)
-    arrivals.repartition(RUNS, "run").write.partitionBy("run").parquet(f"{path}/all")
     schema = arrivals.drop("run").schema
     for n in range(RUNS):
-        spark.read.schema(schema).parquet(f"{path}/all/run={n}").write.mode("append").parquet(f"{path}/in")
+        arrivals.where(F.col("run") == n).drop("run").write.mode("append").parquet(f"{path}/in")
         strict.run(spark.readStream.schema(schema).parquet(f"{path}/in"), path, f"{DELAY_DAYS} days", blocks=2)
     out = spark.read.parquet(f"{path}/pentads")
-    none = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    none = lambda c, v: F.when(F.col("status") == "dropped", F.lit(v)).otherwise(F.col(c)).alias(c)
     return _round(out.select("ds", "pentadstamp", "status", none("lat_i", -1), none("lon_i", -1), none("v", 0.0), none("n", 0), "days"), "v")
 
 

@@ -2,7 +2,8 @@
 
 Days come in any order and in any number of runs.  The state of a pentad's block of cells holds sums,
 counts and the days seen; the watermark decides what is too late, and a timer at the pentad's end drops
-what can no longer be whole.  Rows are added up in their task before they are sent to the state.
+what can no longer be whole.  Rows are added up in their task, by dataset, day and cell over all of its
+batches, before they are sent to the state, so what is sent grows with cells and days and not with rows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,10 +20,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidegrid.functions import pentad
 
 BLOCKS = 16  # blocks that the cells of a pentad are dealt to
+HELD = 1 << 20  # rows that a task holds before it adds them up; sums of more than half as many cells are sent on
+NOWHERE = -(1 << 31)  # a null index
 ALL_DAYS = (1 << pentad.DAYS) - 1
 OUT = "ds string, pentadstamp int, status string, lat_i int, lon_i int, v double, n long, days int"
 STATE = "days int, done boolean, cells binary, sums binary, counts binary"
-_SENT = "ds string, pentadstamp int, block int, t timestamp, day int, ends long, cells binary, sums binary, counts binary"
+_SENT = "ds string, d date, block int, cells binary, sums binary, counts binary"
+_SENT_ARROW = pa.schema([("ds", pa.string()), ("d", pa.date32()), ("block", pa.int32()), ("cells", pa.binary()), ("sums", pa.binary()), ("counts", pa.binary())])
 
 
 def _add_up(cells: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,21 +34,46 @@ def _add_up(cells: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np
     return own, np.bincount(place, sums, len(own)), np.bincount(place, counts, len(own)).astype(np.int64)
 
 
-def _combine(blocks: int):
-    """Sums a batch up by day and block; every block hears of every day, as a day may have no cells in it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for (ds, stamp, t, day, ends), rows in pdf.groupby(["ds", "pentadstamp", "t", "day", "ends"]):
-                held = rows[rows["v"].notna()]
-                cells = (held["lat_i"].to_numpy(np.int64) << 32) | held["lon_i"].to_numpy(np.int64)
-                cells, sums, counts = _add_up(cells, held["v"].to_numpy(float), np.ones(len(held)))
-                block = ((cells >> 32) * 31 + (cells & 0xFFFFFFFF)) % blocks
-                for b in range(blocks):
-                    at = block == b
-                    out.append((ds, stamp, b, t, day, ends, cells[at].tobytes(), sums[at].tobytes(), counts[at].tobytes()))
-            yield pd.DataFrame(out, columns=["ds", "pentadstamp", "block", "t", "day", "ends", "cells", "sums", "counts"])
+def _packed(added: pa.Table, blocks: int) -> pa.RecordBatch:
+    """A row for each dataset, day and block; every block hears of every day, as a day may have no cells in it."""
+    names = added["ds"].combine_chunks().dictionary_encode()
+    days = added["d"].cast(pa.int32()).to_numpy()
+    own, place = np.unique((names.indices.fill_null(-1).to_numpy().astype(np.int64) << 32) | (days & np.int64(0xFFFFFFFF)), return_inverse=True)
+    counts = added["count"].to_numpy()
+    held = np.flatnonzero(counts)
+    cells = added["cell"].to_numpy()[held]
+    slot = place[held] * blocks + ((cells >> 32) * 31 + (cells & 0xFFFFFFFF)) % blocks
+    order = np.argsort(slot, kind="stable")
+    cuts = np.searchsorted(slot[order], np.arange(len(own) * blocks + 1))
+    pack = lambda values: pa.array([values[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+    kinds = ((cells, np.int64), (added["total"].to_numpy()[held], np.float64), (counts[held], np.int64))
+    codes, days = (np.repeat(c, blocks).astype(np.int32) for c in (own >> 32, own & 0xFFFFFFFF))
+    ds = names.dictionary.take(pa.array(codes, mask=codes < 0)).cast(pa.string())
+    block = pa.array(np.tile(np.arange(blocks, dtype=np.int32), len(own)))
+    return pa.record_batch([ds, pa.array(days).cast(pa.date32()), block, *(pack(v[order].astype(k, copy=False)) for v, k in kinds)], schema=_SENT_ARROW)
+
+
+def _combine(blocks: int, most: int = HELD):
+    """Sums a task's rows up by dataset, day and cell, over its batches and in bounded memory."""
+
+    def add(tables: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(tables).group_by(["ds", "d", "cell"], use_threads=False).aggregate([("total", "sum"), ("count", "sum")])
+        return out.select(["ds", "d", "cell", "total_sum", "count_sum"]).rename_columns(["ds", "d", "cell", "total", "count"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, rows = [], 0
+        for batch in batches:
+            v = batch["v"]
+            tables.append(pa.table([batch["ds"], batch["d"], batch["cell"], v, v.is_valid().cast(pa.int64())], ["ds", "d", "cell", "total", "count"]))
+            rows += len(batch)
+            if rows >= most:
+                tables = [add(tables)]
+                rows = len(tables[0])
+                if rows > most // 2:
+                    yield _packed(tables[0], blocks)
+                    tables, rows = [], 0
+        if rows:
+            yield _packed(add(tables), blocks)
 
     return run
 
@@ -85,14 +115,18 @@ def strict_pentads(daily: DataFrame, delay: str, blocks: int = BLOCKS) -> DataFr
     the days that they had.  A day is late, and left out, when a day more than ``delay`` after it was
     seen in an earlier batch.  Cells with null values count for their day only.
     """
+    d = F.col("d").cast("date")
+    index = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(NOWHERE)).cast("long")
+    cell = F.shiftleft(index("lat_i"), 32).bitwiseOR(index("lon_i").bitwiseAND(F.lit(0xFFFFFFFF)))
+    v = F.col("v").cast("double")
+    rows = daily.where(pentad.stamp_of(d).isNotNull()).select("ds", d.alias("d"), cell.alias("cell"), F.when(~F.isnan(v), v).alias("v"))
     stamp = pentad.stamp_of(F.col("d"))
-    rows = daily.select(
-        "ds", stamp.alias("pentadstamp"), F.col("d").cast("timestamp").alias("t"), F.pmod(F.dayofyear("d") - 1, F.lit(pentad.DAYS)).cast("int").alias("day"),
-        F.unix_millis(pentad.end_of(stamp).cast("timestamp")).alias("ends"), F.col("lat_i").cast("int").alias("lat_i"), F.col("lon_i").cast("int").alias("lon_i"), F.col("v").cast("double").alias("v"),
-    ).where("pentadstamp IS NOT NULL")
-    sums = rows.mapInPandas(_combine(blocks), _SENT).withWatermark("t", delay)
+    sums = rows.mapInArrow(_combine(blocks), _SENT).select(
+        "ds", stamp.alias("pentadstamp"), "block", F.col("d").cast("timestamp").alias("t"), F.pmod(F.dayofyear("d") - 1, F.lit(pentad.DAYS)).cast("int").alias("day"),
+        F.unix_millis(pentad.end_of(stamp).cast("timestamp")).alias("ends"), "cells", "sums", "counts",
+    ).withWatermark("t", delay)
     out = sums.groupBy("ds", "pentadstamp", "block").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    whole = lambda c: F.when(F.col("status") == "complete", F.col(c)).alias(c)
+    whole = lambda c: F.when(F.col("status") == "complete", F.nullif(F.col(c), F.lit(NOWHERE)) if c in ("lat_i", "lon_i") else F.col(c)).alias(c)
     return out.select("ds", "pentadstamp", "status", whole("lat_i"), whole("lon_i"), whole("v"), whole("n"), "days")
 
 
